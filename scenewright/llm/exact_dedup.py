@@ -53,20 +53,19 @@ def report(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", diges
     small = F.broadcast if digest is None else lambda side: side
     sha = F.lower(F.hex("digest")) if digest is None else F.sha2("text", 256)
     salted = rows.groupBy("digest", "text", "salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
-    winners = salted.groupBy("digest", "text").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("in_salts"))
-    texts = winners.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("texts"),
-        F.max("keep_id").alias("keep_id"),
-        F.max("group_size").alias("group_size"),
-        F.flatten(F.collect_list("in_salts")).alias("in_salts"),
+    # the salt winners of a digest meet; the next two groupings and the listing need no further exchange
+    winners = salted.repartition("digest").groupBy("digest", "text").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
+    texts = winners.groupBy("digest").agg(F.collect_list(F.struct("text", "keep_id", "group_size", "salts")).alias("found"))
+    listed = (
+        texts.select("digest", (F.size("found") > 1).alias("several"), F.explode("found").alias("x"))
+        .select("digest", "several", F.when(F.col("several"), F.col("x.text")).alias("text"), "x.keep_id", "x.group_size", F.explode("x.salts").alias("salt"))
     )
     # one text has this digest: the digest stands for the text, and only narrow columns move
-    alone = texts.filter("texts = 1").select("digest", "keep_id", "group_size", F.explode("in_salts").alias("salt"))
+    alone = listed.filter("NOT several").select("digest", "salt", "keep_id", "group_size")
     found = rows.select("doc_id", "digest", "salt", sha.alias("text_sha256")).join(alone, ["digest", "salt"])
     # several texts share a digest: their rows are told apart by the text
-    several = small(texts.filter("texts > 1").select("digest"))
-    apart = small(winners.join(several, "digest", "left_semi").select("digest", "text", "keep_id", "group_size"))
-    rest = rows.select("doc_id", "digest", "text", sha.alias("text_sha256")).join(apart, ["digest", "text"])
+    apart = small(listed.filter("several").select("digest", "salt", "text", "keep_id", "group_size"))
+    rest = rows.select("doc_id", "digest", "salt", "text", sha.alias("text_sha256")).join(apart, ["digest", "salt", "text"])
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
     return found.unionByName(rest, allowMissingColumns=True).select("doc_id", "keep_id", "group_size", kept, "text_sha256")
 
