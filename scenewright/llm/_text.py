@@ -149,3 +149,49 @@ def distinct_rows(value: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarra
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
     return out[keep], np.searchsorted(row[keep], np.arange(n + 1))
+
+
+def ngram_counts(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, width: int, dims: int, skip: int | None = None) -> np.ndarray:
+    """How often each row has each hashed n-gram of the bytes' classes, as an array (rows, dims) of float32.
+
+    `table` gives each byte's class.  N-grams with two classes `skip` in a row don't count; none crosses a row."""
+    n = len(offsets) - 1
+    out = np.zeros(n * dims, np.float32)
+    shift = np.uint32(32 - int(dims).bit_length() + 1)
+    row, a = 0, 0
+    size = int(offsets[-1])
+    while a + width <= size:
+        b = min(size, a + SEGMENT + width - 1)
+        cls = table[buf[a:b]]
+        m = len(cls) - width + 1
+        code = cls[:m].astype(np.uint32)
+        for k in range(1, width):
+            code *= np.uint32(0x01000193)
+            code ^= cls[k : k + m]
+        code *= np.uint32(0x9E3779B1)
+        code >>= shift
+        good = np.ones(m, bool)
+        if skip is not None:
+            blank = cls == skip
+            for k in range(width - 1):
+                good &= ~(blank[k : k + m] & blank[k + 1 : k + 1 + m])
+        last = int(np.searchsorted(offsets, b, "left"))
+        inner = offsets[row : last + 1]
+        for k in range(1, width):
+            gone = inner - k - a
+            good[gone[(gone >= 0) & (gone < m)]] = False
+        length = np.diff(np.clip(inner, a, a + m))
+        key = np.repeat(np.arange(row, row + len(length), dtype=np.int64) * dims, length) + code
+        base = row * dims
+        part = np.bincount(key[good] - base, minlength=0)
+        out[base : base + len(part)] += part
+        a += m
+        row = max(int(np.searchsorted(offsets, a, "right")) - 1, 0)
+    return out.reshape(n, dims)
+
+
+def held_out(doc_id, modulus: int, remainder: int):
+    """Whether crc32 of the id as text leaves this remainder; a null id counts as empty text."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
