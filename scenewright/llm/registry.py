@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scenewright.llm import bpe, exact_dedup, language
+from scenewright.llm import bpe, exact_dedup, language, quality
 
 QUERIES = {
+    "op1_quality_neighbours": quality.op1_quality_neighbours,
     "op4_language_mixture": language.op4_language_mixture,
     "op7_bpe": bpe.op7_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
