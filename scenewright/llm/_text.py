@@ -98,9 +98,14 @@ def hash_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.n
     return mix(np.add.reduceat(value, first) + length.astype(np.uint64))
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and the n + 1 offsets of each row's words."""
-    starts, ends = spans(buf, offsets)
+#: Bytes that belong to no word of `ALNUM` words: letters, digits and everything beyond ASCII do.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = _ASCII_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (by default `[^\\x20\\x09-\\x0D]+`) with A-Z lower-cased, and the n + 1 offsets of each row's words."""
+    starts, ends = spans(buf, offsets, is_space)
     out = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):

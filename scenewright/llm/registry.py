@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scenewright.llm import bpe, exact_dedup, language, ngram_join, quality
+from scenewright.llm import bpe, decontaminate, exact_dedup, language, ngram_join, quality
 
 QUERIES = {
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op1_quality_neighbours": quality.op1_quality_neighbours,
     "op4_language_mixture": language.op4_language_mixture,
