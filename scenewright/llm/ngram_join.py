@@ -11,11 +11,13 @@ Stages, each written or shuffled in packed form:
 1. sketch: one pass gives each row its set's id and size, and the sketch (fixed size, summed by block in the cluster);
 2. postings: (shingle, set, size, level, l) of all prefixes, packed by bucket and shuffled.  Equal sets have one id, so
    groups of exact copies count once;
-3. lists: in a bucket, lists of up to SHORT sets give their pairs, packed counts; of a longer list each member is paired
-   with the list's leader, and the list itself is kept;
-4. the leaders' pairs are verified, and members of long lists that links already join aren't paired again; what is left
-   of a long list is paired exactly.  So a large group of near copies costs about as many pairs as it has members, yet no
-   link between different components is lost;
+3. lists: in a bucket, lists of up to SHORT sets give their pairs, with counts; longer lists are kept, and each set
+   learns how many of its prefix shingles any other set's prefix has;
+4. long lists: of two sets, the one whose prefix ends first in the global order can't share its unmatched prefix shingles
+   with the other, which bounds the overlap and rules out most pairs (`_possible`).  Of the rest each member is first
+   paired with the list's leader, the member with the fewest unmatched shingles, and verified; members that links already
+   join aren't paired again, what is left is paired exactly.  So a large group of near copies costs about as many pairs as
+   it has members, yet no link between different components is lost;
 5. verification: a fixed-size bitmap of the candidate sets lets one more pass ship only their shingles; each pair is
    compared exactly, 100 * intersection >= 80 * union;
 6. links form components (distributed), named by the smallest doc_id.
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm._store import drop, saved
+from scenewright.llm._store import saved
 from scenewright.llm._text import column_bytes, doc_groups, mix, shingles, word_hashes
 from scenewright.llm.components import components
 
@@ -113,7 +115,8 @@ def _sketch(blocks: DataFrame) -> np.ndarray:
 
 
 def prefixes(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The chosen prefix of each set: token, row, level (the least l whose prefix has the token), and each row's l."""
+    """The chosen prefix of each set: token, row, level (the least l whose prefix has the token); each row's l, and where
+    its prefix ends in the global order (rounded down, so only an inequality tells)."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
     seen = sketch[(tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)]
@@ -134,11 +137,16 @@ def prefixes(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> tuple[np
     used = place < (base + chosen)[row]
     alone = sketch[(tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)] <= 1  # no other row has it
     used &= ~alone
-    return tokens[used], row[used], np.maximum(place - base[row] + 1, 1)[used], chosen
+    last = np.minimum(at[:-1] + np.minimum(base + chosen, n) - 1, max(len(tokens) - 1, 0))
+    end = np.minimum(seen[last], 0xFFFF).astype(np.uint32) << np.uint32(16) | (tokens[last] >> np.uint64(48)).astype(np.uint32) if len(tokens) else np.zeros(len(n), np.uint32)
+    end = np.where(n > 0, end, 0).astype(np.uint32)
+    if len(tokens):
+        end[seen[last] > 0xFFFF] |= np.uint32(0xFFFF)
+    return tokens[used], row[used], np.maximum(place - base[row] + 1, 1)[used], chosen, end
 
 
 def _postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
-    """Rows (bucket, m, data): data is m tokens, set ids, sizes, levels and l, one array after the other."""
+    """Rows (bucket, m, data): data is m tokens, set ids, sizes, levels, l and prefix ends, one array after the other."""
 
     def run(batches):
         table = sketch.value
@@ -147,10 +155,10 @@ def _postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
             for a, b, tokens, at in shingle_sets(batch.column(1)):
                 ids = set_ids(tokens, at)
                 fresh = np.array([i not in known and not known.add(i) for i in ids.tolist()], bool) & (ids != 0)
-                token, row, level, chosen = prefixes(tokens, at, table)
+                token, row, level, chosen, end = prefixes(tokens, at, table)
                 keep = fresh[row]
                 token, row, level = token[keep], row[keep], level[keep]
-                parts.append((token, ids[row], np.diff(at)[row].astype(np.uint32), level.astype(np.uint8), chosen[row].astype(np.uint8)))
+                parts.append((token, ids[row], np.diff(at)[row].astype(np.uint32), level.astype(np.uint8), chosen[row].astype(np.uint8), end[row]))
             token, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
             bucket = ((token & np.uint64(0xFFFFF)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -163,7 +171,7 @@ def _postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, m int, data binary")
 
 
-_FIELDS = (np.uint64, np.int64, np.uint32, np.uint8, np.uint8)
+_FIELDS = (np.uint64, np.int64, np.uint32, np.uint8, np.uint8, np.uint32)
 
 
 def _unpack(m: int, data: bytes, fields=_FIELDS) -> list[np.ndarray]:
@@ -197,14 +205,14 @@ def _out(kind: int, a, b, matches, needs, data=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(matches, pa.int64()), pa.array(needs, pa.int32()), pa.array(data, pa.binary()) if data is not None else pa.nulls(n, pa.binary())], ["kind", "a", "b", "matches", "needs", "data"])
 
 
-def _in_bucket(token, ids, n, level, ell) -> Iterator[pa.RecordBatch]:
-    """Kind 0: pairs of short lists; 1: members and leaders of long lists; 2: long lists."""
+def _in_bucket(token, ids, n, level, ell, end) -> Iterator[pa.RecordBatch]:
+    """Kind 0: pairs of short lists; 2: long lists; 3: how many of a set's tokens another set has too."""
     order = np.lexsort((ids, token))
-    token, ids, n, level, ell = token[order], ids[order], n[order], level[order], ell[order]
+    token, ids, n, level, ell, end = (x[order] for x in (token, ids, n, level, ell, end))
     if len(token) > 1:  # an equal set from another batch
         same = np.concatenate([[False], (token[1:] == token[:-1]) & (ids[1:] == ids[:-1])])
         if same.any():
-            token, ids, n, level, ell = (x[~same] for x in (token, ids, n, level, ell))
+            token, ids, n, level, ell, end = (x[~same] for x in (token, ids, n, level, ell, end))
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(token)))
     found = []
@@ -217,17 +225,10 @@ def _in_bucket(token, ids, n, level, ell) -> Iterator[pa.RecordBatch]:
         found.append((ids[x], ids[y], np.minimum(ell[x], ell[y]).astype(np.int64)))
     if found:
         yield _out(0, *_counted(*(np.concatenate(x) for x in zip(*found, strict=True))))
-    stars = []
     for start, m in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-        span = slice(start, start + m)
-        own, sizes = ids[span], n[span].astype(np.int64)
-        yield _out(2, [int(token[start].view(np.int64))], [0], [m], [0], [b"".join(x[span].tobytes() for x in (ids, n, level, ell))])
-        lead = int(np.argmin(mix(own.view(np.uint64))))
-        ok = (OF * np.minimum(sizes, sizes[lead]) >= NUMBER * np.maximum(sizes, sizes[lead])) & (own != own[lead])
-        stars.append((own[ok], np.full(int(ok.sum()), own[lead])))
-    if stars:
-        a, b, count, _ = _counted(*(np.concatenate(x) for x in zip(*stars, strict=True)), np.zeros(sum(len(x[0]) for x in stars), np.int64))
-        yield _out(1, a, b, count, np.ones(len(a), np.int64))
+        yield _out(2, [int(token[start].view(np.int64))], [0], [m], [0], [b"".join(x[start : start + m].tobytes() for x in (ids, n, level, ell, end))])
+    matched, count = np.unique(ids[np.repeat(size > 1, size)], return_counts=True)
+    yield _out(3, matched, matched, count, np.zeros(len(matched), np.int64))
 
 
 def _lists(postings: DataFrame, partitions: int) -> DataFrame:
@@ -246,53 +247,82 @@ def _lists(postings: DataFrame, partitions: int) -> DataFrame:
     return postings.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _OUT)
 
 
-def _left_in_lists(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of a long list that no component joins yet: a, b, matches, needs."""
+def _members(long: DataFrame, matched: DataFrame) -> DataFrame:
+    """A row for each member of a long list: token, id, n, level, ell, end, and slack, the most shingles that the set can
+    share with one whose prefix ends later."""
 
     def members(batches):
         for batch in batches:
-            for token, m, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids, n, level, ell = _unpack(m, data, _FIELDS[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, token), pa.int64()), pa.array(ids), pa.array(n.astype(np.int64)), pa.array(level.astype(np.int32)), pa.array(ell.astype(np.int32))], ["token", "id", "n", "level", "ell"])
+            for token, m, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, n, level, ell, end = _unpack(m, data, _FIELDS[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, token), pa.int64()), pa.array(ids), pa.array(n.astype(np.int64)), pa.array(level.astype(np.int32)), pa.array(ell.astype(np.int32)), pa.array(end.astype(np.int64))], ["token", "id", "n", "level", "ell", "end"])
+
+    entries = long.select(F.col("a").alias("token"), F.col("matches").alias("m"), "data").mapInArrow(members, "token long, id long, n long, level int, ell int, end long")
+    of_set = matched.groupBy("a").agg(F.sum("matches").alias("matched")).withColumnRenamed("a", "id")
+    least = F.ceil(F.col("n") * NUMBER / OF)
+    prefix = F.least(F.col("n") - least + F.col("ell"), F.col("n"))
+    return entries.join(of_set, "id").select("token", "id", "n", "level", "ell", "end", (F.col("n") - prefix + F.col("matched")).alias("slack"))
+
+
+def _possible(n1, n2, end1, end2, slack1, slack2) -> np.ndarray:
+    """Whether the overlap can be large enough: of two sets, the one whose prefix ends first bounds it by its slack."""
+    most = np.where(end1 < end2, slack1, np.where(end1 > end2, slack2, np.maximum(slack1, slack2)))
+    return (NUMBER + OF) * most >= NUMBER * (n1 + n2)
 
-    def pairs(batches):
-        token, parts = None, []
 
-        def of_list():
-            ids, n, level, ell, comp = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(comp, kind="stable")
-            ids, n, level, ell, comp = ids[order], n[order], level[order], ell[order], comp[order]
-            edge = np.append(np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]])), len(comp))
-            for first, after in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                step = max(1, (1 << 20) // max(len(ids) - after, 1))
-                for s in range(first, after, step):
-                    x = np.repeat(np.arange(s, min(s + step, after)), len(ids) - after)
-                    y = np.tile(np.arange(after, len(ids)), min(s + step, after) - s)
-                    ok = _allowed(n[x], n[y], level[x], level[y], ell[x], ell[y])
-                    if ok.any():
-                        x, y = x[ok], y[ok]
-                        low, high, count, needs = _counted(ids[x], ids[y], np.minimum(ell[x], ell[y]))
-                        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(count, pa.int64()), pa.array(needs, pa.int32())], ["a", "b", "matches", "needs"])
+def _of_lists(members: DataFrame, of_list, schema: str) -> DataFrame:
+    """Runs of_list(id, n, level, ell, end, slack, ...) over each long list."""
 
+    def run(batches):
+        token, parts = None, []
         for batch in batches:
             columns = [np.asarray(c) for c in batch.columns]
             cuts = np.flatnonzero(np.diff(columns[0])) + 1
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(columns[0])], strict=True):
                 if e > s and columns[0][s] != token and parts:
-                    yield from of_list()
+                    yield from of_list(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                     parts = []
                 if e > s:
                     token = columns[0][s]
                     parts.append([c[s:e] for c in columns[1:]])
         if parts:
-            yield from of_list()
+            yield from of_list(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, schema)
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member with the list's leader: a, b."""
+
+    def of_list(ids, n, level, ell, end, slack):
+        lead = np.lexsort((mix(ids.view(np.uint64)), -slack / n))[0]
+        ok = (OF * np.minimum(n, n[lead]) >= NUMBER * np.maximum(n, n[lead])) & (ids != ids[lead]) & _possible(n, n[lead], end, end[lead], slack, slack[lead])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(np.full(int(ok.sum()), ids[lead]))], ["a", "b"])
+
+    return _of_lists(members, of_list, "a long, b long").distinct()
+
+
+def _left_in_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Possible pairs of members of a long list that no component joins yet: a, b, matches, needs."""
+
+    def of_list(ids, n, level, ell, end, slack, comp):
+        order = np.argsort(n, kind="stable")
+        ids, n, level, ell, end, slack, comp = (x[order] for x in (ids, n, level, ell, end, slack, comp))
+        after = np.searchsorted(n, OF * n // NUMBER, "right")  # sizes that a set of this one can link to
+        count = after - np.arange(len(n)) - 1
+        edge = [0, *np.searchsorted(np.cumsum(count), np.arange(1 << 20, count.sum(), 1 << 20), "left").tolist(), len(n)]
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            x = np.repeat(np.arange(s, e), count[s:e])
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count[s:e]) - count[s:e], count[s:e])
+            ok = (comp[x] != comp[y]) & _possible(n[x], n[y], end[x], end[y], slack[x], slack[y]) & _allowed(n[x], n[y], level[x], level[y], ell[x], ell[y])
+            x, y = x[ok], y[ok]
+            low, high, times, needs = _counted(ids[x], ids[y], np.minimum(ell[x], ell[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(times, pa.int64()), pa.array(needs, pa.int32())], ["a", "b", "matches", "needs"])
 
-    entries = long.select(F.col("a").alias("token"), F.col("matches").alias("m"), "data").mapInArrow(members, "token long, id long, n long, level int, ell int")
-    known = saved(entries.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "level", "ell", F.coalesce("component", "id").alias("comp")), "lists")
+    known = saved(members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*members.columns, F.coalesce("component", "id").alias("comp")), "lists")
     open_lists = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = known.join(open_lists, "token", "left_semi").repartition(n, "token").sortWithinPartitions("token")
-    return left.mapInArrow(pairs, "a long, b long, matches long, needs int")
+    return _of_lists(known.join(open_lists, "token", "left_semi"), of_list, "a long, b long, matches long, needs int")
 
 
 def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -356,10 +386,10 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
     long = lists.filter("kind = 2")
     links = None
     if not long.isEmpty():
-        stars = lists.filter("kind = 1").select("a", "b").distinct()
-        links = saved(verify(rows, sets, stars), "links")
+        members = saved(_members(long, lists.filter("kind = 3").select("a", "matches")), "members")
+        links = saved(verify(rows, sets, saved(_stars(members), "stars")), "links")
         labels = components(links)
-        known = saved(_left_in_lists(long, labels), "pairs")
+        known = saved(_left_in_lists(members, labels), "pairs")
         outside = short.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         short = outside.filter("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b", "matches", "needs").unionByName(known)
     pairs = saved(short.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("needs").alias("needs")).filter("matches >= needs").select("a", "b"), "pairs")

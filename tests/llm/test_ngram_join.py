@@ -103,7 +103,7 @@ def test_prefix_matches_hold_for_every_choice():
         if 5 * both < 4 * (len(x) + len(y) - both):
             continue
         sketch = rng.integers(2, 2000, ngram_join.COUNTERS).astype(np.uint32)
-        token, row, level, chosen = ngram_join.prefixes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), sketch)
+        token, row, level, chosen, _ = ngram_join.prefixes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), sketch)
         low = min(chosen)
         a, b = ({t for t, r, v in zip(token.tolist(), row, level, strict=True) if r == k and v <= low} for k in (0, 1))
         assert len(a & b) >= low
