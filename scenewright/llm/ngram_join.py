@@ -9,18 +9,20 @@ so asks for more shared prefix shingles before a pair is verified.  For two docu
 Stages, each written or shuffled in packed form:
 
 1. sketch: one pass gives each row its set's id and size, and the sketch (fixed size, summed by block in the cluster);
-2. postings: (shingle, set, size, level, l) of all prefixes, packed by bucket and shuffled.  Equal sets have one id, so
-   groups of exact copies count once;
-3. lists: in a bucket, lists of up to SHORT sets give their pairs, with counts; longer lists are kept, and each set
-   learns how many of its prefix shingles any other set's prefix has;
-4. long lists: of two sets, the one whose prefix ends first in the global order can't share its unmatched prefix shingles
-   with the other, which bounds the overlap and rules out most pairs (`_possible`).  Of the rest each member is first
-   paired with the list's leader, the member with the fewest unmatched shingles, and verified; members that links already
-   join aren't paired again, what is left is paired exactly.  So a large group of near copies costs about as many pairs as
-   it has members, yet no link between different components is lost;
-5. verification: a fixed-size bitmap of the candidate sets lets one more pass ship only their shingles; each pair is
-   compared exactly, 100 * intersection >= 80 * union;
-6. links form components (distributed), named by the smallest doc_id.
+2. postings: (shingle, set, size, level, l, end) of all prefixes, packed by bucket and shuffled.  Equal sets have one id,
+   so groups of exact copies count once;
+3. lists: in a bucket, lists of up to SHORT sets give their pairs, with counts; longer lists are kept.  Each set learns how
+   many of its prefix shingles another set's prefix has.  Of two sets, the one whose prefix ends first in the global order
+   can't share its unmatched prefix shingles with the other, which bounds the overlap (`_possible`): documents that only
+   have a passage in common go here, as do pairs with fewer matches than the smaller l asks for;
+4. one more pass ships the shingles, and a parity bitmap of them, of the sets that are left; a fixed-size bitmap of their
+   documents says which;
+5. long lists: two parity bitmaps differ in at most as many bits as the sets differ in shingles, which rules out most
+   pairs in the list's task.  Each member is first paired with the list's leader, the member with the fewest unmatched
+   shingles; members that verified links already join aren't paired again, what is left is paired exactly.  So a large
+   group of near copies costs about as many pairs as it has members, and no link between different components is lost;
+6. each pair is verified exactly, 100 * intersection >= 80 * union, and the links form components (distributed), named by
+   the smallest doc_id.
 
 Sets are compared by 64-bit hashes of their shingles and named by a 64-bit hash of the set; a false result needs a
 collision (about n^2 / 2^65 for n distinct sets).
@@ -33,6 +35,7 @@ rows have aren't followed to others; extra columns don't matter.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +50,14 @@ from scenewright.llm.components import components
 WIDTH = 5
 NUMBER, OF = 4, 5  # the similarity as a fraction
 #: Counters of the sketch, its blocks, and bits of the candidates' bitmap: fixed, whatever the input.
-COUNTERS, BLOCKS, BITS = 1 << 22, 256, 1 << 26
-BLOCK = 4 << 20
+COUNTERS, BLOCKS, BITS = 1 << 24, 256, 1 << 26
+BLOCK = 2 << 20
 #: Prefix extensions that a document may choose from, and what one verification costs, in postings.
 CHOICES, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 20.0
 SHORT = 24
 SALTS = 64
+#: Bits of a set's parity bitmap: four for each shingle, within these.
+LEAST_PARITY, MOST_PARITY = 256, 8192
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,55 +81,82 @@ def need(n: np.ndarray) -> np.ndarray:
     return -(-NUMBER * n // OF)
 
 
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
+
+
 def _sketch_pass(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (block null), and the sketch's blocks (block not null)."""
+    names = ["doc_id", "set_id", "n_shingles", "block", "counts"]
+
+    def blocks(counts, kind):
+        parts = counts.reshape(BLOCKS, -1)
+        used, data = [], []
+        for i in np.flatnonzero(parts.any(1)).tolist():
+            at = np.flatnonzero(parts[i])
+            sparse = len(at) * 16 < parts.shape[1]
+            used.append(i)
+            data.append(b"s" + at.astype(np.uint32).tobytes() + parts[i][at].tobytes() if sparse else b"d" + zlib.compress(parts[i].tobytes(), 1))
+        n = len(used)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names)
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.uint32)
-        kind = None
+        counts, rows, kind = np.zeros(COUNTERS, np.uint16), 0, None
         for batch in batches:
             kind = batch.schema.field(0).type
             for a, b, tokens, at in shingle_sets(batch.column(1)):
-                counts += np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
                 n = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(set_ids(tokens, at)), pa.array(np.diff(at), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "set_id", "n_shingles", "block", "counts"])
+                if rows + n > 0xFFFF:  # a counter holds as many
+                    yield blocks(counts, kind)
+                    counts[:], rows = 0, 0
+                rows += n
+                np.add.at(counts, _counter(tokens), np.uint16(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(set_ids(tokens, at)), pa.array(np.diff(at), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if kind is not None:
-            parts = counts.reshape(BLOCKS, -1)
-            used = np.flatnonzero(parts.any(1))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), pa.array(used, pa.int64()), pa.array(used, pa.int64()), pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["doc_id", "set_id", "n_shingles", "block", "counts"])
+            yield blocks(counts, kind)
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_id long, n_shingles long, block int, counts binary")
 
 
+#: Counts as one byte: exact below 64, then eight steps for each doubling.
+_COUNT_OF = np.concatenate([np.arange(64.0), 64 * 2.0 ** (np.arange(192) / 8)])
+
+
 def _sketch(blocks: DataFrame) -> np.ndarray:
-    """Sums the blocks in the cluster; COUNTERS numbers reach the driver."""
+    """Sums the blocks in the cluster; COUNTERS bytes reach the driver."""
+    per = COUNTERS // BLOCKS
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(data.as_buffer(), np.uint32)
-                total[i] = np.minimum(total[i] + part.astype(np.uint64), 2**32 - 1) if i in total else part.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.uint32).tobytes() for v in total.values()], pa.binary())], ["block", "counts"])
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = total.setdefault(i, np.zeros(per, np.int64))
+                if data[:1] == b"d":
+                    own += np.frombuffer(zlib.decompress(data[1:]), np.uint16)
+                else:
+                    m = (len(data) - 1) // 6
+                    own[np.frombuffer(data, np.uint32, m, 1)] += np.frombuffer(data, np.uint16, m, 1 + 4 * m)
+        coded = [(np.searchsorted(_COUNT_OF, v, "right") - 1).astype(np.uint8).tobytes() for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(coded, pa.binary())], ["block", "counts"])
 
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint32)
+    out = np.zeros((BLOCKS, per), np.uint8)
     for r in blocks.select("block", "counts").repartition(min(n, BLOCKS), "block").mapInArrow(run, "block int, counts binary").toLocalIterator():
-        out[r.block] = np.frombuffer(bytes(r.counts), np.uint32)
+        out[r.block] = np.frombuffer(bytes(r.counts), np.uint8)
     return out.reshape(-1)
 
 
-def prefixes(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, ...]:
+def prefixes(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray, others: float | None = None) -> tuple[np.ndarray, ...]:
     """The chosen prefix of each set: token, row, level (the least l whose prefix has the token); each row's l, and where
     its prefix ends in the global order (rounded down, so only an inequality tells)."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
-    seen = sketch[(tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)]
+    seen = sketch[_counter(tokens)]
     order = np.lexsort((tokens, seen, row))
     tokens, seen = tokens[order], seen[order]
     # what the counter holds beyond other shingles' share, one at least
-    others = float(sketch.sum(dtype=np.float64)) / COUNTERS
-    cost = np.concatenate([[0.0], np.cumsum(np.maximum(seen - others, 1.0))])
+    others = noise(sketch) if others is None else others
+    cost = np.concatenate([[0.0], np.cumsum(np.maximum(_COUNT_OF[seen] - others, 1.0))])
     least, base = need(n), n - need(n)
     best, chosen = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     for choice in CHOICES:
@@ -134,28 +166,31 @@ def prefixes(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> tuple[np
         better = price < best
         best, chosen = np.where(better, price, best), np.where(better, choice, chosen)
     place = np.arange(len(tokens)) - np.repeat(at[:-1], n)
-    used = place < (base + chosen)[row]
-    alone = sketch[(tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)] <= 1  # no other row has it
-    used &= ~alone
-    last = np.minimum(at[:-1] + np.minimum(base + chosen, n) - 1, max(len(tokens) - 1, 0))
-    end = np.minimum(seen[last], 0xFFFF).astype(np.uint32) << np.uint32(16) | (tokens[last] >> np.uint64(48)).astype(np.uint32) if len(tokens) else np.zeros(len(n), np.uint32)
-    end = np.where(n > 0, end, 0).astype(np.uint32)
-    if len(tokens):
-        end[seen[last] > 0xFFFF] |= np.uint32(0xFFFF)
+    used = (place < (base + chosen)[row]) & (seen > 1)  # no other row has a shingle that was counted once
+    end = np.zeros(len(n), np.uint32)
+    full = n > 0
+    last = (at[:-1] + np.minimum(base + chosen, n) - 1)[full]
+    end[full] = seen[last].astype(np.uint32) << np.uint32(24) | (tokens[last] >> np.uint64(40)).astype(np.uint32)
     return tokens[used], row[used], np.maximum(place - base[row] + 1, 1)[used], chosen, end
 
 
+def noise(sketch: np.ndarray) -> float:
+    """The mean of the counters: what other shingles add to one, about."""
+    return float((np.bincount(sketch, minlength=256) * _COUNT_OF).sum() / len(sketch))
+
+
 def _postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
     """Rows (bucket, m, data): data is m tokens, set ids, sizes, levels, l and prefix ends, one array after the other."""
 
     def run(batches):
         table = sketch.value
+        others = noise(table)
         for batch in batches:
             parts, known = [], set()
             for a, b, tokens, at in shingle_sets(batch.column(1)):
                 ids = set_ids(tokens, at)
                 fresh = np.array([i not in known and not known.add(i) for i in ids.tolist()], bool) & (ids != 0)
-                token, row, level, chosen, end = prefixes(tokens, at, table)
+                token, row, level, chosen, end = prefixes(tokens, at, table, others)
                 keep = fresh[row]
                 token, row, level = token[keep], row[keep], level[keep]
                 parts.append((token, ids[row], np.diff(at)[row].astype(np.uint32), level.astype(np.uint8), chosen[row].astype(np.uint8), end[row]))
@@ -206,7 +241,8 @@ def _out(kind: int, a, b, matches, needs, data=None) -> pa.RecordBatch:
 
 
 def _in_bucket(token, ids, n, level, ell, end) -> Iterator[pa.RecordBatch]:
-    """Kind 0: pairs of short lists; 2: long lists; 3: how many of a set's tokens another set has too."""
+    """Kind 0: pairs of short lists; 2: long lists; 3: in `matches` how many of a set's tokens another set has too,
+    plus 2^32 times those of them in long lists; in b its size and prefix end, in `needs` its l."""
     order = np.lexsort((ids, token))
     token, ids, n, level, ell, end = (x[order] for x in (token, ids, n, level, ell, end))
     if len(token) > 1:  # an equal set from another batch
@@ -227,8 +263,10 @@ def _in_bucket(token, ids, n, level, ell, end) -> Iterator[pa.RecordBatch]:
         yield _out(0, *_counted(*(np.concatenate(x) for x in zip(*found, strict=True))))
     for start, m in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
         yield _out(2, [int(token[start].view(np.int64))], [0], [m], [0], [b"".join(x[start : start + m].tobytes() for x in (ids, n, level, ell, end))])
-    matched, count = np.unique(ids[np.repeat(size > 1, size)], return_counts=True)
-    yield _out(3, matched, matched, count, np.zeros(len(matched), np.int64))
+    of = np.repeat(size, size)
+    matched, first, back = np.unique(ids[of > 1], return_index=True, return_inverse=True)
+    counts = np.bincount(back, minlength=len(first)) + (np.bincount(back[of[of > 1] > SHORT], minlength=len(first)) << 32)
+    yield _out(3, matched, n[of > 1][first].astype(np.int64) << 32 | end[of > 1][first].astype(np.int64), counts, ell[of > 1][first].astype(np.int32))
 
 
 def _lists(postings: DataFrame, partitions: int) -> DataFrame:
@@ -247,21 +285,59 @@ def _lists(postings: DataFrame, partitions: int) -> DataFrame:
     return postings.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _OUT)
 
 
-def _members(long: DataFrame, matched: DataFrame) -> DataFrame:
-    """A row for each member of a long list: token, id, n, level, ell, end, and slack, the most shingles that the set can
-    share with one whose prefix ends later."""
+def _known(matched: DataFrame) -> DataFrame:
+    """id, n, ell, end, longs (its tokens in long lists) and slack, the most shingles that the set can share with one whose
+    prefix ends later."""
+    of = matched.groupBy("a").agg(F.sum("matches").alias("s"), F.max("b").alias("b"), F.max("needs").cast("long").alias("ell"))
+    of = of.select(F.col("a").alias("id"), F.shiftright("b", 32).alias("n"), "ell", F.col("b").bitwiseAND(F.lit(0xFFFFFFFF)).alias("end"), F.col("s").bitwiseAND(F.lit(0xFFFFFFFF)).alias("m"), F.shiftright("s", 32).alias("longs"))
+    prefix = F.least(F.col("n") - F.ceil(F.col("n") * NUMBER / OF) + F.col("ell"), F.col("n"))
+    return of.select("id", "n", "ell", "end", "longs", (F.col("n") - prefix + F.col("m")).alias("slack"))
+
+
+def _likely(short: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of short lists that can still link: enough matches, counting all tokens in long lists as matches, and enough
+    possible overlap."""
+    sides = [known.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "end", "longs", "slack")]) for c in ("a", "b")]
+    pairs = short.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("needs").alias("needs")).join(sides[0], "a").join(sides[1], "b")
+    most = F.when(F.col("end_a") < F.col("end_b"), F.col("slack_a")).when(F.col("end_a") > F.col("end_b"), F.col("slack_b")).otherwise(F.greatest("slack_a", "slack_b"))
+    enough = F.col("matches") + F.least("longs_a", "longs_b") >= F.col("needs")
+    return pairs.filter(enough & ((NUMBER + OF) * most >= NUMBER * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+
 
-    def members(batches):
+def _members(long: DataFrame, known: DataFrame) -> DataFrame:
+    """A row for each member of a long list that can link to another one: token, id, n, level, ell, end, slack."""
+
+    def entries(batches):
         for batch in batches:
             for token, m, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, n, level, ell, end = _unpack(m, data, _FIELDS[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, token), pa.int64()), pa.array(ids), pa.array(n.astype(np.int64)), pa.array(level.astype(np.int32)), pa.array(ell.astype(np.int32)), pa.array(end.astype(np.int64))], ["token", "id", "n", "level", "ell", "end"])
-
-    entries = long.select(F.col("a").alias("token"), F.col("matches").alias("m"), "data").mapInArrow(members, "token long, id long, n long, level int, ell int, end long")
-    of_set = matched.groupBy("a").agg(F.sum("matches").alias("matched")).withColumnRenamed("a", "id")
-    least = F.ceil(F.col("n") * NUMBER / OF)
-    prefix = F.least(F.col("n") - least + F.col("ell"), F.col("n"))
-    return entries.join(of_set, "id").select("token", "id", "n", "level", "ell", "end", (F.col("n") - prefix + F.col("matched")).alias("slack"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, token), pa.int64()), pa.array(ids), pa.array(level.astype(np.int64))], ["token", "id", "level"])
+
+    def viable(ids, n, level, ell, end, slack):
+        keep = np.zeros(len(ids), bool)
+        for x, y in _windows(n):
+            ok = _possible(n[x], n[y], end[x], end[y], slack[x], slack[y]) & _allowed(n[x], n[y], level[x], level[y], ell[x], ell[y])
+            keep[x[ok]] = True
+            keep[y[ok]] = True
+        return [c[keep] for c in (ids, n, level, ell, end, slack)]
+
+    rows = long.select(F.col("a").alias("token"), F.col("matches").alias("m"), "data").mapInArrow(entries, "token long, id long, level long")
+    rows = rows.join(known, "id").select("token", "id", "n", "level", "ell", "end", "slack")
+    return _of_lists(rows, viable, "token long, id long, n long, level long, ell long, end long, slack long", True)
+
+
+def _windows(n: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places (x before y in order of size) whose sizes can link, in blocks of about `most`."""
+    order = np.argsort(n, kind="stable")
+    size = n[order]
+    after = np.searchsorted(size, OF * size // NUMBER, "right")
+    count = after - np.arange(len(n)) - 1
+    edge = [0, *np.searchsorted(np.cumsum(count), np.arange(most, count.sum(), most), "left").tolist(), len(n)]
+    for s, e in zip(edge[:-1], edge[1:], strict=True):
+        x = np.repeat(np.arange(s, e), count[s:e])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count[s:e]) - count[s:e], count[s:e])
+        if len(x):
+            yield order[x], order[y]
 
 
 def _possible(n1, n2, end1, end2, slack1, slack2) -> np.ndarray:
@@ -270,66 +346,101 @@ def _possible(n1, n2, end1, end2, slack1, slack2) -> np.ndarray:
     return (NUMBER + OF) * most >= NUMBER * (n1 + n2)
 
 
-def _of_lists(members: DataFrame, of_list, schema: str) -> DataFrame:
-    """Runs of_list(id, n, level, ell, end, slack, ...) over each long list."""
+def _of_lists(members: DataFrame, of_list, schema: str, with_token: bool = False) -> DataFrame:
+    """Runs of_list(id, ...) over each long list; it returns columns (after the token, if that is asked for)."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def finish(token, parts):
+        columns = of_list(*(np.concatenate(x) if isinstance(x[0], np.ndarray) else [v for p in x for v in p] for x in zip(*parts, strict=True)))
+        if len(columns[0]):
+            columns = [np.full(len(columns[0]), token), *columns] if with_token else columns
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches):
         token, parts = None, []
         for batch in batches:
-            columns = [np.asarray(c) for c in batch.columns]
-            cuts = np.flatnonzero(np.diff(columns[0])) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(columns[0])], strict=True):
+            columns = [c.to_pylist() if pa.types.is_binary(c.type) else np.asarray(c) for c in batch.columns]
+            cuts = (np.flatnonzero(np.diff(columns[0])) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, len(columns[0])], strict=True):
                 if e > s and columns[0][s] != token and parts:
-                    yield from of_list(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    yield from finish(token, parts)
                     parts = []
                 if e > s:
                     token = columns[0][s]
                     parts.append([c[s:e] for c in columns[1:]])
         if parts:
-            yield from of_list(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from finish(token, parts)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return members.repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, schema)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap in which each shingle turns one bit over; of two sets' bitmaps at most as many bits differ as shingles."""
+    bits = min(MOST_PARITY, max(LEAST_PARITY, 1 << (4 * len(tokens) - 1).bit_length()))
+    return np.packbits(np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _fold(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as they would be with fewer words."""
+    return np.bitwise_xor.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
+
+
+def _apart(n: np.ndarray, bitmaps: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the parity bitmaps of the pairs differ in more bits than linked sets can."""
+    width = np.array([len(b) // 8 for b in bitmaps])
+    of_width = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    place = np.zeros(len(n), np.int64)
+    for own in of_width.values():
+        place[own] = np.arange(len(own))
+    whole = {w: np.frombuffer(b"".join(bitmaps[i] for i in own), np.uint64).reshape(len(own), w) for w, own in of_width.items()}
+    out = np.zeros(len(x), bool)
+    for u in whole:
+        for v in whole:
+            at = np.flatnonzero((width[x] == u) & (width[y] == v))
+            if len(at):
+                w = min(u, v)
+                p, q = _fold(whole[u], w), _fold(whole[v], w)
+                for s in range(0, len(at), 1 << 16):
+                    k = at[s : s + (1 << 16)]
+                    differ = np.bitwise_count(p[place[x[k]]] ^ q[place[y[k]]]).sum(1, dtype=np.int64)
+                    out[k] = (NUMBER + OF) * differ > (OF - NUMBER) * (n[x[k]] + n[y[k]])
+    return out
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """Each member with the list's leader: a, b."""
 
-    def of_list(ids, n, level, ell, end, slack):
-        lead = np.lexsort((mix(ids.view(np.uint64)), -slack / n))[0]
-        ok = (OF * np.minimum(n, n[lead]) >= NUMBER * np.maximum(n, n[lead])) & (ids != ids[lead]) & _possible(n, n[lead], end, end[lead], slack, slack[lead])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(np.full(int(ok.sum()), ids[lead]))], ["a", "b"])
+    def of_list(ids, n, level, ell, end, slack, bitmap):
+        lead = int(np.lexsort((mix(ids.view(np.uint64)), -slack / n))[0])
+        ok = np.flatnonzero((OF * np.minimum(n, n[lead]) >= NUMBER * np.maximum(n, n[lead])) & (ids != ids[lead]) & _possible(n, n[lead], end, end[lead], slack, slack[lead]))
+        ok = ok[~_apart(n, bitmap, ok, np.full(len(ok), lead))]
+        return [ids[ok], np.full(len(ok), ids[lead])]
 
     return _of_lists(members, of_list, "a long, b long").distinct()
 
 
 def _left_in_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Possible pairs of members of a long list that no component joins yet: a, b, matches, needs."""
-
-    def of_list(ids, n, level, ell, end, slack, comp):
-        order = np.argsort(n, kind="stable")
-        ids, n, level, ell, end, slack, comp = (x[order] for x in (ids, n, level, ell, end, slack, comp))
-        after = np.searchsorted(n, OF * n // NUMBER, "right")  # sizes that a set of this one can link to
-        count = after - np.arange(len(n)) - 1
-        edge = [0, *np.searchsorted(np.cumsum(count), np.arange(1 << 20, count.sum(), 1 << 20), "left").tolist(), len(n)]
-        for s, e in zip(edge[:-1], edge[1:], strict=True):
-            x = np.repeat(np.arange(s, e), count[s:e])
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count[s:e]) - count[s:e], count[s:e])
+    """Possible pairs of members of a long list that no component joins yet: a, b."""
+
+    def of_list(ids, n, level, ell, end, slack, comp, bitmap):
+        found = []
+        for x, y in _windows(n):
             ok = (comp[x] != comp[y]) & _possible(n[x], n[y], end[x], end[y], slack[x], slack[y]) & _allowed(n[x], n[y], level[x], level[y], ell[x], ell[y])
             x, y = x[ok], y[ok]
-            low, high, times, needs = _counted(ids[x], ids[y], np.minimum(ell[x], ell[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(times, pa.int64()), pa.array(needs, pa.int32())], ["a", "b", "matches", "needs"])
+            near = ~_apart(n, bitmap, x, y)
+            found.append((np.minimum(ids[x], ids[y])[near], np.maximum(ids[x], ids[y])[near]))
+        return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
 
-    known = saved(members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*members.columns, F.coalesce("component", "id").alias("comp")), "lists")
-    open_lists = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    return _of_lists(known.join(open_lists, "token", "left_semi"), of_list, "a long, b long, matches long, needs int")
+    named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "level", "ell", "end", "slack", F.coalesce("component", "id").alias("comp"), "bitmap")
+    open_lists = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    return _of_lists(named.join(open_lists, "token", "left_semi"), of_list, "a long, b long").distinct()
 
 
-def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids that link.  sets: (set_id, rep), rep a doc_id that has the set."""
+def contents(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_id, data (the shingles), bitmap of the wanted sets (set_id).  sets: (set_id, rep), rep a doc_id that has the set."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(sets, "set_id")
-    wanted = saved(wanted.select("set_id", "rep"), "wanted")
+    wanted = saved(wanted.join(sets, "set_id").select("set_id", "rep"), "wanted")
     place = F.pmod(F.xxhash64("rep"), F.lit(BITS)) + 1  # the bitmap functions' bucket 1 begins at 1
     bits = np.zeros(BITS // 8, np.uint8)
     blocks = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
@@ -344,16 +455,21 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
             p = np.asarray(batch.column(2))
             chosen = batch.filter(pa.array(table[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0))
             for a, b, tokens, at in shingle_sets(chosen.column(1)):
-                data = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(tokens)])
-                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(a, b - a), pa.array(set_ids(tokens, at)), data.cast(pa.binary())], ["rep", "set_id", "data"])
+                edges = at.tolist()
+                each = [tokens[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(a, b - a), pa.array(set_ids(tokens, at)), pa.array([t.tobytes() for t in each], pa.binary()), pa.array([parity(t) for t in each], pa.binary())], ["rep", "set_id", "data", "bitmap"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shipped_sets = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("p")).mapInArrow(run, f"rep {kind}, set_id long, data binary")
-    contents = shipped_sets.join(wanted, ["set_id", "rep"]).select("set_id", "data")
+    shipped_sets = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("p")).mapInArrow(run, f"rep {kind}, set_id long, data binary, bitmap binary")
+    return shipped_sets.join(wanted, ["set_id", "rep"]).select("set_id", "data", "bitmap")
+
+
+def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids that link.  held: contents."""
     both = (
         pairs.select("a", "b")
-        .join(contents.select(F.col("set_id").alias("a"), F.col("data").alias("da")), "a")
-        .join(contents.select(F.col("set_id").alias("b"), F.col("data").alias("db")), "b")
+        .join(held.select(F.col("set_id").alias("a"), F.col("data").alias("da")), "a")
+        .join(held.select(F.col("set_id").alias("b"), F.col("data").alias("db")), "b")
     )
 
     def compare(batches):
@@ -382,18 +498,20 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
     sets = saved(sets, "reps")
 
     lists = saved(_lists(_postings(rows, sketch, 4 * partitions), partitions), "lists")
-    short = lists.filter("kind = 0").select("a", "b", "matches", "needs")
-    long = lists.filter("kind = 2")
+    known = saved(_known(lists.filter("kind = 3")), "known")
+    short = saved(_likely(lists.filter("kind = 0").select("a", "b", "matches", "needs"), known), "short")
+    members = saved(_members(lists.filter("kind = 2"), known), "members")
+    wanted = short.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(members.select(F.col("id").alias("set_id"))).distinct()
+    held = saved(contents(rows, sets, wanted), "contents")
     links = None
-    if not long.isEmpty():
-        members = saved(_members(long, lists.filter("kind = 3").select("a", "matches")), "members")
-        links = saved(verify(rows, sets, saved(_stars(members), "stars")), "links")
-        labels = components(links)
-        known = saved(_left_in_lists(members, labels), "pairs")
-        outside = short.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        short = outside.filter("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b", "matches", "needs").unionByName(known)
-    pairs = saved(short.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("needs").alias("needs")).filter("matches >= needs").select("a", "b"), "pairs")
-    found = verify(rows, sets, pairs)
+    if not members.isEmpty():
+        members = saved(members.join(held.select(F.col("set_id").alias("id"), "bitmap"), "id").select("token", "id", "n", "level", "ell", "end", "slack", "bitmap"), "members")
+        links = saved(verify(saved(_stars(members), "stars"), held), "links")
+        labels = saved(components(links), "labels")
+        of = [labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+        short = short.join(of[0], "a", "left").join(of[1], "b", "left").filter("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
+        short = short.unionByName(_left_in_lists(members, labels)).distinct()
+    found = verify(short, held)
     links = found if links is None else found.unionByName(links)
 
     named = links.join(sets.select(F.col("set_id").alias("a"), F.col("rep").alias("ra")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("rep").alias("rb")), "b")

@@ -102,13 +102,42 @@ def test_prefix_matches_hold_for_every_choice():
         both = len(np.intersect1d(x, y))
         if 5 * both < 4 * (len(x) + len(y) - both):
             continue
-        sketch = rng.integers(2, 2000, ngram_join.COUNTERS).astype(np.uint32)
+        sketch = rng.integers(2, 256, ngram_join.COUNTERS).astype(np.uint8)
         token, row, level, chosen, _ = ngram_join.prefixes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), sketch)
         low = min(chosen)
         a, b = ({t for t, r, v in zip(token.tolist(), row, level, strict=True) if r == k and v <= low} for k in (0, 1))
         assert len(a & b) >= low
 
 
+def test_parity_bitmaps_never_exclude_a_link():
+    rng = np.random.default_rng(8)
+    excluded = 0
+    for _ in range(400):
+        universe = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
+        x = rng.choice(universe, int(rng.integers(20, 300)), replace=False)
+        y = np.unique(np.concatenate([rng.choice(x, max(1, len(x) - int(rng.integers(0, len(x) // 3))), replace=False), rng.choice(universe, int(rng.integers(1, 40)), replace=False)]))
+        both = len(np.intersect1d(x, y))
+        n = np.array([len(x), len(y)])
+        out = ngram_join._apart(n, [ngram_join.parity(x), ngram_join.parity(y)], np.array([0]), np.array([1]))[0]
+        excluded += out
+        assert not (out and 5 * both >= 4 * (len(x) + len(y) - both))
+    assert excluded > 50
+
+
+def test_sketch_counts(spark, monkeypatch):
+    """The sketch holds every row's distinct shingles once, below 64 exactly."""
+    texts = [f"a b c d e {i % 7} f g" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    first = ngram_join._sketch_pass(df)
+    sketch = ngram_join._sketch(first.filter("block IS NOT NULL"))
+    import pyarrow as pa
+
+    want = np.zeros(ngram_join.COUNTERS, int)
+    for _, _, tokens, _ in ngram_join.shingle_sets(pa.array(texts)):
+        np.add.at(want, ngram_join._counter(tokens), 1)
+    assert (sketch == want).all() and want.max() == 60
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
