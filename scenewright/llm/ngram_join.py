@@ -1,14 +1,14 @@
 """Exact similarity self-join on word shingles with adaptive multi-match prefixes.
 
 Two texts link when their sets of five-word shingles have a Jaccard similarity of at least 0.8.  Shingles have one global
-order, rarest first, from a fixed-size count sketch over all documents.  Linked sets share at least l of their first
+order, rarest first, from a count sketch of bounded size over all documents.  Linked sets share at least l of their first
 n - ceil(0.8 n) + l shingles, for every l; each document chooses its own l, the one for which the estimated cost (postings
 met in the lists of its prefix, plus verification of the candidates that can reach l matches) is least.  A longer prefix
 so asks for more shared prefix shingles before a pair is verified.  For two documents the smaller of their l holds.
 
 Stages, each written or shuffled in packed form:
 
-1. sketch: one pass gives each row its set's id and size, and the sketch (fixed size, summed by block in the cluster);
+1. sketch: one pass gives each row its set's id and size, and the sketch (of bounded size, summed by block in the cluster);
 2. postings: (shingle, set, size, level, l, end) of all prefixes, packed by bucket and shuffled.  Equal sets have one id,
    so groups of exact copies count once;
 3. lists: in a bucket, lists of up to SHORT sets give their pairs, with counts; longer lists are kept.  Each set learns how
@@ -43,14 +43,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm._store import saved
+from scenewright.functions.store import saved
 from scenewright.llm._text import column_bytes, doc_groups, mix, shingles, word_hashes
-from scenewright.llm.components import components
+from scenewright.operators.components import components
 
 WIDTH = 5
 NUMBER, OF = 4, 5  # the similarity as a fraction
-#: Counters of the sketch, its blocks, and bits of the candidates' bitmap: fixed, whatever the input.
-COUNTERS, BLOCKS, BITS = 1 << 24, 256, 1 << 26
+#: Bits of the candidates' bitmap, whatever the input.
+BITS = 1 << 26
+#: Counters of the sketch: one for so many bytes of text, a power of two within these; and its blocks.
+BYTES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, BLOCKS = 32, 1 << 20, 1 << 25, 256
 BLOCK = 2 << 20
 #: Prefix extensions that a document may choose from, and what one verification costs, in postings.
 CHOICES, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 20.0
@@ -81,11 +83,17 @@ def need(n: np.ndarray) -> np.ndarray:
     return -(-NUMBER * n // OF)
 
 
-def _counter(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
+def _counter(tokens: np.ndarray, counters: int) -> np.ndarray:
+    return (tokens >> np.uint64(20)).astype(np.int64) & (counters - 1)
 
 
-def _sketch_pass(docs: DataFrame) -> DataFrame:
+def sketch_size(docs: DataFrame) -> int:
+    """Counters for all texts of `docs`."""
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (size // BYTES_A_COUNTER).bit_length()))
+
+
+def _sketch_pass(docs: DataFrame, counters: int) -> DataFrame:
     """A row for each row of docs (block null), and the sketch's blocks (block not null)."""
     names = ["doc_id", "set_id", "n_shingles", "block", "counts"]
 
@@ -101,7 +109,7 @@ def _sketch_pass(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names)
 
     def run(batches):
-        counts, rows, kind = np.zeros(COUNTERS, np.uint16), 0, None
+        counts, rows, kind = np.zeros(counters, np.uint16), 0, None
         for batch in batches:
             kind = batch.schema.field(0).type
             for a, b, tokens, at in shingle_sets(batch.column(1)):
@@ -110,7 +118,7 @@ def _sketch_pass(docs: DataFrame) -> DataFrame:
                     yield blocks(counts, kind)
                     counts[:], rows = 0, 0
                 rows += n
-                np.add.at(counts, _counter(tokens), np.uint16(1))
+                np.add.at(counts, _counter(tokens, counters), np.uint16(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(set_ids(tokens, at)), pa.array(np.diff(at), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if kind is not None:
             yield blocks(counts, kind)
@@ -122,9 +130,9 @@ def _sketch_pass(docs: DataFrame) -> DataFrame:
 _COUNT_OF = np.concatenate([np.arange(64.0), 64 * 2.0 ** (np.arange(192) / 8)])
 
 
-def _sketch(blocks: DataFrame) -> np.ndarray:
-    """Sums the blocks in the cluster; COUNTERS bytes reach the driver."""
-    per = COUNTERS // BLOCKS
+def _sketch(blocks: DataFrame, counters: int) -> np.ndarray:
+    """Sums the blocks in the cluster; MOST_COUNTERS bytes at most reach the driver."""
+    per = counters // BLOCKS
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
@@ -151,7 +159,7 @@ def prefixes(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray, others: flo
     its prefix ends in the global order (rounded down, so only an inequality tells)."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
-    seen = sketch[_counter(tokens)]
+    seen = sketch[_counter(tokens, len(sketch))]
     order = np.lexsort((tokens, seen, row))
     tokens, seen = tokens[order], seen[order]
     # what the counter holds beyond other shingles' share, one at least
@@ -489,9 +497,10 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    first = saved(_sketch_pass(rows), "sets")
+    counters = sketch_size(rows)
+    first = saved(_sketch_pass(rows, counters), "sets")
     of_rows = first.filter("block IS NULL").select("doc_id", "set_id", "n_shingles")
-    sketch = spark.sparkContext.broadcast(_sketch(first.filter("block IS NOT NULL")))
+    sketch = spark.sparkContext.broadcast(_sketch(first.filter("block IS NOT NULL"), counters))
     # a set's copies meet by salt first; the salts lead back to the rows
     salted = of_rows.filter("n_shingles > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     sets = salted.groupBy("set_id", "salt").agg(F.min("doc_id").alias("rep")).groupBy("set_id").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from scenewright.llm import ngram_join
-from scenewright.llm.components import components
+from scenewright.operators.components import components
 
 SF = "/root/testdata/sf0.01"
 
@@ -102,7 +102,7 @@ def test_prefix_matches_hold_for_every_choice():
         both = len(np.intersect1d(x, y))
         if 5 * both < 4 * (len(x) + len(y) - both):
             continue
-        sketch = rng.integers(2, 256, ngram_join.COUNTERS).astype(np.uint8)
+        sketch = rng.integers(2, 256, 1 << 20).astype(np.uint8)
         token, row, level, chosen, _ = ngram_join.prefixes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), sketch)
         low = min(chosen)
         a, b = ({t for t, r, v in zip(token.tolist(), row, level, strict=True) if r == k and v <= low} for k in (0, 1))
@@ -124,17 +124,17 @@ def test_parity_bitmaps_never_exclude_a_link():
     assert excluded > 50
 
 
-def test_sketch_counts(spark, monkeypatch):
+def test_sketch_counts(spark):
     """The sketch holds every row's distinct shingles once, below 64 exactly."""
     texts = [f"a b c d e {i % 7} f g" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    first = ngram_join._sketch_pass(df)
-    sketch = ngram_join._sketch(first.filter("block IS NOT NULL"))
+    first = ngram_join._sketch_pass(df, 1 << 20)
+    sketch = ngram_join._sketch(first.filter("block IS NOT NULL"), 1 << 20)
     import pyarrow as pa
 
-    want = np.zeros(ngram_join.COUNTERS, int)
+    want = np.zeros(1 << 20, int)
     for _, _, tokens, _ in ngram_join.shingle_sets(pa.array(texts)):
-        np.add.at(want, ngram_join._counter(tokens), 1)
+        np.add.at(want, ngram_join._counter(tokens, 1 << 20), 1)
     assert (sketch == want).all() and want.max() == 60
 
 
