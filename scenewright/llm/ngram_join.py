@@ -58,6 +58,8 @@ BLOCK = 2 << 20
 CHOICES, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 20.0
 SHORT = 24
 SALTS = 64
+#: Postings that a task holds before it sends them, and rows of an Arrow batch while whole texts are read.
+HELD, ROWS = 300_000, 2000
 #: Bits of a set's parity bitmap: four for each shingle, within these.
 LEAST_PARITY, MOST_PARITY = 256, 8192
 
@@ -184,17 +186,28 @@ def prefixes(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray, others: flo
 
 def noise(sketch: np.ndarray) -> float:
     """The mean of the counters: what other shingles add to one, about."""
-    return float((np.bincount(sketch, minlength=256) * _COUNT_OF).sum() / len(sketch))
+    held = sum(np.bincount(part, minlength=256) for part in np.array_split(sketch, max(1, len(sketch) >> 20)))
+    return float((held * _COUNT_OF).sum() / len(sketch))
 
 
 def _postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
     """Rows (bucket, m, data): data is m tokens, set ids, sizes, levels, l and prefix ends, one array after the other."""
 
+    def packed(parts):
+        token, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = ((token & np.uint64(0xFFFFF)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [token[order], *(x[order] for x in rest)]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        edges = [0, *cuts.tolist(), len(bucket)] if len(bucket) else [0]
+        spans = list(zip(edges[:-1], edges[1:], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([b - a for a, b in spans], pa.int32()), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in spans], pa.binary())], ["bucket", "m", "data"])
+
     def run(batches):
-        table = sketch.value
-        others = noise(table)
+        table, others = sketch.value
+        known: set[int] = set()
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            parts, known = [], set()
             for a, b, tokens, at in shingle_sets(batch.column(1)):
                 ids = set_ids(tokens, at)
                 fresh = np.array([i not in known and not known.add(i) for i in ids.tolist()], bool) & (ids != 0)
@@ -202,14 +215,11 @@ def _postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
                 keep = fresh[row]
                 token, row, level = token[keep], row[keep], level[keep]
                 parts.append((token, ids[row], np.diff(at)[row].astype(np.uint32), level.astype(np.uint8), chosen[row].astype(np.uint8), end[row]))
-            token, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-            bucket = ((token & np.uint64(0xFFFFF)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, columns = bucket[order], [token[order], *(x[order] for x in rest)]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            edges = [0, *cuts.tolist(), len(bucket)] if len(bucket) else [0]
-            spans = list(zip(edges[:-1], edges[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([b - a for a, b in spans], pa.int32()), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in spans], pa.binary())], ["bucket", "m", "data"])
+                if sum(len(p[0]) for p in parts) >= HELD:
+                    yield packed(parts)
+                    parts = []
+        if parts:
+            yield packed(parts)
 
     return docs.mapInArrow(run, "bucket int, m int, data binary")
 
@@ -494,13 +504,24 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(ROWS))
+    try:
+        return _join(docs, text, doc_id)
+    finally:
+        conf.set(key, before)
+
+
+def _join(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     counters = sketch_size(rows)
     first = saved(_sketch_pass(rows, counters), "sets")
     of_rows = first.filter("block IS NULL").select("doc_id", "set_id", "n_shingles")
-    sketch = spark.sparkContext.broadcast(_sketch(first.filter("block IS NOT NULL"), counters))
+    table = _sketch(first.filter("block IS NOT NULL"), counters)
+    sketch = spark.sparkContext.broadcast((table, noise(table)))
     # a set's copies meet by salt first; the salts lead back to the rows
     salted = of_rows.filter("n_shingles > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     sets = salted.groupBy("set_id", "salt").agg(F.min("doc_id").alias("rep")).groupBy("set_id").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))
