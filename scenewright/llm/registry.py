@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from scenewright.llm import bpe, decontaminate, exact_dedup, language, ngram_join, quality
+from scenewright.llm import bpe, decontaminate, exact_dedup, language, ngram_join, preference, quality, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op9_preference_format": preference.op9_preference_format,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_ngram_jaccard": ngram_join.op8_ngram_jaccard,
     "op1_quality_neighbours": quality.op1_quality_neighbours,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op9_preference_format": preference.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
