@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scenewright.llm import bpe, decontaminate, exact_dedup, language, ngram_join, preference, quality, token_counts
+from scenewright.llm import bpe, decontaminate, exact_dedup, language, ngram_join, preference, quality, sentence_spans, token_counts
 
 QUERIES = {
+    "op5_sentence_spans": sentence_spans.op5_sentence_spans,
     "op2_token_counts": token_counts.op2_token_counts,
     "op9_preference_format": preference.op9_preference_format,
     "op6_decontaminate": decontaminate.op6_decontaminate,
