@@ -45,6 +45,11 @@ def _delete(path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keep_until_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    _written[path] = spark
+
+
 @atexit.register
 def _clear() -> None:
     for path in list(_written):
