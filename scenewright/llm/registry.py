@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scenewright.llm import bpe, decontaminate, exact_dedup, language, ngram_join, preference, quality, sentence_spans, token_counts
+from scenewright.llm import bpe, decontaminate, exact_dedup, language, ngram_join, preference, quality, sentence_spans, token_counts, training_order
 
 QUERIES = {
+    "op3_training_order": training_order.op3_training_order,
     "op5_sentence_spans": sentence_spans.op5_sentence_spans,
     "op2_token_counts": token_counts.op2_token_counts,
     "op9_preference_format": preference.op9_preference_format,
