@@ -51,8 +51,8 @@ WIDTH = 5
 NUMBER, OF = 4, 5  # the similarity as a fraction
 #: Bits of the candidates' bitmap, whatever the input.
 BITS = 1 << 26
-#: Counters of the sketch: one for so many bytes of text, a power of two within these; and its blocks.
-BYTES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, BLOCKS = 32, 1 << 20, 1 << 25, 256
+#: Counters of the sketch: one for so many bytes of text, within these; and its blocks.
+BYTES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, BLOCKS = 20, 1 << 18, 1 << 26, 256
 BLOCK = 2 << 20
 #: Prefix extensions that a document may choose from, and what one verification costs, in postings.
 CHOICES, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 20.0
@@ -86,13 +86,13 @@ def need(n: np.ndarray) -> np.ndarray:
 
 
 def _counter(tokens: np.ndarray, counters: int) -> np.ndarray:
-    return (tokens >> np.uint64(20)).astype(np.int64) & (counters - 1)
+    return ((tokens >> np.uint64(32)) * np.uint64(counters) >> np.uint64(32)).astype(np.int64)
 
 
 def sketch_size(docs: DataFrame) -> int:
     """Counters for all texts of `docs`."""
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (size // BYTES_A_COUNTER).bit_length()))
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, size // BYTES_A_COUNTER)) // BLOCKS * BLOCKS
 
 
 def _sketch_pass(docs: DataFrame, counters: int) -> DataFrame:
@@ -100,13 +100,14 @@ def _sketch_pass(docs: DataFrame, counters: int) -> DataFrame:
     names = ["doc_id", "set_id", "n_shingles", "block", "counts"]
 
     def blocks(counts, kind):
-        parts = counts.reshape(BLOCKS, -1)
+        """Which counters aren't 0, as bits, then what they hold beyond 1, low bytes before high ones; compressed."""
         used, data = [], []
-        for i in np.flatnonzero(parts.any(1)).tolist():
-            at = np.flatnonzero(parts[i])
-            sparse = len(at) * 16 < parts.shape[1]
-            used.append(i)
-            data.append(b"s" + at.astype(np.uint32).tobytes() + parts[i][at].tobytes() if sparse else b"d" + zlib.compress(parts[i].tobytes(), 1))
+        for i, part in enumerate(counts.reshape(BLOCKS, -1)):
+            at = np.flatnonzero(part)
+            if len(at):
+                more = part[at] - np.uint16(1)
+                used.append(i)
+                data.append(zlib.compress(np.packbits(part > 0).tobytes() + (more & 0xFF).astype(np.uint8).tobytes() + (more >> 8).astype(np.uint8).tobytes(), 1))
         n = len(used)
         return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names)
 
@@ -141,11 +142,10 @@ def _sketch(blocks: DataFrame, counters: int) -> np.ndarray:
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = total.setdefault(i, np.zeros(per, np.int64))
-                if data[:1] == b"d":
-                    own += np.frombuffer(zlib.decompress(data[1:]), np.uint16)
-                else:
-                    m = (len(data) - 1) // 6
-                    own[np.frombuffer(data, np.uint32, m, 1)] += np.frombuffer(data, np.uint16, m, 1 + 4 * m)
+                raw = np.frombuffer(zlib.decompress(data), np.uint8)
+                at = np.flatnonzero(np.unpackbits(raw[: -(-per // 8)], count=per))
+                more = raw[-(-per // 8) :].astype(np.int64)
+                own[at] += 1 + more[: len(at)] + (more[len(at) :] << 8)
         coded = [(np.searchsorted(_COUNT_OF, v, "right") - 1).astype(np.uint8).tobytes() for v in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(coded, pa.binary())], ["block", "counts"])
 
