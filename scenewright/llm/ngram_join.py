@@ -52,12 +52,13 @@ NUMBER, OF = 4, 5  # the similarity as a fraction
 #: Bits of the candidates' bitmap, whatever the input.
 BITS = 1 << 26
 #: Counters of the sketch: one for so many bytes of text, within these; and its blocks.
-BYTES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, BLOCKS = 20, 1 << 18, 1 << 26, 256
+BYTES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, BLOCKS = 40, 1 << 18, 1 << 26, 256
 BLOCK = 2 << 20
 #: Prefix extensions that a document may choose from, and what one verification costs, in postings.
 CHOICES, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 20.0
 SHORT = 24
 SALTS = 64
+LEAST_BUCKETS = 64
 #: Postings that a task holds before it sends them, and rows of an Arrow batch while whole texts are read.
 HELD, ROWS = 300_000, 2000
 #: Bits of a set's parity bitmap: four for each shingle, within these.
@@ -100,14 +101,15 @@ def _sketch_pass(docs: DataFrame, counters: int) -> DataFrame:
     names = ["doc_id", "set_id", "n_shingles", "block", "counts"]
 
     def blocks(counts, kind):
-        """Which counters aren't 0, as bits, then what they hold beyond 1, low bytes before high ones; compressed."""
+        """The gaps between counters that aren't 0, then what they hold beyond 1; byte by byte, the low ones first."""
         used, data = [], []
         for i, part in enumerate(counts.reshape(BLOCKS, -1)):
             at = np.flatnonzero(part)
             if len(at):
-                more = part[at] - np.uint16(1)
+                gap, more = np.diff(at, prepend=-1) - 1, part[at] - np.uint16(1)
+                press = zlib.compressobj(1, strategy=zlib.Z_RLE)
                 used.append(i)
-                data.append(zlib.compress(np.packbits(part > 0).tobytes() + (more & 0xFF).astype(np.uint8).tobytes() + (more >> 8).astype(np.uint8).tobytes(), 1))
+                data.append(press.compress(b"".join((x >> k & 0xFF).astype(np.uint8).tobytes() for x, k in ((gap, 0), (gap, 8), (gap, 16), (more, 0), (more, 8)))) + press.flush())
         n = len(used)
         return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names)
 
@@ -143,9 +145,9 @@ def _sketch(blocks: DataFrame, counters: int) -> np.ndarray:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = total.setdefault(i, np.zeros(per, np.int64))
                 raw = np.frombuffer(zlib.decompress(data), np.uint8)
-                at = np.flatnonzero(np.unpackbits(raw[: -(-per // 8)], count=per))
-                more = raw[-(-per // 8) :].astype(np.int64)
-                own[at] += 1 + more[: len(at)] + (more[len(at) :] << 8)
+                byte = raw.reshape(5, -1).astype(np.int64)
+                at = np.cumsum((byte[0] | byte[1] << 8 | byte[2] << 16) + 1) - 1
+                own[at] += 1 + (byte[3] | byte[4] << 8)
         coded = [(np.searchsorted(_COUNT_OF, v, "right") - 1).astype(np.uint8).tobytes() for v in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(coded, pa.binary())], ["block", "counts"])
 
@@ -300,7 +302,7 @@ def _lists(postings: DataFrame, partitions: int) -> DataFrame:
         if parts:
             yield from _in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    return postings.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _OUT)
+    return postings.repartitionById(partitions, F.pmod("bucket", F.lit(partitions))).sortWithinPartitions("bucket").mapInArrow(run, _OUT)
 
 
 def _known(matched: DataFrame) -> DataFrame:
@@ -527,7 +529,7 @@ def _join(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     sets = salted.groupBy("set_id", "salt").agg(F.min("doc_id").alias("rep")).groupBy("set_id").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))
     sets = saved(sets, "reps")
 
-    lists = saved(_lists(_postings(rows, sketch, 4 * partitions), partitions), "lists")
+    lists = saved(_lists(_postings(rows, sketch, max(LEAST_BUCKETS, partitions)), partitions), "lists")
     known = saved(_known(lists.filter("kind = 3")), "known")
     short = saved(_likely(lists.filter("kind = 0").select("a", "b", "matches", "needs"), known), "short")
     members = saved(_members(lists.filter("kind = 2"), known), "members")
