@@ -24,6 +24,7 @@ import base64
 import functools
 import hashlib
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,16 +81,12 @@ def encoding(path: str, pattern: str = PATTERN):
 
 
 def _streams(batches, path: str):
-    """(ids of a block of rows with an end after each row, id of the block's row at each place where a row begins)."""
-    encode, end = encoding(path)
+    """(ids of each row of a block, the rows' own ids); an end of text follows each row."""
+    encode = encoding(path)[0].encode_ordinary
     for batch in batches:
         _, offsets = column_bytes(batch.column(1))
-        ids = batch.column(0)
         for a, b in doc_groups(offsets, BLOCK):
-            parts = [[*encode.encode_ordinary(t or ""), end] for t in batch.column(1).slice(a, b - a).to_pylist()]
-            length = np.array([len(p) for p in parts], np.int64)
-            flat = np.fromiter((x for p in parts for x in p), np.uint32, int(length.sum()))
-            yield flat, np.cumsum(length) - length, ids.slice(a, b - a)
+            yield [encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()], batch.column(0).slice(a, b - a)
 
 
 def _sequences(docs: DataFrame, path: str, length: int) -> dict[int, int]:
@@ -97,8 +94,8 @@ def _sequences(docs: DataFrame, path: str, length: int) -> dict[int, int]:
 
     def run(batches):
         total = 0
-        for flat, _, _ in _streams(batches, path):
-            total += len(flat)
+        for parts, _ in _streams(batches, path):
+            total += sum(map(len, parts)) + len(parts)
         yield pa.RecordBatch.from_arrays([pa.array([-(-total // length)], pa.int64())], ["n"])
 
     counted = docs.mapInArrow(run, "n long").select(F.spark_partition_id().alias("task"), "n")
@@ -150,8 +147,13 @@ def write(docs: DataFrame, path: str, *, key: int = 1, text: str = "text", doc_i
                 pa.array(names, pa.list_(owner_kind)), pa.array([press.compress(block[order[x:y]].tobytes()) for x, y in spans], pa.binary())], ["shard", "slots", "owners", "data"])
 
         owner_kind = None
-        for flat, starts, ids in _streams(batches, vocabulary):
+        end = encoding(vocabulary)[1]
+        for parts, ids in _streams(batches, vocabulary):
             owner_kind = ids.type
+            for part in parts:
+                part.append(end)
+            size = np.array([len(part) for part in parts], np.int64)
+            flat, starts = np.fromiter(chain.from_iterable(parts), np.uint32, int(size.sum())), np.cumsum(size) - size
             whole = np.concatenate([rest, flat])
             n = len(whole) // length
             named = ids.to_pylist()
