@@ -27,9 +27,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return done
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).collect()[0]
-    return r.n, r.h or 0
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour or only larger ones: then each star is a component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 OR below > 0 AND above > 0").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,13 +38,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Nulls, self-links and repeated links don't matter; an empty table gives an empty one."""
     edges = saved(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc")
-    before = _state(edges)
-    while before[0]:
+    while not _stars_only(edges):
         big = _star(edges, True)
         small = _star(big, False)
         drop(edges, big)
-        edges, now = small, _state(small)
-        if now == before:
-            break
-        before = now
+        edges = small
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
