@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.functions.store import saved
+from scenewright.functions.store import drop, saved
 from scenewright.llm._text import column_bytes, doc_groups, mix, shingles, word_hashes
 from scenewright.operators.components import components
 
@@ -529,17 +529,23 @@ def _join(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     sets = salted.groupBy("set_id", "salt").agg(F.min("doc_id").alias("rep")).groupBy("set_id").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))
     sets = saved(sets, "reps")
 
-    lists = saved(_lists(_postings(rows, sketch, max(LEAST_BUCKETS, partitions)), partitions), "lists")
-    known = saved(_known(lists.filter("kind = 3")), "known")
-    short = saved(_likely(lists.filter("kind = 0").select("a", "b", "matches", "needs"), known), "short")
-    members = saved(_members(lists.filter("kind = 2"), known), "members")
+    spent: list[DataFrame] = []  # tables that nothing reads once the links have met
+
+    def held_for_now(df: DataFrame, name: str) -> DataFrame:
+        spent.append(saved(df, name))
+        return spent[-1]
+
+    lists = held_for_now(_lists(_postings(rows, sketch, max(LEAST_BUCKETS, partitions)), partitions), "lists")
+    known = held_for_now(_known(lists.filter("kind = 3")), "known")
+    short = held_for_now(_likely(lists.filter("kind = 0").select("a", "b", "matches", "needs"), known), "short")
+    members = held_for_now(_members(lists.filter("kind = 2"), known), "members")
     wanted = short.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(members.select(F.col("id").alias("set_id"))).distinct()
-    held = saved(contents(rows, sets, wanted), "contents")
+    held = held_for_now(contents(rows, sets, wanted), "contents")
     links = None
     if not members.isEmpty():
-        members = saved(members.join(held.select(F.col("set_id").alias("id"), "bitmap"), "id").select("token", "id", "n", "level", "ell", "end", "slack", "bitmap"), "members")
-        links = saved(verify(saved(_stars(members), "stars"), held), "links")
-        labels = saved(components(links), "labels")
+        members = held_for_now(members.join(held.select(F.col("set_id").alias("id"), "bitmap"), "id").select("token", "id", "n", "level", "ell", "end", "slack", "bitmap"), "members")
+        links = held_for_now(verify(held_for_now(_stars(members), "stars"), held), "links")
+        labels = components(links)
         of = [labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
         short = short.join(of[0], "a", "left").join(of[1], "b", "left").filter("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
         short = short.unionByName(_left_in_lists(members, labels)).distinct()
@@ -548,6 +554,7 @@ def _join(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
     named = links.join(sets.select(F.col("set_id").alias("a"), F.col("rep").alias("ra")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("rep").alias("rb")), "b")
     labels = components(named.select("ra", "rb"), "ra", "rb").withColumnRenamed("node", "rep")
+    drop(*spent)
     names = sets.join(labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"), F.explode("salts").alias("salt"))
     full = salted.join(names, ["set_id", "salt"]).select("doc_id", "n_shingles", "component_id")
     return full.unionByName(of_rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
