@@ -5,9 +5,9 @@ cut on its own, its last sequence padded with end-of-text.  Sequence number i of
 Feistel permutation of the next even power of two, walked along its cycle until it falls below N.  P needs no table: any
 executor computes any slot, and the inverse finds the sequence that a slot holds.
 
-1. One pass encodes and counts the sequences of each map task; the running sum numbers them (one number for each task).
-2. A second pass encodes again, and sends each sequence to the partition that owns its range of slots, packed and
-   compressed by shard; a task whose number of sequences has changed fails instead of writing a wrong order.
+1. One pass encodes, and writes the sequences of each map task, compressed, to the shared folder; the running sum of the
+   tasks' counts numbers them (one number for each task on the driver).
+2. Each sequence goes to the partition that owns its range of slots, packed and compressed by shard.
 3. Each partition writes its shards, `SHARD` slots of SEQUENCE ids each, little-endian, under a temporary name that is then
    moved in place, so a repeated task leaves the same file.
 
@@ -89,17 +89,52 @@ def _streams(batches, path: str):
             yield [encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()], batch.column(0).slice(a, b - a)
 
 
-def _sequences(docs: DataFrame, path: str, length: int) -> dict[int, int]:
-    """The number of sequences of each map task."""
+def _sequences(docs: DataFrame, path: str, length: int, kind: str) -> DataFrame:
+    """task, before (sequences of the task that come earlier), n, owners (the row of each one's first id), data."""
+    dtype = _dtype(path)
 
     def run(batches):
-        total = 0
-        for parts, _ in _streams(batches, path):
-            total += sum(map(len, parts)) + len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([-(-total // length)], pa.int64())], ["n"])
+        import zstandard
+        from pyspark import TaskContext
+
+        task, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
+        end = encoding(path)[1]
+        rest, owner, owner_kind, done = np.zeros(0, np.uint32), None, None, 0
+        held: list[np.ndarray] = []
+        owners: list = []
+
+        def packed():
+            data = press.compress(np.concatenate(held).astype(dtype).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([done], pa.int64()), pa.array([len(owners)], pa.int64()), pa.array([owners], pa.list_(owner_kind)), pa.array([data], pa.binary())], ["task", "before", "n", "owners", "data"])
+
+        for parts, ids in _streams(batches, path):
+            owner_kind = ids.type
+            for part in parts:
+                part.append(end)
+            size = np.array([len(part) for part in parts], np.int64)
+            flat, starts = np.fromiter(chain.from_iterable(parts), np.uint32, int(size.sum())), np.cumsum(size) - size
+            whole, named = np.concatenate([rest, flat]), ids.to_pylist()
+            n = len(whole) // length
+            first = np.searchsorted(starts, np.arange(n + 1) * length - len(rest), "right") - 1
+            of = [named[k] if k >= 0 else owner for k in first.tolist()]
+            held.append(whole[: n * length])
+            owners += of[:n]
+            owner, rest = of[n], whole[n * length :]
+            if len(owners) >= HELD:
+                yield packed()
+                done += len(owners)
+                held, owners = [], []
+        if len(rest):
+            held.append(np.concatenate([rest, np.full(length - len(rest), end, np.uint32)]))
+            owners.append(owner)
+        if owners:
+            yield packed()
 
-    counted = docs.mapInArrow(run, "n long").select(F.spark_partition_id().alias("task"), "n")
-    return {r.task: r.n for r in counted.collect()}  # one number for each task
+    return docs.mapInArrow(run, f"task int, before long, n long, owners array<{kind}>, data binary")
+
+
+def _dtype(path: str) -> np.dtype:
+    return np.dtype("<u2") if encoding(path)[1] < 1 << 16 else np.dtype("<u4")
 
 
 def write(docs: DataFrame, path: str, *, key: int = 1, text: str = "text", doc_id: str = "doc_id", length: int = SEQUENCE, shard: int = SHARD, vocabulary: str | None = None) -> DataFrame:
@@ -109,74 +144,33 @@ def write(docs: DataFrame, path: str, *, key: int = 1, text: str = "text", doc_i
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counts = _sequences(rows, vocabulary, length)
+    made = store.saved(_sequences(rows, vocabulary, length, kind), "sequences")
+    counts = {r.task: r.n for r in made.groupBy("task").agg(F.sum("n").alias("n")).collect()}  # one number for each task
     total = sum(counts.values())
     begin, at = {}, 0
     for task in sorted(counts):
         begin[task] = at
         at += counts[task]
-    dtype = np.dtype("<u2") if encoding(vocabulary)[1] < 1 << 16 else np.dtype("<u4")
+    dtype = _dtype(vocabulary)
     shards = -(-total // shard)
     partitions = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    shipped = spark.sparkContext.broadcast((begin, counts))
+    shipped = spark.sparkContext.broadcast(begin)
 
     def send(batches):
         import zstandard
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        first, expected = shipped.value[0].get(task, 0), shipped.value[1].get(task, 0)
-        press = zstandard.ZstdCompressor(level=1)
-        rest, owner, done = np.zeros(0, np.uint32), None, 0
-        held: list[np.ndarray] = []
-        owners: list = []
 
-        def packed():
-            nonlocal held, owners, done
-            block = np.concatenate(held).reshape(-1, length).astype(dtype)
-            slot = feistel(first + done + np.arange(len(block)), total, key)
-            done += len(block)
-            order = np.argsort(slot, kind="stable")
-            which = slot[order] // shard
-            edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(order)]
-            spans = list(zip(edges[:-1], edges[1:], strict=True))
-            names = [[owners[k] for k in order[x:y].tolist()] for x, y in spans]
-            held, owners = [], []
-            return pa.RecordBatch.from_arrays([
-                pa.array([int(which[x]) for x, _ in spans], pa.int64()), pa.array([slot[order[x:y]].tolist() for x, y in spans], pa.list_(pa.int64())),
-                pa.array(names, pa.list_(owner_kind)), pa.array([press.compress(block[order[x:y]].tobytes()) for x, y in spans], pa.binary())], ["shard", "slots", "owners", "data"])
-
-        owner_kind = None
-        end = encoding(vocabulary)[1]
-        for parts, ids in _streams(batches, vocabulary):
-            owner_kind = ids.type
-            for part in parts:
-                part.append(end)
-            size = np.array([len(part) for part in parts], np.int64)
-            flat, starts = np.fromiter(chain.from_iterable(parts), np.uint32, int(size.sum())), np.cumsum(size) - size
-            whole = np.concatenate([rest, flat])
-            n = len(whole) // length
-            named = ids.to_pylist()
-            where = np.arange(n) * length - len(rest)
-            held.append(whole[: n * length])
-            for w in where.tolist():
-                k = int(np.searchsorted(starts, w, "right")) - 1
-                owners.append(named[k] if k >= 0 else owner)
-            if n:
-                k = int(np.searchsorted(starts, n * length - len(rest), "right")) - 1
-                owner = named[k] if k >= 0 else owner
-            elif not len(rest):
-                owner = named[0]
-            rest = whole[n * length :]
-            if len(owners) >= HELD:
-                yield packed()
-        if len(rest):
-            held.append(np.concatenate([rest, np.full(length - len(rest), encoding(vocabulary)[1], np.uint32)]))
-            owners.append(owner)
-        if owners:
-            yield packed()
-        if done != expected:
-            raise RuntimeError(f"task {task} made {done} sequences, {expected} were counted: its input isn't the same as before")
+        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for task, before, n, owners, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block = np.frombuffer(unpress.decompress(data), dtype).reshape(n, length)
+                slot = feistel(shipped.value[task] + before + np.arange(n), total, key)
+                order = np.argsort(slot, kind="stable")
+                which = slot[order] // shard
+                edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), n]
+                spans = list(zip(edges[:-1], edges[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(which[x]) for x, _ in spans], pa.int64()), pa.array([slot[order[x:y]].tolist() for x, y in spans], pa.list_(pa.int64())),
+                    pa.array([[owners[k] for k in order[x:y].tolist()] for x, y in spans], batch.column(3).type), pa.array([press.compress(block[order[x:y]].tobytes()) for x, y in spans], pa.binary())], ["shard", "slots", "owners", "data"])
 
     def store_shards(batches):
         import zstandard
@@ -216,14 +210,14 @@ def write(docs: DataFrame, path: str, *, key: int = 1, text: str = "text", doc_i
 
     if not total:
         return spark.createDataFrame([], f"slot long, shard long, byte_offset long, doc_id {kind}, ids_sha256 string")
-    sent = rows.mapInArrow(send, f"shard long, slots array<long>, owners array<{kind}>, data binary")
+    sent = made.select("task", "before", "n", "owners", "data").mapInArrow(send, f"shard long, slots array<long>, owners array<{kind}>, data binary")
     owned = sent.repartitionById(partitions, (F.col("shard") * partitions / F.lit(shards)).cast("int")).sortWithinPartitions("shard")
     return owned.mapInArrow(store_shards, f"slot long, shard long, byte_offset long, doc_id {kind}, ids_sha256 string")
 
 
 def read(path: str, slot: int, n: int, *, length: int = SEQUENCE, shard: int = SHARD, vocabulary: str | None = None) -> np.ndarray:
     """Sequences slot .. slot + n - 1 (fewer at the end) as an array (n, length), by seeking in the shards."""
-    dtype = np.dtype("<u2") if encoding(vocabulary or default_path())[1] < 1 << 16 else np.dtype("<u4")
+    dtype = _dtype(vocabulary or default_path())
     files, folder = fs.FileSystem.from_uri(path)
     stride, out = length * dtype.itemsize, []
     while n > 0:
