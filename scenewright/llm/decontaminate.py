@@ -11,13 +11,15 @@ item is read the same ways from each STRIDE-th of its words, so a window of an i
 A hash table samples SAMPLES of the STEPS steps; WALKS walks, two directions and TABLES tables each repeat this, so that
 the chance to miss an item at the largest number of edits is small (measured in tests/llm).  Sampling is evaluated step
 by step: a window leaves as soon as no table can match any item, which gives the same candidates as complete lookups.
+Walks miss short items, so items of fewer than SHORT_WORDS words are also looked up exactly: of one piece more than the
+edits allowed, one at least is unedited, and every piece is a key.  Of these none is missed.
 Candidates are verified exactly by Myers' bit-parallel edit distance over the whole item.
 
 The items' tables are broadcast in blocks of at most `ITEM_BYTES` of benchmark text; a larger benchmark takes more
 blocks, one pass over the documents for each.  Nothing is shuffled.
 
-Defined results: null texts and texts without words hold nothing; items with fewer than LEAST_WORDS words are held by
-nothing (such phrases occur everywhere); repeated rows give repeated results; repeated items are separate items; extra
+Defined results: null texts and texts without words hold nothing; items with fewer than `least_words` words (LEAST_WORDS
+unless given) are held by nothing (such phrases occur everywhere); repeated rows give repeated results; repeated items are separate items; extra
 columns don't matter.
 """
 
@@ -34,11 +36,14 @@ from scenewright.llm._text import NOT_ALNUM, column_bytes, doc_groups, mix, word
 
 MOST_EDITS = 0.2
 LEAST_WORDS = 5
+SHORT_WORDS = 15
 ITEM_BYTES = 4 << 20
 BLOCK = 1 << 20
 STRIDE, STEPS, SAMPLES, TABLES, WALKS = 6, 14, 5, 8, 2
 _SEED = [np.uint64(0x243F6A8885A308D3 + 0x9E3779B97F4A7C15 * r & 0xFFFFFFFFFFFFFFFF) for r in range(WALKS)]
 _LOOKUP = 1 << 16
+_PIECE_BITS = 20
+HITS, FILTERED_WORDS = 1 << 18, 64
 
 
 def words_of(column: pa.Array):
@@ -72,11 +77,23 @@ def _key(values: np.ndarray, table: int) -> np.ndarray:
     return out
 
 
+def most_edits(n: int) -> int:
+    return int(MOST_EDITS * n + 1e-9)
+
+
+def _run_keys(words: np.ndarray, most: int):
+    """(length, keys of the runs of so many words from each place) for lengths from 1 to most."""
+    key = np.full(len(words), 0x9E3779B97F4A7C15, np.uint64)
+    for n in range(1, min(most, len(words)) + 1):
+        key = mix(key[: len(words) - n + 1] * np.uint64(0xE7037ED1A0B428DB) ^ words[n - 1 :])
+        yield n, key
+
+
 class Items:
-    """The items' words and their LSH tables."""
+    """The items' words, their LSH tables and the keys of their pieces."""
 
-    def __init__(self, ids: list, texts: list[str | None]) -> None:
-        self.ids, self.words = ids, []
+    def __init__(self, ids: list, texts: list[str | None], least_words: int = LEAST_WORDS) -> None:
+        self.ids, self.words, self.least_words = ids, [], max(1, least_words)
         for _, _, words, at in words_of(pa.array(texts, pa.string())):
             self.words += [words[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         self.peq: dict[int, dict[int, int]] = {}
@@ -84,12 +101,70 @@ class Items:
         for walk in range(WALKS):
             for back in (False, True):
                 self.tables[walk, back] = self._build(walk, back)
+        self.pieces = self._pieces()
+
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By number of words: (bitmap of keys, sorted keys, item, place in the item) of all pieces of the short items."""
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for i, words in enumerate(self.words):
+            n = len(words)
+            if not self.least_words <= n < SHORT_WORDS:
+                continue
+            edges = [n * j // (most_edits(n) + 1) for j in range(most_edits(n) + 2)]
+            keys = dict(_run_keys(words, max(b - a for a, b in zip(edges, edges[1:], strict=False))))
+            for a, b in zip(edges, edges[1:], strict=False):
+                found[b - a].append((int(keys[b - a][a]), i, a))
+        out = {}
+        for n, rows in found.items():
+            key = np.array([r[0] for r in rows], np.uint64)
+            order = np.argsort(key, kind="stable")
+            bitmap = np.zeros(1 << _PIECE_BITS, bool)
+            bitmap[(key >> np.uint64(64 - _PIECE_BITS)).astype(np.int64)] = True
+            out[n] = bitmap, key[order], np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int64)[order]
+        return out
+
+    def piece_hits(self, words: np.ndarray, at: np.ndarray):
+        """(row, item, word at which the item would begin) of all pieces found unedited, as far as enough of the item's words are near their places."""
+        for n, key in _run_keys(words, max(self.pieces, default=0)):
+            if n not in self.pieces:
+                continue
+            bitmap, keys, item, place = self.pieces[n]
+            live = np.flatnonzero(bitmap[(key >> np.uint64(64 - _PIECE_BITS)).astype(np.int64)])
+            low, high = np.searchsorted(keys, key[live], "left"), np.searchsorted(keys, key[live], "right")
+            row = np.searchsorted(at, live, "right") - 1
+            ok = (high > low) & (live + n <= at[row + 1])
+            live, low, count, row = live[ok], low[ok], (high - low)[ok], row[ok]
+            upto = np.cumsum(count)
+            done = 0
+            while done < len(live):  # blocks of HITS, however many items share a key
+                to = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + HITS, "right")))
+                c = count[done:to]
+                which = np.repeat(low[done:to], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                r, i, begin = np.repeat(row[done:to], c), item[which], np.repeat(live[done:to], c) - place[which]
+                near = self._near(words, i, begin)
+                yield r[near], i[near], begin[near]
+                done = to
+
+    def _near(self, words: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether all words of the item but the edits allowed occur within so many places of theirs; items over FILTERED_WORDS pass."""
+        size = np.array([len(w) for w in self.words], np.int64)[item]
+        out = np.ones(len(item), bool)
+        for n in np.unique(size[size <= FILTERED_WORDS]).tolist():
+            most, of = most_edits(n), np.flatnonzero(size == n)
+            for part in np.array_split(of, -(-len(of) * n // (1 << 20))):
+                own = np.stack([self.words[i] for i in item[part].tolist()])
+                there = begin[part, None] + np.arange(n)
+                same = np.zeros(own.shape, bool)
+                for shift in range(-most, most + 1):
+                    same |= words[np.clip(there + shift, 0, len(words) - 1)] == own
+                out[part] = same.sum(1) >= n - most
+        return out
 
     def _build(self, walk: int, back: bool):
         item, place, emitted = [], [], []
         for i, words in enumerate(self.words):
             n = len(words)
-            if n < LEAST_WORDS:
+            if n < max(self.least_words, 2):
                 continue
             symbols = pairs_of(words)[:-1]
             bits = mix(symbols ^ _SEED[walk])
@@ -194,8 +269,6 @@ class Items:
     def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, words of the item): the fewest edits for each item that a row holds."""
         item, begin = self.candidates(words)
-        if not len(item):
-            return []
         size = np.array([len(w) for w in self.words], np.int64)[item]
         slack = np.floor(MOST_EDITS * size + 1e-9).astype(np.int64)
         row = np.searchsorted(at, np.clip(begin + size // 2, 0, max(len(words) - 1, 0)), "right") - 1
@@ -205,9 +278,14 @@ class Items:
         for r, i, x, y in zip(rows.tolist(), np.tile(item, 3).tolist(), np.maximum(low, at[rows]).tolist(), np.minimum(high, at[rows + 1]).tolist(), strict=True):
             if x < y:
                 todo[r, i].append((x, y))
+        for r, item, begin in self.piece_hits(words, at):
+            size = np.array([len(w) for w in self.words], np.int64)[item]
+            slack = np.floor(MOST_EDITS * size + 1e-9).astype(np.int64)
+            for k, i, x, y in zip(r.tolist(), item.tolist(), np.maximum(begin - slack, at[r]).tolist(), np.minimum(begin + size + slack, at[r + 1]).tolist(), strict=True):
+                todo[k, i].append((x, y))
         out = []
         for (r, i), regions in todo.items():
-            most, best, after = int(MOST_EDITS * len(self.words[i]) + 1e-9), len(self.words[i]), -1
+            most, best = most_edits(len(self.words[i])), len(self.words[i])
             regions = sorted(set(regions))
             merged = [list(regions[0])]
             for x, y in regions[1:]:
@@ -235,7 +313,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> li
         yield [r.item_id for r in part], [r.text for r in part]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", item_bytes: int = ITEM_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", item_bytes: int = ITEM_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each row of `docs` and item that it holds: doc_id, item_id, edits, item_words, similarity."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -245,7 +323,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id
         shipped = docs.sparkSession.sparkContext.broadcast((ids, texts))  # item_bytes at most, and the largest item
 
         def run(batches, shipped=shipped):
-            items = Items(*shipped.value)
+            items = Items(*shipped.value, least_words)
             for batch in batches:
                 for a, b, words, at in words_of(batch.column(1)):
                     found = items.matches(words, at)
@@ -260,7 +338,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id", item_bytes: int = ITEM_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id", item_bytes: int = ITEM_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of `docs`, with all columns, that hold no item."""
     schema, names = docs.schema, docs.columns
     at = names.index(text)
@@ -268,7 +346,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_tex
         shipped = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def run(batches, shipped=shipped):
-            items = Items(*shipped.value)
+            items = Items(*shipped.value, least_words)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for a, _, words, offsets in words_of(batch.column(at)):

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from scenewright.llm import decontaminate
 
@@ -78,6 +79,35 @@ def test_recall_up_to_the_largest_distance():
     assert found >= 0.97 * 150
 
 
+def hits(items, text):
+    return {k: e for _, _, w, at in decontaminate.words_of(pa.array([" ".join(text)])) for _, k, e, _ in items.matches(w, at)}
+
+
+@pytest.mark.parametrize("size", range(1, decontaminate.SHORT_WORDS))
+def test_short_items_are_all_found(size):
+    """Verbatim and at the largest distance, by any edits."""
+    rng = random.Random(size)
+    new = lambda: "".join(rng.choices("abcdefghij", k=4))
+    texts = [" ".join(new() for _ in range(size)) for _ in range(60)]
+    items = decontaminate.Items(list(range(60)), texts, least_words=1)
+    for i, t in enumerate(texts):
+        for edits in (0, int(0.2 * size + 1e-9)):
+            text = [new() for _ in range(20)] * (i % 3 > 0) + edited(rng, t.split(), edits, new) + [new() for _ in range(20)] * (i % 3 > 1)
+            assert hits(items, text).get(i) == plain_distance(t.split(), text)
+
+
+def test_short_items_with_common_words_against_brute_force(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choices("abcde", k=rng.randrange(1, 15)))) for i in range(40)]
+    docs = [(d, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 30)))) for d in range(60)]
+    want = [(d, i, e, len(t.split())) for d, x in docs for i, t in items if (e := plain_distance(t.split(), x.split())) <= int(0.2 * len(t.split()) + 1e-9)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r)[:4] for r in decontaminate.matches(df, bench, least_words=1).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 150
+    left = sorted(r.doc_id for r in decontaminate.clean(df, bench, least_words=1).collect())
+    assert left == sorted({d for d, _ in docs} - {w[0] for w in want})
+
+
 def test_embedding_keeps_near_sequences_near():
     """Steps in which two walks differ: few for a few edits, most for other sequences."""
     rng = np.random.default_rng(2)
