@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embeddings, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: exact piece lookup, CGK embeddings with bit-sampling LSH, exact edit verification.
 
 A document holds an item if some stretch of its words is within floor(`MOST_EDITS` * words of the item) word edits
 (insertions, deletions, substitutions) of the whole item.  Words are runs of letters and digits with A-Z lower-cased, so
@@ -7,12 +7,14 @@ case, punctuation and line breaks don't matter.
 The symbols are word pairs.  A CGK walk reads a sequence from a place: step j emits the symbol under the pointer, and the
 pointer moves on if bit j of that symbol's random hash is set.  Two sequences a few edits apart then differ in few steps
 (edit distance becomes Hamming distance).  Every word of every document begins a window, read forwards and backwards; every
-item is read the same ways from each STRIDE-th of its words, so a window of an item's size is met from several places.
+item is read the same ways from each STRIDE-th of its words.  A window is the STEPS steps of a walk (about half as many
+words), whatever the item's size, so a longer item is met from several places.
 A hash table samples SAMPLES of the STEPS steps; WALKS walks, two directions and TABLES tables each repeat this, so that
-the chance to miss an item at the largest number of edits is small (measured in tests/llm).  Sampling is evaluated step
+few items are missed if the edits leave some window as it was.  Sampling is evaluated step
 by step: a window leaves as soon as no table can match any item, which gives the same candidates as complete lookups.
-Walks miss short items, so items of fewer than SHORT_WORDS words are also looked up exactly: of one piece more than the
-edits allowed, one at least is unedited, and every piece is a key.  Of these none is missed.
+Walks miss short items, and items whose edits are spread evenly, so every item is also looked up exactly: it is cut into
+one piece more than the edits allowed (2 to 5 words each), one of them at least is unedited, and every piece is a key.  So
+no item is missed, whatever its length and the spread of its edits.
 Candidates are verified exactly by Myers' bit-parallel edit distance over the whole item.
 
 The items' tables are broadcast in blocks of at most `ITEM_BYTES` of benchmark text; a larger benchmark takes more
@@ -36,7 +38,6 @@ from scenewright.llm._text import NOT_ALNUM, column_bytes, doc_groups, mix, word
 
 MOST_EDITS = 0.2
 LEAST_WORDS = 5
-SHORT_WORDS = 15
 ITEM_BYTES = 4 << 20
 BLOCK = 1 << 20
 STRIDE, STEPS, SAMPLES, TABLES, WALKS = 6, 14, 5, 8, 2
@@ -104,11 +105,11 @@ class Items:
         self.pieces = self._pieces()
 
     def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By number of words: (bitmap of keys, sorted keys, item, place in the item) of all pieces of the short items."""
+        """By number of words: (bitmap of keys, sorted keys, item, place in the item) of all pieces of the items."""
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for i, words in enumerate(self.words):
             n = len(words)
-            if not self.least_words <= n < SHORT_WORDS:
+            if n < self.least_words:
                 continue
             edges = [n * j // (most_edits(n) + 1) for j in range(most_edits(n) + 2)]
             keys = dict(_run_keys(words, max(b - a for a, b in zip(edges, edges[1:], strict=False))))

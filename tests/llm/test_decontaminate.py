@@ -83,7 +83,7 @@ def hits(items, text):
     return {k: e for _, _, w, at in decontaminate.words_of(pa.array([" ".join(text)])) for _, k, e, _ in items.matches(w, at)}
 
 
-@pytest.mark.parametrize("size", range(1, decontaminate.SHORT_WORDS))
+@pytest.mark.parametrize("size", range(1, 15))
 def test_short_items_are_all_found(size):
     """Verbatim and at the largest distance, by any edits."""
     rng = random.Random(size)
@@ -96,6 +96,20 @@ def test_short_items_are_all_found(size):
             assert hits(items, text).get(i) == plain_distance(t.split(), text)
 
 
+@pytest.mark.parametrize("size", [12, 15, 20, 25, 30, 70])
+def test_evenly_spread_edits_are_all_found(size):
+    rng = random.Random(size)
+    new = lambda: "".join(rng.choices("abcdefghij", k=4))
+    texts = [" ".join(new() for _ in range(size)) for _ in range(60)]
+    items, edits = decontaminate.Items(list(range(60)), texts), int(0.2 * size + 1e-9)
+    for i, t in enumerate(texts):
+        words = t.split()
+        for k in range(edits):
+            words[(2 * k + 1) * size // (2 * edits)] = new()
+        text = [new() for _ in range(20)] + words + [new() for _ in range(20)]
+        assert hits(items, text).get(i) == plain_distance(t.split(), text)
+
+
 def test_short_items_with_common_words_against_brute_force(spark):
     rng = random.Random(6)
     items = [(i, " ".join(rng.choices("abcde", k=rng.randrange(1, 15)))) for i in range(40)]
