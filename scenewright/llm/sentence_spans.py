@@ -3,18 +3,22 @@
 A sentence ends after a word with a final . ! or ? (quotes and brackets may follow) and at a line break.  Every run of
 consecutive sentences is hashed: for each sentence the shortest run that begins with it, and the shortest that ends with
 it, of at least SENTENCES sentences and LEAST_WORDS words; case of A-Z and white space don't matter.  The first occurrence
-of a run, by doc_id and then by place, stays; every later one is a repeat, and the sentences that any repeat covers are
+of a run, by doc_id, the text's hash and then by place, stays; every later one is a repeat, and the sentences that any repeat covers are
 removed.
 
-1. One pass hashes all runs; a task keeps the first occurrence of each hash and sends (hash, doc_id, place) packed by
+1. One pass hashes all runs; a task keeps the first occurrence of each hash and sends (hash, row, place) packed by
    bucket, so a passage that is everywhere leaves a task once.  In a bucket the first occurrence of each hash that came
    more than once is found.
 2. A second pass hashes the runs again, and sends those whose hash a fixed-size bitmap of repeated hashes may hold; the
    join with the first occurrences is exact and can be split at a frequent hash.
-3. The repeats of a document, packed as covered sentences, join the documents by id and the text is cut.
+3. The repeats of a document, packed as covered sentences, join the documents by row and the text is cut.
+
+A row is known by its doc_id and the hash of its whole text.
 
 Defined results: null text counts as empty and stays null; a null doc_id comes after all others; rows that repeat a
-doc_id and a run are the same occurrence and both stay; texts without a long enough run are unchanged; extra columns stay
+doc_id and the whole text are the same document and both stay, but rows without a doc_id are separate documents, of which
+the further ones with an equal text are repeats of the first; rows that repeat a doc_id with another text are separate
+documents; texts without a long enough run are unchanged; extra columns stay
 as they are.
 """
 
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenewright.functions.store import saved
@@ -93,48 +97,49 @@ def runs(hashes: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> tuple[np
     return mix(value + size.astype(np.uint64) * np.uint64(0x165667B19E3779F9)), a, b
 
 
-def _runs_of(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, doc, first sentence, one after the last) of blocks of rows; sentences count within each row."""
+def _runs_of(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, doc, hash of the text, first sentence, one after the last) of blocks of rows; sentences count within each row."""
     for batch in batches:
         ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+        sums = batch.column(2).to_numpy(zero_copy_only=False)
         buf, offsets = column_bytes(batch.column(1))
         for a, b in doc_groups(offsets, BLOCK):
             _, hashes, words, at = sentences(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             h, s, e = runs(hashes, words, at)
             row = np.searchsorted(at, s, "right") - 1
-            yield h, ids[a:b][row], s - at[row], e - at[row]
+            yield h, ids[a:b][row], sums[a:b][row], s - at[row], e - at[row]
 
 
-def _firsts(h, doc, place) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _firsts(h, doc, sum_, place) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each hash with its first occurrence and whether it came more than once."""
-    order = np.lexsort((place, doc, h))
-    h, doc, place = h[order], doc[order], place[order]
+    order = np.lexsort((place, sum_, doc, h))
+    h, doc, sum_, place = h[order], doc[order], sum_[order], place[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (sum_[1:] != sum_[:-1]) | (place[1:] != place[:-1])
     many = np.add.reduceat(new, first) > 1 if len(h) else np.zeros(0, bool)
-    return h[first], doc[first], place[first], many
+    return h[first], doc[first], sum_[first], place[first], many
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """hash, doc, place: the first occurrence of each run that comes more than once.  docs: id (long), text."""
+    """hash, doc, sum, place: the first occurrence of each run that comes more than once.  docs: id (long), text, sum (its hash)."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
 
     def packed(parts):
-        h, doc, place, many = _firsts(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        h, doc, sum_, place, many = _firsts(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         bucket = (h & np.uint64(0xFFFFF)) * np.uint64(buckets) >> np.uint64(20)
         order = np.argsort(bucket, kind="stable")
-        bucket, columns = bucket[order], [x[order] for x in (h, doc, place.astype(np.uint32), many)]
+        bucket, columns = bucket[order], [x[order] for x in (h, doc, sum_, place.astype(np.uint32), many)]
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
         cut = list(zip(edges[:-1], edges[1:], strict=True))
         return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in cut], pa.int32()), pa.array([b - a for a, b in cut], pa.int32()), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in cut], pa.binary())], ["bucket", "m", "data"])
 
     def send(batches):
         parts = []
-        for h, doc, s, _ in _runs_of(batches):
-            parts.append((h, doc, s))
+        for h, doc, sum_, s, _ in _runs_of(batches):
+            parts.append((h, doc, sum_, s))
             if sum(len(p[0]) for p in parts) >= HELD:
                 yield packed(parts)
                 parts = []
@@ -145,11 +150,11 @@ def repeated(docs: DataFrame) -> DataFrame:
         bucket, parts = None, []
 
         def found():
-            h, doc, place, many = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, doc, sum_, place, many = (np.concatenate(x) for x in zip(*parts, strict=True))
             often = np.unique(h[many])
-            h1, doc1, place1, many1 = _firsts(h, doc, place.astype(np.int64))
+            h1, doc1, sum1, place1, many1 = _firsts(h, doc, sum_, place.astype(np.int64))
             keep = many1 | np.isin(h1, often)
-            return pa.RecordBatch.from_arrays([pa.array(h1[keep].view(np.int64)), pa.array(doc1[keep], pa.int64()), pa.array(place1[keep], pa.int64())], ["hash", "doc", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(h1[keep].view(np.int64)), pa.array(doc1[keep], pa.int64()), pa.array(sum1[keep], pa.int64()), pa.array(place1[keep], pa.int64())], ["hash", "doc", "sum", "place"])
 
         for batch in batches:
             for k, m, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -157,16 +162,16 @@ def repeated(docs: DataFrame) -> DataFrame:
                     yield found()
                     parts = []
                 bucket = k
-                parts.append((np.frombuffer(data, np.uint64, m), np.frombuffer(data, np.int64, m, 8 * m), np.frombuffer(data, np.uint32, m, 16 * m), np.frombuffer(data, bool, m, 20 * m)))
+                parts.append((np.frombuffer(data, np.uint64, m), np.frombuffer(data, np.int64, m, 8 * m), np.frombuffer(data, np.int64, m, 16 * m), np.frombuffer(data, np.uint32, m, 24 * m), np.frombuffer(data, bool, m, 28 * m)))
         if parts:
             yield found()
 
     blobs = docs.mapInArrow(send, "bucket int, m int, data binary")
-    return blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "hash long, doc long, place long")
+    return blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "hash long, doc long, sum long, place long")
 
 
 def covered(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """doc, cover: the sentences of each document that repeats cover, as arrays of first sentences and ends."""
+    """doc, sum, cover: the sentences of each document that repeats cover, as arrays of first sentences and ends."""
     spark = docs.sparkSession
     place = F.pmod("hash", F.lit(BITS)) + 1
     bits = np.zeros(BITS // 8, np.uint8)
@@ -177,25 +182,29 @@ def covered(docs: DataFrame, first: DataFrame) -> DataFrame:
 
     def likely(batches):
         table = shipped.value
-        for h, doc, s, e in _runs_of(batches):
+        for h, doc, sum_, s, e in _runs_of(batches):
             p = h & np.uint64(BITS - 1)
             hit = table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0
-            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(doc[hit], pa.int64()), pa.array(s[hit], pa.int64()), pa.array(e[hit], pa.int64())], ["hash", "at_doc", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(doc[hit], pa.int64()), pa.array(sum_[hit], pa.int64()), pa.array(s[hit], pa.int64()), pa.array(e[hit], pa.int64())], ["hash", "at_doc", "at_sum", "s", "e"])
 
-    met = docs.mapInArrow(likely, "hash long, at_doc long, s long, e long").join(first, "hash")
-    again = met.filter("at_doc <> doc OR s <> place")
-    return again.groupBy(F.col("at_doc").alias("doc")).agg(F.collect_set(F.struct("s", "e")).alias("cover"))
+    met = docs.mapInArrow(likely, "hash long, at_doc long, at_sum long, s long, e long").join(first, "hash")
+    again = met.filter("at_doc <> doc OR at_sum <> sum OR s <> place")
+    return again.groupBy(F.col("at_doc").alias("doc"), F.col("at_sum").alias("sum")).agg(F.collect_set(F.struct("s", "e")).alias("cover"))
 
 
 def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", report: bool = False) -> DataFrame:
     """`docs` with repeated sentences cut from the text; with `report`, the further columns __sentences and __removed."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("sum", F.xxhash64("text"))
     first = saved(repeated(plain), "repeats")
     cover = saved(covered(plain, first), "cover")
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST))
-    joined = docs.withColumn("__doc", key).join(cover.withColumnRenamed("doc", "__doc").withColumnRenamed("cover", "__cover"), "__doc", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__cover")
+    number, sum_ = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`").cast("string"))
+    again = F.row_number().over(Window.partitionBy("__sum").orderBy("__doc")) > 1  # rows without an id and with an equal text
+    named = docs.filter(number.isNotNull()).withColumns({"__doc": number, "__sum": sum_, "__again": F.lit(False)})
+    unnamed = docs.filter(number.isNull()).withColumns({"__doc": F.lit(LAST), "__sum": sum_}).withColumn("__again", again)
+    joined = named.unionByName(unnamed).join(cover.withColumnsRenamed({"doc": "__doc", "sum": "__sum", "cover": "__cover"}), ["__doc", "__sum"], "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__again", "__cover")
     at = docs.columns.index(text)
     extra = [StructField("__sentences", LongType()), StructField("__removed", LongType())] if report else []
     schema = StructType([*docs.schema.fields, *extra])
@@ -207,16 +216,22 @@ def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", repor
             pieces: list[bytes | None] = []
             counts, gone_counts = [], []
             known = column.is_valid().to_pylist()
+            copies = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
             for a, b in doc_groups(offsets, BLOCK):
                 own = buf[offsets[a] : offsets[b]]
                 off = offsets[a : b + 1] - offsets[a]
-                start, _, _, rows = sentences(own, off)
+                start, hashes, words, rows = sentences(own, off)
+                _, first_of, end_of = runs(hashes, words, rows) if copies[a:b].any() else (None, None, None)
                 for i in range(a, b):
                     s, e = int(rows[i - a]), int(rows[i - a + 1])
                     gone = np.zeros(e - s + 1, np.int64)
                     for c in (cover[i].as_py() or []) if cover[i].is_valid else []:
                         gone[c["s"]] += 1
                         gone[c["e"]] -= 1
+                    if copies[i]:
+                        here = (first_of >= s) & (first_of < e)
+                        np.add.at(gone, first_of[here] - s, 1)
+                        np.add.at(gone, end_of[here] - s, -1)
                     out = np.cumsum(gone[:-1]) > 0
                     raw = own[off[i - a] : off[i - a + 1]].tobytes()
                     if out.any():
@@ -226,7 +241,7 @@ def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", repor
                     pieces.append(raw if known[i] else None)
                     counts.append(e - s)
                     gone_counts.append(int(out.sum()))
-            columns = [*batch.columns[:at], pa.array([None if p is None else p.decode() for p in pieces], pa.string()), *batch.columns[at + 1 : -1]]
+            columns = [*batch.columns[:at], pa.array([None if p is None else p.decode() for p in pieces], pa.string()), *batch.columns[at + 1 : -2]]
             if report:
                 columns += [pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)

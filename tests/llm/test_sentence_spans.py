@@ -92,3 +92,23 @@ def test_planted_passage_and_edges(spark):
     left = {r[0]: r[1] for r in got}
     assert left[1] == rows[1][1] and left[3] == "Alpha is first. Omega ends this." and left[2] == "" and left[9] == ""
     assert run(spark, []) == []
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Each row is a document of its own: what is cut is what a table with other ids in the same order loses."""
+    one = "Here is a first passage of eight words. It goes on with a second sentence of some length."
+    two = "Another passage stands here for the test. Its end is a sentence that has many words too."
+    texts = [f"{one} Only here is this.", f"{one} And this is other.", f"{two} {one}", "short. text.", f"A start. {two}", f"{one} {two} A third one. {one}", None, ""]
+    for key in (None, 5):
+        rows = [(key, t) for t in texts] + [(1, f"Before. {two}")]
+        sums = [r[0] for r in spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k int, text string").selectExpr("k", "xxhash64(text) AS h").orderBy("k").select("h").collect()]
+        order = sorted(range(len(rows)), key=lambda k: (ss.LAST if rows[k][0] is None else rows[k][0], sums[k]))
+        want = brute_force([(n, rows[k][1]) for n, k in enumerate(order)])
+        assert run(spark, rows) == sorted([(rows[order[n]][0], *rest) for n, *rest in want], key=repr)
+        assert sum(w[3] > 0 for w in want) >= 4
+
+
+def test_equal_texts_without_an_id(spark):
+    text = "Here is a first passage of eight words. It goes on with a second sentence of some length."
+    assert [r[1:] for r in run(spark, [(None, text)] * 3)] == [("", 2, 2), ("", 2, 2), (text, 2, 0)]
+    assert [r[1:] for r in run(spark, [(4, text)] * 2)] == [(text, 2, 0)] * 2
