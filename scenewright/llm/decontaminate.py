@@ -1,28 +1,30 @@
-"""Benchmark decontamination: exact piece lookup, CGK embeddings with bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: CGK embeddings, bit-sampling LSH over item-sized windows, exact edit verification.
 
 A document holds an item if some stretch of its words is within floor(`MOST_EDITS` * words of the item) word edits
 (insertions, deletions, substitutions) of the whole item.  Words are runs of letters and digits with A-Z lower-cased, so
 case, punctuation and line breaks don't matter.
 
-The symbols are word pairs.  A CGK walk reads a sequence from a place: step j emits the symbol under the pointer, and the
-pointer moves on if bit j of that symbol's random hash is set.  Two sequences a few edits apart then differ in few steps
-(edit distance becomes Hamming distance).  Every word of every document begins a window, read forwards and backwards; every
-item is read the same ways from each STRIDE-th of its words.  A window is the STEPS steps of a walk (about half as many
-words), whatever the item's size, so a longer item is met from several places.
-A hash table samples SAMPLES of the STEPS steps; WALKS walks, two directions and TABLES tables each repeat this, so that
-few items are missed if the edits leave some window as it was.  Sampling is evaluated step
-by step: a window leaves as soon as no table can match any item, which gives the same candidates as complete lookups.
-Walks miss short items, and items whose edits are spread evenly, so every item is also looked up exactly: it is cut into
-one piece more than the edits allowed (2 to 5 words each), one of them at least is unedited, and every piece is a key.  So
-no item is missed, whatever its length and the spread of its edits.
-Candidates are verified exactly by Myers' bit-parallel edit distance over the whole item.
+A CGK walk reads a sequence from a place: step j emits the symbol under the pointer, and the pointer moves on if bit j of
+its word's random hash is set.  Two sequences a few edits apart then emit the same symbol in many steps (edit distance
+becomes Hamming distance).  The symbols are word pairs.  Every word of every document begins a window, read forwards and
+backwards; every item is read the same ways, once from its first and once from its last word.  The window of an item has
+`SPAN` steps for each of its words (rounded down to its class of sizes), which take the walk over about two thirds of the
+item, so that both directions cover it all.  An item of more than WINDOW words is cut into windows of equal size, of which
+one at least has no larger share of the edits than the item.
+
+A hash table samples steps of the window: the first among its first FIRST steps, the second anywhere behind it (items of
+fewer than SINGLE words: the first alone).  WALKS walks, two directions and TABLES tables for each repeat this, so that few
+items are missed (see `TARGET`).  Sampling is evaluated step by step: only a window whose first sample some item shares is
+walked on, which gives the same candidates as complete lookups.  Items of so few words that no edit is allowed are looked
+up by a hash of the whole window.  Candidates are verified exactly by Myers' bit-parallel edit distance over the whole item.
 
 The items' tables are broadcast in blocks of at most `ITEM_BYTES` of benchmark text; a larger benchmark takes more
 blocks, one pass over the documents for each.  Nothing is shuffled.
 
 Defined results: null texts and texts without words hold nothing; items with fewer than `least_words` words (LEAST_WORDS
-unless given) are held by nothing (such phrases occur everywhere); repeated rows give repeated results; repeated items are separate items; extra
-columns don't matter.
+unless given) are held by nothing (such phrases occur everywhere); repeated rows give repeated results; repeated items are
+separate items; an empty table of documents or items gives no rows; texts of any length are searched whole; an item
+that a text holds several times counts once, with its fewest edits; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -40,11 +42,16 @@ MOST_EDITS = 0.2
 LEAST_WORDS = 5
 ITEM_BYTES = 4 << 20
 BLOCK = 1 << 20
-STRIDE, STEPS, SAMPLES, TABLES, WALKS = 6, 14, 5, 8, 2
+FIRST, TABLES, WALKS, SINGLE, SPAN, WINDOW = 8, 16, 2, 7, 1.3, 100
+#: The part of items at MOST_EDITS, however the edits are spread, that tests expect to be found.
+TARGET = 0.95
+#: Each class of item sizes begins at so many times the words of the one before.
+GROWTH = 1.2
 _SEED = [np.uint64(0x243F6A8885A308D3 + 0x9E3779B97F4A7C15 * r & 0xFFFFFFFFFFFFFFFF) for r in range(WALKS)]
-_LOOKUP = 1 << 16
-_PIECE_BITS = 20
+_BITS = 20
 HITS, FILTERED_WORDS = 1 << 18, 64
+#: Symbols that windows which are walked on may hold at once.
+EMITTED = 1 << 22
 
 
 def words_of(column: pa.Array):
@@ -60,95 +67,199 @@ def pairs_of(words: np.ndarray) -> np.ndarray:
     return mix(words * np.uint64(0xA0761D6478BD642F) ^ after)
 
 
-def samples(walk: int, back: bool) -> np.ndarray:
-    """The steps that each table samples, the first one within the first half."""
-    rng = np.random.default_rng([11, walk, int(back)])
-    out = []
-    for t in range(TABLES):
-        first = t % (STEPS // 2)
-        out.append([first, *sorted(rng.choice(np.arange(first + 1, STEPS), SAMPLES - 1, replace=False).tolist())])
-    return np.array(out)
-
-
-def _key(values: np.ndarray, table: int) -> np.ndarray:
+def _key(symbols: np.ndarray) -> np.ndarray:
     """One number for the sampled symbols (rows: samples)."""
-    out = np.full(values.shape[1], table + 1, np.uint64)
-    for v in values:
+    out = symbols[0]
+    for v in symbols[1:]:
         out = mix(out * np.uint64(0xE7037ED1A0B428DB) ^ v)
     return out
 
 
+def _matched(keys: np.ndarray, item: np.ndarray, key: np.ndarray, start: np.ndarray):
+    """(item, start) of all equal keys, in parts of about HITS, however many items share a key."""
+    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    found = np.flatnonzero(high > low)
+    low, count, start = low[found], (high - low)[found], start[found]
+    upto, done = np.cumsum(count), 0
+    while done < len(found):
+        to = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + HITS, "right")))
+        c = count[done:to]
+        yield item[np.repeat(low[done:to], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)], np.repeat(start[done:to], c)
+        done = to
+
+
 def most_edits(n: int) -> int:
     return int(MOST_EDITS * n + 1e-9)
 
 
-def _run_keys(words: np.ndarray, most: int):
-    """(length, keys of the runs of so many words from each place) for lengths from 1 to most."""
-    key = np.full(len(words), 0x9E3779B97F4A7C15, np.uint64)
-    for n in range(1, min(most, len(words)) + 1):
-        key = mix(key[: len(words) - n + 1] * np.uint64(0xE7037ED1A0B428DB) ^ words[n - 1 :])
-        yield n, key
+def size_class(n: int) -> int:
+    """The least number of words in the class of items with n words."""
+    low = 1.0
+    while low * GROWTH <= n:
+        low = max(low * GROWTH, int(low) + 1)
+    return int(low)
+
+
+def steps_of(n: int) -> int:
+    """Steps of the window of an item with n words."""
+    return max(2, int(SPAN * size_class(n)))
+
+
+def samples(n: int, walk: int, back: bool) -> list[tuple[int, ...]]:
+    """The steps that each table samples of the windows of items with n words."""
+    steps = steps_of(n)
+    rng = np.random.default_rng([11, size_class(n), walk, int(back)])
+    first = [t % min(FIRST, steps - 1) for t in range(TABLES)]
+    return [(f,) if n < SINGLE else (f, int(rng.integers(f + 1, steps))) for f in first]
+
+
+def _window_key(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words from each place."""
+    key = np.full(max(len(words) - n + 1, 0), 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(n):
+        key = mix(key * np.uint64(0xE7037ED1A0B428DB) ^ words[k : k + len(key)])
+    return key
+
+
+class _Walker:
+    """Walks from many places of padded words at once."""
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, walk: int, back: bool) -> None:
+        self.words, self.pairs, self.seed, self.move = words, pairs[:-1] if back else pairs[1:], _SEED[walk], -1 if back else 1
+
+    def bit(self, at: np.ndarray, step: int) -> np.ndarray:
+        own = mix(self.words[at] ^ np.uint64(int(self.seed) + (step >> 6) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        return ((own >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64)
 
 
 class Items:
-    """The items' words, their LSH tables and the keys of their pieces."""
+    """The items' words and their LSH tables."""
 
     def __init__(self, ids: list, texts: list[str | None], least_words: int = LEAST_WORDS) -> None:
-        self.ids, self.words, self.least_words = ids, [], max(1, least_words)
+        self.ids, self.words = ids, []
         for _, _, words, at in words_of(pa.array(texts, pa.string())):
             self.words += [words[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        self.size = np.array([len(w) for w in self.words], np.int64)
         self.peq: dict[int, dict[int, int]] = {}
-        self.tables = {}
-        for walk in range(WALKS):
-            for back in (False, True):
-                self.tables[walk, back] = self._build(walk, back)
-        self.pieces = self._pieces()
-
-    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By number of words: (bitmap of keys, sorted keys, item, place in the item) of all pieces of the items."""
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for i, words in enumerate(self.words):
-            n = len(words)
-            if n < self.least_words:
-                continue
-            edges = [n * j // (most_edits(n) + 1) for j in range(most_edits(n) + 2)]
-            keys = dict(_run_keys(words, max(b - a for a, b in zip(edges, edges[1:], strict=False))))
-            for a, b in zip(edges, edges[1:], strict=False):
-                found[b - a].append((int(keys[b - a][a]), i, a))
-        out = {}
-        for n, rows in found.items():
-            key = np.array([r[0] for r in rows], np.uint64)
+        searched = np.flatnonzero(self.size >= max(1, least_words))
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        loose = [i for i in searched.tolist() if most_edits(len(self.words[i]))]
+        for n in sorted({len(self.words[i]) for i in searched.tolist()} - {len(self.words[i]) for i in loose}):
+            own = np.array([i for i in searched.tolist() if len(self.words[i]) == n])
+            key = np.concatenate([_window_key(self.words[i], n) for i in own.tolist()])
             order = np.argsort(key, kind="stable")
-            bitmap = np.zeros(1 << _PIECE_BITS, bool)
-            bitmap[(key >> np.uint64(64 - _PIECE_BITS)).astype(np.int64)] = True
-            out[n] = bitmap, key[order], np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int64)[order]
-        return out
+            self.exact[n] = key[order], own[order]
+        cuts = [(i, np.linspace(0, len(self.words[i]), -(-len(self.words[i]) // WINDOW) + 1).astype(np.int64)) for i in loose]
+        self.part_item = np.array([i for i, c in cuts for _ in c[1:]], np.int64)
+        self.part_at = np.concatenate([c[:-1] for _, c in cuts] or [np.zeros(0, np.int64)])
+        self.part_size = np.concatenate([np.diff(c) for _, c in cuts] or [np.zeros(0, np.int64)])
+        self.longest = max(map(steps_of, np.unique(self.part_size).tolist()), default=0)
+        self.tables = {(walk, back): self._build(walk, back) for walk in range(WALKS) for back in (False, True)} if loose else {}
 
-    def piece_hits(self, words: np.ndarray, at: np.ndarray):
-        """(row, item, word at which the item would begin) of all pieces found unedited, as far as enough of the item's words are near their places."""
-        for n, key in _run_keys(words, max(self.pieces, default=0)):
-            if n not in self.pieces:
+    def _build(self, walk: int, back: bool):
+        """By first step: (bitmap, sorted symbols, steps that their windows need, [(steps of the class, second step, sorted keys, windows)])."""
+        size, pad = self.part_size, 2
+        words, first = np.zeros(int(size.sum()) + 2 * pad * len(size) + 1, np.uint64), np.cumsum(size + 2 * pad) - size - pad
+        pairs = np.zeros(len(words) + 1, np.uint64)
+        for i, begin, n, at in zip(self.part_item.tolist(), self.part_at.tolist(), size.tolist(), first.tolist(), strict=True):
+            own = self.words[i][begin : begin + n]
+            words[at : at + n] = own
+            pairs[at + 1 : at + n] = pairs_of(own)[:-1]
+        walker = _Walker(words, pairs, walk, back)
+        low = np.array([size_class(n) for n in size.tolist()])
+        out: list[tuple[list, list]] = [([], []) for _ in range(FIRST)]
+        for group in [np.flatnonzero((low == n) & small) for n in np.unique(low).tolist() for small in (size < SINGLE, size >= SINGLE)]:
+            if not len(group):
+                continue
+            n = int(size[group[0]])
+            begin, end = first[group], first[group] + size[group]
+            at = end - 1 if back else begin
+            emitted = np.zeros((steps_of(n), len(group)), np.uint64)
+            for j in range(len(emitted)):
+                inside = (at >= begin) & (at < end)
+                here = np.where(inside, at, 0)
+                emitted[j] = np.where(inside, walker.pairs[here], np.uint64(0))  # 0 beyond the window's end
+                at = np.where(inside, at + walker.move * walker.bit(here, j), at)
+            for sampled in sorted(set(samples(n, walk, back))):
+                whole = np.flatnonzero((emitted[list(sampled)] != 0).all(0))
+                if len(whole):
+                    key = _key(emitted[list(sampled)][:, whole])
+                    order = np.argsort(key, kind="stable")
+                    symbols, tables = out[sampled[0]]
+                    symbols.append((emitted[sampled[0], whole], np.full(len(whole), len(emitted))))
+                    tables.append((len(emitted), sampled[-1], key[order], group[whole[order]]))
+        return [self._first_step(*x) for x in out]
+
+    @staticmethod
+    def _first_step(found: list, tables: list):
+        symbol = np.concatenate([s for s, _ in found] or [np.zeros(0, np.uint64)])
+        need = np.concatenate([n for _, n in found] or [np.zeros(0, np.int64)])
+        order = np.lexsort((-need, symbol))
+        symbol, need = symbol[order], need[order]
+        keep = np.ones(len(symbol), bool)
+        keep[1:] = symbol[1:] != symbol[:-1]
+        bitmap = np.zeros(1 << _BITS, bool)
+        bitmap[(symbol >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        return bitmap, symbol[keep], need[keep], tables
+
+    def _hits(self, words: np.ndarray):
+        """(item, word at which the item would begin, word that begins the window) of all windows that share a table's key with an item."""
+        for n, (keys, item) in self.exact.items():
+            key = _window_key(words, n)
+            for i, at in _matched(keys, item, key, np.arange(len(key))):
+                yield i, at, at
+        if not self.tables:
+            return
+        pad = self.longest + 1
+        padded, pairs = np.zeros(len(words) + 2 * pad, np.uint64), np.zeros(len(words) + 2 * pad + 1, np.uint64)
+        padded[pad : pad + len(words)] = words
+        pairs[pad + 1 : pad + len(words) + 1] = pairs_of(words)
+        for (walk, back), steps in self.tables.items():
+            walker = _Walker(padded, pairs, walk, back)
+            bits = mix(padded ^ _SEED[walk])
+            at = np.arange(pad, pad + len(words))
+            for f, (bitmap, symbols, most, tables) in enumerate(steps):
+                here = walker.pairs[at]
+                live = np.flatnonzero(bitmap[(here >> np.uint64(64 - _BITS)).astype(np.int64)])
+                if len(live) and len(symbols):
+                    place = np.minimum(np.searchsorted(symbols, here[live]), len(symbols) - 1)
+                    ok = symbols[place] == here[live]
+                    live, need = live[ok], most[place[ok]]
+                    order = np.argsort(need, kind="stable")
+                    live, need = live[order], need[order]
+                    done = 0
+                    while done < len(live):
+                        to = min(len(live), done + max(1, EMITTED // self.longest))
+                        for part, start in self._walk_on(walker, tables, f, live[done:to], at[live[done:to]], need[done:to]):
+                            yield self.part_item[part], start - self.part_at[part] - (self.part_size[part] - 1 if back else 0), start
+                        done = to
+                at = at + walker.move * ((bits[at] >> np.uint64(f)) & np.uint64(1)).astype(np.int64)
+
+    def _walk_on(self, walker: _Walker, tables, f: int, start: np.ndarray, at: np.ndarray, need: np.ndarray):
+        """(window of an item, start) of the windows from `start`, whose walks stand at `at` in step f, that share a key; need is ascending."""
+        emitted = np.zeros((int(need[-1]) - f, len(start)), np.uint64)
+        for j in range(f, int(need[-1])):
+            low = int(np.searchsorted(need, j, "right"))
+            emitted[j - f, low:] = walker.pairs[at[low:]]
+            at[low:] += walker.move * walker.bit(at[low:], j)
+        for steps, second, keys, item in tables:
+            own = np.arange(int(np.searchsorted(need, steps, "left")), len(start))
+            if not len(own):
                 continue
-            bitmap, keys, item, place = self.pieces[n]
-            live = np.flatnonzero(bitmap[(key >> np.uint64(64 - _PIECE_BITS)).astype(np.int64)])
-            low, high = np.searchsorted(keys, key[live], "left"), np.searchsorted(keys, key[live], "right")
-            row = np.searchsorted(at, live, "right") - 1
-            ok = (high > low) & (live + n <= at[row + 1])
-            live, low, count, row = live[ok], low[ok], (high - low)[ok], row[ok]
-            upto = np.cumsum(count)
-            done = 0
-            while done < len(live):  # blocks of HITS, however many items share a key
-                to = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + HITS, "right")))
-                c = count[done:to]
-                which = np.repeat(low[done:to], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                r, i, begin = np.repeat(row[done:to], c), item[which], np.repeat(live[done:to], c) - place[which]
-                near = self._near(words, i, begin)
-                yield r[near], i[near], begin[near]
-                done = to
+            key = _key(emitted[[0, second - f] if second > f else [0]][:, own])
+            yield from _matched(keys, item, key, start[own])
+
+    def candidates(self, words: np.ndarray, at: np.ndarray):
+        """(row, item, word at which the item would begin), in parts, as far as enough of the item's words are near their places."""
+        for item, begin, start in self._hits(words):
+            row = np.searchsorted(at, start, "right") - 1
+            ok = np.flatnonzero(self._near(words, item, begin))
+            if len(ok):
+                yield row[ok], item[ok], begin[ok]
 
     def _near(self, words: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Whether all words of the item but the edits allowed occur within so many places of theirs; items over FILTERED_WORDS pass."""
-        size = np.array([len(w) for w in self.words], np.int64)[item]
+        """Whether all words of the item but the edits allowed occur within twice so many places of theirs; items over FILTERED_WORDS pass."""
+        size = self.size[item]
         out = np.ones(len(item), bool)
         for n in np.unique(size[size <= FILTERED_WORDS]).tolist():
             most, of = most_edits(n), np.flatnonzero(size == n)
@@ -156,91 +267,11 @@ class Items:
                 own = np.stack([self.words[i] for i in item[part].tolist()])
                 there = begin[part, None] + np.arange(n)
                 same = np.zeros(own.shape, bool)
-                for shift in range(-most, most + 1):
+                for shift in range(-2 * most, 2 * most + 1):
                     same |= words[np.clip(there + shift, 0, len(words) - 1)] == own
                 out[part] = same.sum(1) >= n - most
         return out
 
-    def _build(self, walk: int, back: bool):
-        item, place, emitted = [], [], []
-        for i, words in enumerate(self.words):
-            n = len(words)
-            if n < max(self.least_words, 2):
-                continue
-            symbols = pairs_of(words)[:-1]
-            bits = mix(symbols ^ _SEED[walk])
-            starts = np.arange(n - 2, -1, -STRIDE) if back else np.arange(0, n - 1, STRIDE)
-            at, step = starts.copy(), -1 if back else 1
-            out = np.empty((STEPS, len(starts)), np.uint64)
-            for j in range(STEPS):
-                inside = (at >= 0) & (at < len(symbols))
-                here = np.clip(at, 0, len(symbols) - 1)
-                out[j] = np.where(inside, symbols[here], np.uint64(0))
-                at = at + step * ((bits[here] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-            item.append(np.full(len(starts), i))
-            place.append(starts)
-            emitted.append(out)
-        if not item:
-            return None
-        item, place, emitted = np.concatenate(item), np.concatenate(place), np.concatenate(emitted, 1)
-        steps = samples(walk, back)
-        lookup = np.zeros((STEPS, _LOOKUP), np.uint8)
-        keys, owner, table = [], [], []
-        for j in range(STEPS):
-            lookup[j] = sum(1 << t for t in range(TABLES) if j not in steps[t])
-        for t in range(TABLES):
-            whole = np.flatnonzero((emitted[steps[t]] != 0).all(0))  # walks that stay inside the item
-            for j in steps[t]:
-                lookup[j, (emitted[j, whole] >> np.uint64(40)).astype(np.int64) & (_LOOKUP - 1)] |= np.uint8(1 << t)
-            keys.append(_key(emitted[steps[t]][:, whole], t))
-            owner.append(whole)
-        key, owner = np.concatenate(keys), np.concatenate(owner)
-        order = np.argsort(key, kind="stable")
-        return lookup, key[order], item[owner[order]], place[owner[order]]
-
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, word at which the item would begin) of all windows that share a table's key with an item."""
-        pad = STEPS + 1
-        symbols = np.zeros(len(words) + 2 * pad, np.uint64)
-        symbols[pad : pad + len(words)] = pairs_of(words)
-        found_item, found_at = [], []
-        for walk in range(WALKS):
-            bits = mix(symbols ^ _SEED[walk])
-            for back in (False, True):
-                built = self.tables[walk, back]
-                if built is None:
-                    continue
-                lookup, keys, item, place = built
-                steps, move = samples(walk, back), -1 if back else 1
-                start = np.arange(pad, pad + len(words))
-                at = start
-                mask = np.full(len(start), 255, np.uint8)
-                emitted: list[np.ndarray] = []
-                for j in range(STEPS):
-                    here = symbols[at]
-                    mask = mask & lookup[j][(here >> np.uint64(40)).astype(np.int64) & (_LOOKUP - 1)]
-                    emitted.append(here)
-                    at = at + move * ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-                    if j >= STEPS // 2 - 1 or j == 2:  # all tables have sampled a step by then
-                        live = np.flatnonzero(mask)
-                        if len(live) < 0.8 * len(mask):
-                            start, at, mask = start[live], at[live], mask[live]
-                            emitted = [e[live] for e in emitted]
-                for t in range(TABLES):
-                    live = np.flatnonzero(mask >> np.uint8(t) & 1)
-                    if not len(live):
-                        continue
-                    key = _key(np.stack([emitted[j][live] for j in steps[t]]), t)
-                    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                    count = high - low
-                    which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    found_item.append(item[which])
-                    found_at.append(np.repeat(start[live] - pad, count) - place[which])
-        if not found_item:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(found_item), np.concatenate(found_at)]), axis=1)
-        return both[0], both[1]
-
     def distance(self, i: int, text: np.ndarray) -> int:
         """The least number of word edits between item i and any stretch of the text (Myers)."""
         words = self.words[i]
@@ -269,25 +300,17 @@ class Items:
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, words of the item): the fewest edits for each item that a row holds."""
-        item, begin = self.candidates(words)
-        size = np.array([len(w) for w in self.words], np.int64)[item]
-        slack = np.floor(MOST_EDITS * size + 1e-9).astype(np.int64)
-        row = np.searchsorted(at, np.clip(begin + size // 2, 0, max(len(words) - 1, 0)), "right") - 1
-        rows = np.concatenate([np.searchsorted(at, np.clip(begin + d, 0, max(len(words) - 1, 0)), "right") - 1 for d in (0 * size, size - 1)] + [row])
-        todo: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        low, high = np.tile(begin - slack, 3), np.tile(begin + size + slack, 3)
-        for r, i, x, y in zip(rows.tolist(), np.tile(item, 3).tolist(), np.maximum(low, at[rows]).tolist(), np.minimum(high, at[rows + 1]).tolist(), strict=True):
-            if x < y:
-                todo[r, i].append((x, y))
-        for r, item, begin in self.piece_hits(words, at):
-            size = np.array([len(w) for w in self.words], np.int64)[item]
-            slack = np.floor(MOST_EDITS * size + 1e-9).astype(np.int64)
-            for k, i, x, y in zip(r.tolist(), item.tolist(), np.maximum(begin - slack, at[r]).tolist(), np.minimum(begin + size + slack, at[r + 1]).tolist(), strict=True):
-                todo[k, i].append((x, y))
+        todo: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
+        for row, item, begin in self.candidates(words, at):
+            size = self.size[item]
+            slack = 2 * np.floor(MOST_EDITS * size + 1e-9).astype(np.int64)
+            for r, i, x, y in zip(row.tolist(), item.tolist(), np.maximum(begin - slack, at[row]).tolist(), np.minimum(begin + size + slack, at[row + 1]).tolist(), strict=True):
+                if x < y:
+                    todo[r, i].add((x, y))
         out = []
         for (r, i), regions in todo.items():
             most, best = most_edits(len(self.words[i])), len(self.words[i])
-            regions = sorted(set(regions))
+            regions = sorted(regions)
             merged = [list(regions[0])]
             for x, y in regions[1:]:
                 if x <= merged[-1][1]:
