@@ -10,27 +10,29 @@ Stages, each written or shuffled in packed form:
 
 1. sketch: one pass gives each row its set's id and size, and the sketch (of bounded size, summed by block in the cluster);
 2. postings: (shingle, set, size, level, l, end) of all prefixes, packed by bucket and shuffled.  Equal sets have one id,
-   so groups of exact copies count once;
-3. lists: in a bucket, lists of up to SHORT sets give their pairs, with counts; longer lists are kept.  Each set learns how
+   so groups of exact copies count once; a shingle that the sketch gives more than HOT sets is dealt over several buckets;
+3. lists: in a bucket, lists of up to SHORT sets give their pairs, with counts; longer lists are kept, in parts.  Each set learns how
    many of its prefix shingles another set's prefix has.  Of two sets, the one whose prefix ends first in the global order
    can't share its unmatched prefix shingles with the other, which bounds the overlap (`_possible`): documents that only
    have a passage in common go here, as do pairs with fewer matches than the smaller l asks for;
-4. one more pass ships the shingles, and a parity bitmap of them, of the sets that are left; a fixed-size bitmap of their
-   documents says which;
+4. one more pass ships the shingles, and a parity bitmap of them, of the sets that are left; a bitmap of their texts' hashes
+   says which, or a semi-join where they are too many for it;
 5. long lists: two parity bitmaps differ in at most as many bits as the sets differ in shingles, which rules out most
-   pairs in the list's task.  Each member is first paired with the list's leader, the member with the fewest unmatched
-   shingles; members that verified links already join aren't paired again, what is left is paired exactly.  So a large
-   group of near copies costs about as many pairs as it has members, and no link between different components is lost;
-6. each pair is verified exactly, 100 * intersection >= 80 * union, and the links form components (distributed), named by
-   the smallest doc_id.
+   pairs.  Each member is first paired with the list's leader, the member with the fewest unmatched shingles, by a join;
+   members that verified links already join aren't paired again.  What is left (members outside the list's largest component
+   against all members) is paired exactly in pieces of PIECE members, so no list is one task.  A large group of near copies
+   costs about as many pairs as it has members, and no link between different components is lost;
+6. each pair is verified exactly, 100 * intersection >= 80 * union, and the links form components of sets (distributed),
+   named by the smallest doc_id of their rows.
 
 Sets are compared by 64-bit hashes of their shingles and named by a 64-bit hash of the set; a false result needs a
 collision (about n^2 / 2^65 for n distinct sets).
 
 Defined results: null text counts as empty; a text without words has an empty set, links with nothing and is its own
 component; a text of one to four words has one shingle, the sequence; equal sets always link; repeated rows are rows of
-their own with the same component; a row with a null doc_id takes the smallest id of its set, and sets that only such
-rows have aren't followed to others; extra columns don't matter.
+their own with the same component; rows are linked by their texts alone, so rows that share a doc_id with different texts
+don't link by that, and rows with a null doc_id link, and join others, like any row; a component in which no row has a
+doc_id is null; texts of any length are taken whole; an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenewright.functions.store import drop, saved
@@ -49,7 +51,7 @@ from scenewright.operators.components import components
 
 WIDTH = 5
 NUMBER, OF = 4, 5  # the similarity as a fraction
-#: Bits of the candidates' bitmap, whatever the input.
+#: Bits of the candidates' bitmap; for more than an eighth as many sets a semi-join takes its place.
 BITS = 1 << 26
 #: Counters of the sketch: one for so many bytes of text, within these; and its blocks.
 BYTES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS, BLOCKS = 40, 1 << 18, 1 << 26, 256
@@ -57,10 +59,14 @@ BLOCK = 2 << 20
 #: Prefix extensions that a document may choose from, and what one verification costs, in postings.
 CHOICES, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 20.0
 SHORT = 24
+#: Sets of one shingle that go to one bucket, about; members of a long list that are paired in one place.
+HOT, PIECE = 1024, 256
 SALTS = 64
 LEAST_BUCKETS = 64
 #: Postings that a task holds before it sends them, and rows of an Arrow batch while whole texts are read.
 HELD, ROWS = 300_000, 2000
+#: Added to the level of a shingle whose sets are dealt over several buckets.
+DEALT = 128
 #: Bits of a set's parity bitmap: four for each shingle, within these.
 LEAST_PARITY, MOST_PARITY = 256, 8192
 
@@ -98,7 +104,7 @@ def sketch_size(docs: DataFrame) -> int:
 
 def _sketch_pass(docs: DataFrame, counters: int) -> DataFrame:
     """A row for each row of docs (block null), and the sketch's blocks (block not null)."""
-    names = ["doc_id", "set_id", "n_shingles", "block", "counts"]
+    names = ["doc_id", "text_hash", "set_id", "n_shingles", "block", "counts"]
 
     def blocks(counts, kind):
         """The gaps between counters that aren't 0, then what they hold beyond 1; byte by byte, the low ones first."""
@@ -111,7 +117,7 @@ def _sketch_pass(docs: DataFrame, counters: int) -> DataFrame:
                 used.append(i)
                 data.append(press.compress(b"".join((x >> k & 0xFF).astype(np.uint8).tobytes() for x, k in ((gap, 0), (gap, 8), (gap, 16), (more, 0), (more, 8)))) + press.flush())
         n = len(used)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(used, pa.int32()), pa.array(data, pa.binary())], names)
 
     def run(batches):
         counts, rows, kind = np.zeros(counters, np.uint16), 0, None
@@ -124,11 +130,12 @@ def _sketch_pass(docs: DataFrame, counters: int) -> DataFrame:
                     counts[:], rows = 0, 0
                 rows += n
                 np.add.at(counts, _counter(tokens, counters), np.uint16(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(set_ids(tokens, at)), pa.array(np.diff(at), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(set_ids(tokens, at)), pa.array(np.diff(at), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if kind is not None:
             yield blocks(counts, kind)
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_id long, n_shingles long, block int, counts binary")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, set_id long, n_shingles long, block int, counts binary")
 
 
 #: Counts as one byte: exact below 64, then eight steps for each doubling.
@@ -192,12 +199,12 @@ def noise(sketch: np.ndarray) -> float:
     return float((held * _COUNT_OF).sum() / len(sketch))
 
 
-def _postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
-    """Rows (bucket, m, data): data is m tokens, set ids, sizes, levels, l and prefix ends, one array after the other."""
+def _postings(docs: DataFrame, sketch, buckets: int, hot: int = HOT) -> DataFrame:
+    """Rows (bucket, m, data): data is m tokens, set ids, sizes, levels (DEALT added for a shingle in several buckets), l and
+    prefix ends, one array after the other."""
 
     def packed(parts):
-        token, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bucket = ((token & np.uint64(0xFFFFF)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int32)
+        token, *rest, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(bucket, kind="stable")
         bucket, columns = bucket[order], [token[order], *(x[order] for x in rest)]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -216,7 +223,12 @@ def _postings(docs: DataFrame, sketch, buckets: int) -> DataFrame:
                 token, row, level, chosen, end = prefixes(tokens, at, table, others)
                 keep = fresh[row]
                 token, row, level = token[keep], row[keep], level[keep]
-                parts.append((token, ids[row], np.diff(at)[row].astype(np.uint32), level.astype(np.uint8), chosen[row].astype(np.uint8), end[row]))
+                pieces = np.ceil(_COUNT_OF[table[_counter(token, len(table))]] / hot).astype(np.uint64)
+                piece = np.where(pieces > 1, mix(ids[row].view(np.uint64)) % pieces, np.uint64(0))
+                place = np.where(piece > 0, mix(token + piece * np.uint64(0x9E3779B97F4A7C15)), token)
+                bucket = ((place & np.uint64(0xFFFFF)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int32)
+                marked = level.astype(np.uint8) + np.uint8(DEALT) * (pieces > 1)
+                parts.append((token, ids[row], np.diff(at)[row].astype(np.uint32), marked, chosen[row].astype(np.uint8), end[row], bucket))
                 if sum(len(p[0]) for p in parts) >= HELD:
                     yield packed(parts)
                     parts = []
@@ -260,8 +272,8 @@ def _out(kind: int, a, b, matches, needs, data=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(matches, pa.int64()), pa.array(needs, pa.int32()), pa.array(data, pa.binary()) if data is not None else pa.nulls(n, pa.binary())], ["kind", "a", "b", "matches", "needs", "data"])
 
 
-def _in_bucket(token, ids, n, level, ell, end) -> Iterator[pa.RecordBatch]:
-    """Kind 0: pairs of short lists; 2: long lists; 3: in `matches` how many of a set's tokens another set has too,
+def _in_bucket(token, ids, n, level, ell, end, short: int = SHORT) -> Iterator[pa.RecordBatch]:
+    """Kind 0: pairs of short lists; 2: long lists, or this bucket's part of one; 3: in `matches` how many of a set's tokens another set has too,
     plus 2^32 times those of them in long lists; in b its size and prefix end, in `needs` its l."""
     order = np.lexsort((ids, token))
     token, ids, n, level, ell, end = (x[order] for x in (token, ids, n, level, ell, end))
@@ -271,36 +283,38 @@ def _in_bucket(token, ids, n, level, ell, end) -> Iterator[pa.RecordBatch]:
             token, ids, n, level, ell, end = (x[~same] for x in (token, ids, n, level, ell, end))
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(token)))
+    long = (size > short) | (level[begin] >= DEALT)
+    level = level % np.uint8(DEALT)
     found = []
-    for m in np.unique(size[(size > 1) & (size <= SHORT)]).tolist():
+    for m in np.unique(size[(size > 1) & ~long]).tolist():
         i, j = np.triu_indices(m, 1)
-        start = begin[size == m][:, None]
+        start = begin[(size == m) & ~long][:, None]
         x, y = (start + i).ravel(), (start + j).ravel()
         ok = _allowed(n[x], n[y], level[x], level[y], ell[x], ell[y])
         x, y = x[ok], y[ok]
         found.append((ids[x], ids[y], np.minimum(ell[x], ell[y]).astype(np.int64)))
     if found:
         yield _out(0, *_counted(*(np.concatenate(x) for x in zip(*found, strict=True))))
-    for start, m in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+    for start, m in zip(begin[long].tolist(), size[long].tolist(), strict=True):
         yield _out(2, [int(token[start].view(np.int64))], [0], [m], [0], [b"".join(x[start : start + m].tobytes() for x in (ids, n, level, ell, end))])
-    of = np.repeat(size, size)
-    matched, first, back = np.unique(ids[of > 1], return_index=True, return_inverse=True)
-    counts = np.bincount(back, minlength=len(first)) + (np.bincount(back[of[of > 1] > SHORT], minlength=len(first)) << 32)
-    yield _out(3, matched, n[of > 1][first].astype(np.int64) << 32 | end[of > 1][first].astype(np.int64), counts, ell[of > 1][first].astype(np.int32))
+    met, of = np.repeat((size > 1) | long, size), np.repeat(long, size)
+    matched, first, back = np.unique(ids[met], return_index=True, return_inverse=True)
+    counts = np.bincount(back, minlength=len(first)) + (np.bincount(back[of[met]], minlength=len(first)) << 32)
+    yield _out(3, matched, n[met][first].astype(np.int64) << 32 | end[met][first].astype(np.int64), counts, ell[met][first].astype(np.int32))
 
 
-def _lists(postings: DataFrame, partitions: int) -> DataFrame:
+def _lists(postings: DataFrame, partitions: int, short: int = SHORT) -> DataFrame:
     def run(batches):
         bucket, parts = None, []
         for batch in batches:
             for i, m, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if i != bucket and parts:
-                    yield from _in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    yield from _in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True)), short)
                     parts = []
                 bucket = i
                 parts.append(_unpack(m, data))
         if parts:
-            yield from _in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from _in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True)), short)
 
     return postings.repartitionById(partitions, F.pmod("bucket", F.lit(partitions))).sortWithinPartitions("bucket").mapInArrow(run, _OUT)
 
@@ -324,8 +338,16 @@ def _likely(short: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.filter(enough & ((NUMBER + OF) * most >= NUMBER * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
 
+def _bin(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(1.05))).cast("int")
+
+
 def _members(long: DataFrame, known: DataFrame) -> DataFrame:
-    """A row for each member of a long list that can link to another one: token, id, n, level, ell, end, slack."""
+    """A row for each member of a long list that may link to another one: token, id, n, level, ell, end, slack.
+
+    A member is compared with what each class of sizes in the list allows at best (by a combinable aggregate), not with
+    other members: the smallest size, the latest end, and the greatest slack and earliest end of those whose slack can
+    bound a linked pair.  So more may pass than any pair of them allows, and never less."""
 
     def entries(batches):
         for batch in batches:
@@ -333,31 +355,23 @@ def _members(long: DataFrame, known: DataFrame) -> DataFrame:
                 ids, n, level, ell, end = _unpack(m, data, _FIELDS[1:])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, token), pa.int64()), pa.array(ids), pa.array(level.astype(np.int64))], ["token", "id", "level"])
 
-    def viable(ids, n, level, ell, end, slack):
-        keep = np.zeros(len(ids), bool)
-        for x, y in _windows(n):
-            ok = _possible(n[x], n[y], end[x], end[y], slack[x], slack[y]) & _allowed(n[x], n[y], level[x], level[y], ell[x], ell[y])
-            keep[x[ok]] = True
-            keep[y[ok]] = True
-        return [c[keep] for c in (ids, n, level, ell, end, slack)]
-
     rows = long.select(F.col("a").alias("token"), F.col("matches").alias("m"), "data").mapInArrow(entries, "token long, id long, level long")
     rows = rows.join(known, "id").select("token", "id", "n", "level", "ell", "end", "slack")
-    return _of_lists(rows, viable, "token long, id long, n long, level long, ell long, end long, slack long", True)
+    strong = F.expr(f"{NUMBER + OF} * slack >= {NUMBER} * (n + ceil(n * {NUMBER} / {OF}))")
+    if_strong = lambda c: F.when(strong, F.col(c))
+    bands = rows.groupBy("token", _bin(F.col("n")).alias("bin")).agg(
+        F.min("n").alias("low"), F.max("end").alias("last"), F.min("id").alias("i"), F.max("id").alias("j"),
+        F.max(if_strong("slack")).alias("slack"), F.min(if_strong("end")).alias("first"), F.min(if_strong("id")).alias("si"), F.max(if_strong("id")).alias("sj"),
+    ).groupBy("token").agg(F.collect_list(F.struct("bin", "low", "last", "i", "j", "slack", "first", "si", "sj")).alias("bands"))
 
+    def partner(b):
+        sizes = NUMBER * (F.col("n") + F.greatest(b["low"], F.expr(f"ceil(n * {NUMBER} / {OF})")))
+        near = F.abs(b["bin"] - _bin(F.col("n"))) <= 6  # 1.05 ** 5 is more than the 1.25 that sizes may differ by
+        ends_first = ((b["i"] != F.col("id")) | (b["j"] != F.col("id"))) & ((NUMBER + OF) * F.col("slack") >= sizes) & (b["last"] >= F.col("end"))
+        ends_last = ((b["si"] != F.col("id")) | (b["sj"] != F.col("id"))) & ((NUMBER + OF) * b["slack"] >= sizes) & (b["first"] <= F.col("end"))
+        return near & (ends_first | F.coalesce(ends_last, F.lit(False)))
 
-def _windows(n: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of places (x before y in order of size) whose sizes can link, in blocks of about `most`."""
-    order = np.argsort(n, kind="stable")
-    size = n[order]
-    after = np.searchsorted(size, OF * size // NUMBER, "right")
-    count = after - np.arange(len(n)) - 1
-    edge = [0, *np.searchsorted(np.cumsum(count), np.arange(most, count.sum(), most), "left").tolist(), len(n)]
-    for s, e in zip(edge[:-1], edge[1:], strict=True):
-        x = np.repeat(np.arange(s, e), count[s:e])
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count[s:e]) - count[s:e], count[s:e])
-        if len(x):
-            yield order[x], order[y]
+    return rows.join(bands, "token").filter(F.exists("bands", partner)).drop("bands")
 
 
 def _possible(n1, n2, end1, end2, slack1, slack2) -> np.ndarray:
@@ -366,14 +380,13 @@ def _possible(n1, n2, end1, end2, slack1, slack2) -> np.ndarray:
     return (NUMBER + OF) * most >= NUMBER * (n1 + n2)
 
 
-def _of_lists(members: DataFrame, of_list, schema: str, with_token: bool = False) -> DataFrame:
-    """Runs of_list(id, ...) over each long list; it returns columns (after the token, if that is asked for)."""
+def _of_pieces(rows: DataFrame, of_piece, schema: str) -> DataFrame:
+    """Runs of_piece(...) over the rows of each piece (the first column); it returns columns."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
-    def finish(token, parts):
-        columns = of_list(*(np.concatenate(x) if isinstance(x[0], np.ndarray) else [v for p in x for v in p] for x in zip(*parts, strict=True)))
+    def finish(parts):
+        columns = of_piece(*(np.concatenate(x) if isinstance(x[0], np.ndarray) else [v for p in x for v in p] for x in zip(*parts, strict=True)))
         if len(columns[0]):
-            columns = [np.full(len(columns[0]), token), *columns] if with_token else columns
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches):
@@ -383,16 +396,16 @@ def _of_lists(members: DataFrame, of_list, schema: str, with_token: bool = False
             cuts = (np.flatnonzero(np.diff(columns[0])) + 1).tolist()
             for s, e in zip([0, *cuts], [*cuts, len(columns[0])], strict=True):
                 if e > s and columns[0][s] != token and parts:
-                    yield from finish(token, parts)
+                    yield from finish(parts)
                     parts = []
                 if e > s:
                     token = columns[0][s]
                     parts.append([c[s:e] for c in columns[1:]])
         if parts:
-            yield from finish(token, parts)
+            yield from finish(parts)
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, schema)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, rows.columns[0]).sortWithinPartitions(rows.columns[0]).mapInArrow(run, schema)
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -430,58 +443,82 @@ def _apart(n: np.ndarray, bitmaps: list[bytes], x: np.ndarray, y: np.ndarray) ->
 
 def _stars(members: DataFrame) -> DataFrame:
     """Each member with the list's leader: a, b."""
+    leader = members.groupBy("token").agg(F.max_by(F.struct(*[F.col(c).alias(f"l_{c}") for c in ("id", "n", "end", "slack", "bitmap")]), F.struct(F.col("slack") / F.col("n"), F.xxhash64("id"))).alias("x")).select("token", "x.*")
+    columns = ["id", "n", "end", "slack", "l_id", "l_n", "l_end", "l_slack", "bitmap", "l_bitmap"]
 
-    def of_list(ids, n, level, ell, end, slack, bitmap):
-        lead = int(np.lexsort((mix(ids.view(np.uint64)), -slack / n))[0])
-        ok = np.flatnonzero((OF * np.minimum(n, n[lead]) >= NUMBER * np.maximum(n, n[lead])) & (ids != ids[lead]) & _possible(n, n[lead], end, end[lead], slack, slack[lead]))
-        ok = ok[~_apart(n, bitmap, ok, np.full(len(ok), lead))]
-        return [ids[ok], np.full(len(ok), ids[lead])]
-
-    return _of_lists(members, of_list, "a long, b long").distinct()
-
+    def near(batches):
+        for batch in batches:
+            ids, n, end, slack, lead, l_n, l_end, l_slack = (np.asarray(c) for c in batch.columns[:8])
+            m = len(ids)
+            ok = np.flatnonzero((ids != lead) & (OF * np.minimum(n, l_n) >= NUMBER * np.maximum(n, l_n)) & _possible(n, l_n, end, l_end, slack, l_slack))
+            ok = ok[~_apart(np.concatenate([n, l_n]), [*batch.column(8).to_pylist(), *batch.column(9).to_pylist()], ok, ok + m)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(lead[ok])], ["a", "b"])
 
-def _left_in_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Possible pairs of members of a long list that no component joins yet: a, b."""
+    return members.join(leader, "token").select(*columns).mapInArrow(near, "a long, b long").distinct()
 
-    def of_list(ids, n, level, ell, end, slack, comp, bitmap):
-        found = []
-        for x, y in _windows(n):
-            ok = (comp[x] != comp[y]) & _possible(n[x], n[y], end[x], end[y], slack[x], slack[y]) & _allowed(n[x], n[y], level[x], level[y], ell[x], ell[y])
-            x, y = x[ok], y[ok]
-            near = ~_apart(n, bitmap, x, y)
-            found.append((np.minimum(ids[x], ids[y])[near], np.maximum(ids[x], ids[y])[near]))
-        return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
 
-    named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "level", "ell", "end", "slack", F.coalesce("component", "id").alias("comp"), "bitmap")
-    open_lists = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    return _of_lists(named.join(open_lists, "token", "left_semi"), of_list, "a long, b long").distinct()
+def _left_in_lists(members: DataFrame, labels: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Possible pairs of members of a long list that no component joins yet: a, b.
 
+    The members outside the list's largest component meet all its members, in pieces of either."""
 
-def contents(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id, data (the shingles), bitmap of the wanted sets (set_id).  sets: (set_id, rep), rep a doc_id that has the set."""
+    def of_piece(other, ids, n, level, ell, end, slack, comp, bitmap):
+        """Members outside (other = 1) with all members that are in this piece."""
+        x, y = np.flatnonzero(other == 1), np.flatnonzero(other != 1)
+        x, y = np.repeat(x, len(y)), np.tile(y, len(x))
+        ok = (comp[x] != comp[y]) & (OF * np.minimum(n[x], n[y]) >= NUMBER * np.maximum(n[x], n[y]))
+        ok &= _possible(n[x], n[y], end[x], end[y], slack[x], slack[y]) & _allowed(n[x], n[y], level[x], level[y], ell[x], ell[y])
+        x, y = x[ok], y[ok]
+        near = ~_apart(n, bitmap, x, y)
+        return [np.minimum(ids[x], ids[y])[near], np.maximum(ids[x], ids[y])[near]]
+
+    named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    parts = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    lists = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c")).filter("m > c")
+    pieces = lambda x: F.ceil(x / piece).cast("int")
+    rows = named.join(lists.select("token", "main", pieces(F.col("m")).alias("all"), pieces(F.col("m") - F.col("c")).alias("some")), "token")
+    values = ["id", "n", "level", "ell", "end", "slack", "comp", "bitmap"]
+    own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    dealt = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    outside = rows.filter("comp <> main").select("token", own("some").alias("p"), dealt("all").alias("q"), F.lit(1).alias("other"), *values)
+    every = rows.select("token", dealt("some").alias("p"), own("all").alias("q"), F.lit(0).alias("other"), *values)
+    both = outside.unionByName(every).select(F.xxhash64("token", "p", "q").alias("piece"), "other", *values)
+    return _of_pieces(both, of_piece, "a long, b long").distinct()
+
+
+def contents(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int = BITS) -> DataFrame:
+    """set_id, data (the shingles), bitmap of the wanted sets (set_id).  sets: (set_id, text_hash), the hash of a text that has the set."""
     spark = docs.sparkSession
-    wanted = saved(wanted.join(sets, "set_id").select("set_id", "rep"), "wanted")
-    place = F.pmod(F.xxhash64("rep"), F.lit(BITS)) + 1  # the bitmap functions' bucket 1 begins at 1
-    bits = np.zeros(BITS // 8, np.uint8)
-    blocks = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    for r in blocks.toLocalIterator():  # BITS bits, whatever the input
-        part = np.frombuffer(bytes(r.bits), np.uint8)
-        bits[(r.block - 1) * len(part) : r.block * len(part)] = part
+    wanted = saved(wanted.join(sets, "set_id").select("set_id", "text_hash"), "wanted")
+    place = lambda: F.pmod(F.col("text_hash"), F.lit(size))
+    full = wanted.count() > size // 8
+    if full:  # the bitmap would let too much pass
+        docs = docs.join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
+        bits = np.full(size // 8, 255, np.uint8)
+    else:
+        bits = np.zeros(size // 8, np.uint8)
+        at = place() + 1  # the bitmap functions' bucket 1 begins at 1
+        blocks = wanted.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+        for r in blocks.toLocalIterator():  # so many bits, whatever the input
+            part = np.frombuffer(bytes(r.bits), np.uint8)
+            bits[(r.block - 1) * len(part) : r.block * len(part)] = part
     shipped = spark.sparkContext.broadcast(bits)
 
     def run(batches):
         table = shipped.value
+        known: set[int] = set()  # of this task
         for batch in batches:
-            p = np.asarray(batch.column(2))
+            p = np.asarray(batch.column(1))
             chosen = batch.filter(pa.array(table[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0))
-            for a, b, tokens, at in shingle_sets(chosen.column(1)):
-                edges = at.tolist()
-                each = [tokens[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(a, b - a), pa.array(set_ids(tokens, at)), pa.array([t.tobytes() for t in each], pa.binary()), pa.array([parity(t) for t in each], pa.binary())], ["rep", "set_id", "data", "bitmap"])
+            for _, _, tokens, at in shingle_sets(chosen.column(0)):
+                ids = set_ids(tokens, at)
+                fresh = [k for k, i in enumerate(ids.tolist()) if i not in known and not known.add(i)]
+                each = [tokens[at[k] : at[k + 1]] for k in fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array([t.tobytes() for t in each], pa.binary()), pa.array([parity(t) for t in each], pa.binary())], ["set_id", "data", "bitmap"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shipped_sets = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("p")).mapInArrow(run, f"rep {kind}, set_id long, data binary, bitmap binary")
-    return shipped_sets.join(wanted, ["set_id", "rep"]).select("set_id", "data", "bitmap")
+    found = docs.select("text", place().alias("p")).mapInArrow(run, "set_id long, data binary, bitmap binary")
+    found = found.join(wanted.select("set_id"), "set_id", "left_semi")
+    return found.groupBy("set_id").agg(F.first("data").alias("data"), F.first("bitmap").alias("bitmap"))
 
 
 def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -504,29 +541,29 @@ def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.select("a", "b", "da", "db").mapInArrow(compare, "a long, b long")
 
 
-def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs`."""
+def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", short: int = SHORT, hot: int = HOT, piece: int = PIECE, bits: int = BITS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of `docs`; the last four only change the way there."""
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
     conf.set(key, str(ROWS))
     try:
-        return _join(docs, text, doc_id)
+        return _join(docs, text, doc_id, short, hot, piece, bits)
     finally:
         conf.set(key, before)
 
 
-def _join(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _join(docs: DataFrame, text: str, doc_id: str, short_lists: int, hot: int, piece: int, bits: int) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     counters = sketch_size(rows)
     first = saved(_sketch_pass(rows, counters), "sets")
-    of_rows = first.filter("block IS NULL").select("doc_id", "set_id", "n_shingles")
+    of_rows = first.filter("block IS NULL").select("doc_id", "text_hash", "set_id", "n_shingles")
     table = _sketch(first.filter("block IS NOT NULL"), counters)
     sketch = spark.sparkContext.broadcast((table, noise(table)))
     # a set's copies meet by salt first; the salts lead back to the rows
     salted = of_rows.filter("n_shingles > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    sets = salted.groupBy("set_id", "salt").agg(F.min("doc_id").alias("rep")).groupBy("set_id").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts"))
+    sets = salted.groupBy("set_id", "salt").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash")).groupBy("set_id").agg(F.min("rep").alias("rep"), F.min("text_hash").alias("text_hash"), F.collect_set("salt").alias("salts"))
     sets = saved(sets, "reps")
 
     spent: list[DataFrame] = []  # tables that nothing reads once the links have met
@@ -535,12 +572,12 @@ def _join(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         spent.append(saved(df, name))
         return spent[-1]
 
-    lists = held_for_now(_lists(_postings(rows, sketch, max(LEAST_BUCKETS, partitions)), partitions), "lists")
+    lists = held_for_now(_lists(_postings(rows, sketch, max(LEAST_BUCKETS, partitions), hot), partitions, short_lists), "lists")
     known = held_for_now(_known(lists.filter("kind = 3")), "known")
     short = held_for_now(_likely(lists.filter("kind = 0").select("a", "b", "matches", "needs"), known), "short")
     members = held_for_now(_members(lists.filter("kind = 2"), known), "members")
     wanted = short.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(members.select(F.col("id").alias("set_id"))).distinct()
-    held = held_for_now(contents(rows, sets, wanted), "contents")
+    held = held_for_now(contents(rows, sets, wanted, bits), "contents")
     links = None
     if not members.isEmpty():
         members = held_for_now(members.join(held.select(F.col("set_id").alias("id"), "bitmap"), "id").select("token", "id", "n", "level", "ell", "end", "slack", "bitmap"), "members")
@@ -548,14 +585,16 @@ def _join(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         labels = components(links)
         of = [labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
         short = short.join(of[0], "a", "left").join(of[1], "b", "left").filter("ca IS NULL OR cb IS NULL OR ca <> cb").select("a", "b")
-        short = short.unionByName(_left_in_lists(members, labels)).distinct()
+        short = short.unionByName(_left_in_lists(members, labels, piece)).distinct()
     found = verify(short, held)
     links = found if links is None else found.unionByName(links)
 
-    named = links.join(sets.select(F.col("set_id").alias("a"), F.col("rep").alias("ra")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("rep").alias("rb")), "b")
-    labels = components(named.select("ra", "rb"), "ra", "rb").withColumnRenamed("node", "rep")
+    labels = components(links)
     drop(*spent)
-    names = sets.join(labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"), F.explode("salts").alias("salt"))
+    named = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
+    linked = sets.join(named.withColumnRenamed("node", "set_id"), "set_id", "left")
+    least = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    names = linked.join(least, "component", "left").select("set_id", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), F.explode("salts").alias("salt"))
     full = salted.join(names, ["set_id", "salt"]).select("doc_id", "n_shingles", "component_id")
     return full.unionByName(of_rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -48,9 +48,9 @@ def brute_force(rows):
     return sorted(((d, len(sets[i]), least.get(root(i))) for i, (d, _) in enumerate(rows)), key=repr)
 
 
-def run(spark, rows):
+def run(spark, rows, **options):
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, set_id string, n_shingles int")
-    return sorted(map(tuple, ngram_join.join(df).collect()), key=repr)
+    return sorted(map(tuple, ngram_join.join(df, **options).collect()), key=repr)
 
 
 def test_against_brute_force(spark):
@@ -76,11 +76,24 @@ def near_copies(seed, n, words=60, most=12):
     return rows
 
 
-@pytest.mark.parametrize("short", [2, 24])
-def test_near_the_threshold(spark, monkeypatch, short):
-    monkeypatch.setattr(ngram_join, "SHORT", short)
-    rows = near_copies(short, 300)
-    assert run(spark, rows) == brute_force(rows)
+@pytest.mark.parametrize("options", [{}, {"short": 2}, {"short": 2, "hot": 8, "piece": 7, "bits": 1 << 18}, {"short": 6, "hot": 3, "piece": 50, "bits": 64}])
+def test_near_the_threshold(spark, options):
+    """With long lists, shingles in several buckets, lists in pieces, and more sets than the bitmap is for."""
+    rows = near_copies(len(options), 300)
+    assert run(spark, rows, **options) == brute_force(rows)
+
+
+def test_rows_without_an_id_or_with_the_same_one(spark):
+    """Rows link by their texts alone; a null id is followed like any other, and never names a component."""
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(60)]
+    swap = lambda *at: " ".join("other" + str(k) if k in at else w for k, w in enumerate(base))
+    chain = [(9, swap(0, 59)), (None, swap(0)), (1, swap(1, 0)), (4, swap(0, 1, 2)), (None, swap(0))]
+    rows = [*chain, (3, "a b c d e f g"), (3, "q r s t u v w"), (2, "a b c d e f g"), (8, "q r s t u v w"), (None, "only null ids here now x"), (None, "only null ids here now x")]
+    rng.shuffle(rows)
+    assert run(spark, rows) == brute_force(rows) == run(spark, rows, short=1, hot=1, piece=1, bits=8)
+    got = {r[0]: r[2] for r in run(spark, rows)}
+    assert got[2] == 2 and got[8] == 3 and got[9] == got[4] == got[1] == 1
 
 
 def test_short_texts_and_other_cases(spark):
