@@ -41,7 +41,7 @@ from scenewright.llm._text import NOT_ALNUM, column_bytes, doc_groups, mix, word
 MOST_EDITS = 0.2
 LEAST_WORDS = 5
 ITEM_BYTES = 4 << 20
-BLOCK = 1 << 20
+BLOCK = 4 << 20
 FIRST, TABLES, WALKS, SINGLE, SPAN, WINDOW = 8, 16, 2, 7, 1.3, 100
 #: The part of items at MOST_EDITS, however the edits are spread, that tests expect to be found.
 TARGET = 0.95
@@ -251,11 +251,23 @@ class Items:
 
     def candidates(self, words: np.ndarray, at: np.ndarray):
         """(row, item, word at which the item would begin), in parts, as far as enough of the item's words are near their places."""
+        held, n = [], 0
         for item, begin, start in self._hits(words):
-            row = np.searchsorted(at, start, "right") - 1
-            ok = np.flatnonzero(self._near(words, item, begin))
-            if len(ok):
-                yield row[ok], item[ok], begin[ok]
+            held.append(np.stack([np.searchsorted(at, start, "right") - 1, item, begin]))
+            n += len(item)
+            if n >= HITS:
+                yield self._filtered(words, held)
+                held, n = [], 0
+        if held:
+            yield self._filtered(words, held)
+
+    def _filtered(self, words: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
+        both = np.concatenate(held, axis=1)
+        both = both[:, np.lexsort(both)]
+        keep = np.ones(both.shape[1], bool)
+        keep[1:] = (both[:, 1:] != both[:, :-1]).any(0)
+        both = both[:, keep]
+        return both[:, self._near(words, both[1], both[2])]
 
     def _near(self, words: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Whether all words of the item but the edits allowed occur within twice so many places of theirs; items over FILTERED_WORDS pass."""
@@ -265,10 +277,10 @@ class Items:
             most, of = most_edits(n), np.flatnonzero(size == n)
             for part in np.array_split(of, -(-len(of) * n // (1 << 20))):
                 own = np.stack([self.words[i] for i in item[part].tolist()])
-                there = begin[part, None] + np.arange(n)
-                same = np.zeros(own.shape, bool)
-                for shift in range(-2 * most, 2 * most + 1):
-                    same |= words[np.clip(there + shift, 0, len(words) - 1)] == own
+                there = np.clip(begin[part, None] + np.arange(-2 * most, n + 2 * most), 0, len(words) - 1)
+                around, same = words[there], np.zeros(own.shape, bool)
+                for shift in range(4 * most + 1):
+                    same |= around[:, shift : shift + n] == own
                 out[part] = same.sum(1) >= n - most
         return out
 
