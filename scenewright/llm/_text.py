@@ -195,6 +195,17 @@ def ngram_counts(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, width:
     return out.reshape(n, dims)
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with so many underscores before it that no column is named like it in any case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves this remainder; a null id counts as empty text."""
     from pyspark.sql import functions as F

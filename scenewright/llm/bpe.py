@@ -10,7 +10,8 @@ The results are those of the tokenizers library for byte-level BPE files: split
 pattern, then merge; decoding joins the tokens' bytes and replaces malformed UTF-8.
 
 Defined results: null text is encoded as empty: no ids; texts of any length are encoded whole; a pre-token of any length
-takes time in proportion to it.  Executors keep a vocabulary and a bounded cache of pre-tokens; both are rebuilt anywhere,
+takes time in proportion to it; repeated rows repeat their result; an empty table gives no rows; extra columns don't
+matter to the digests, and stay beside the ids but for one that has their name.  Executors keep a vocabulary and a bounded cache of pre-tokens; both are rebuilt anywhere,
 so a lost executor costs only its tasks.
 """
 

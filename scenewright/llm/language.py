@@ -11,7 +11,8 @@ model is `languages x DIMS` numbers, whatever the corpus size.
 
 Defined results: null text and text without a letter give `und` and score 0; a text with letters of which no trigram was
 learned gets the most frequent language and its share; without any learned language all texts are `und`; a null doc_id
-hashes as empty text; a null lang is not learned from; extra columns don't matter.
+hashes as empty text; a null lang is not learned from; of languages with equal shares the first by name is predicted; texts of
+any length are read whole; repeated rows get equal results; an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations

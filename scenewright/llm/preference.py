@@ -11,7 +11,8 @@ larger is gathered: pairs of a popular first turn, or copies of one conversation
 Defined results: turns without conversation id have no pair and go; turns are ordered by turn, then role, then text, null
 first, so gaps and repeated turns are kept in that order; null roles and texts count as empty; a pair of which one side is
 missing has an empty prompt and an empty completion there; equal conversations have empty completions; conversations
-without any common turn have an empty prompt; extra columns don't matter.
+without any common turn have an empty prompt; turns of any length are rendered whole (a pair must fit in a row); repeated
+conversations give equal rows; an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations

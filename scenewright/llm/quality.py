@@ -13,7 +13,9 @@ frequencies are summed by term in the cluster, `TERMS` numbers reach the driver
 
 Defined results: null and empty texts are scored as texts without terms, which fall to the labels' shares; a null
 doc_id hashes as empty text; labels with null or other values than 0 and 1 aren't used; of contradicting labels of one
-doc_id the lower counts; without any usable label each score is 0.5; extra columns don't matter.
+doc_id the lower counts; without any usable label each score is 0.5; of labelled vectors with equal cosines at the edge of
+the neighbours any may vote; repeated rows get equal scores; an empty table gives no rows; texts of any length are scored
+whole; extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenewright.llm._text import column_bytes, distinct_rows, doc_groups, held_out, ngram_counts, word_hashes
+from scenewright.llm._text import column_bytes, distinct_rows, doc_groups, held_out, ngram_counts, unused, word_hashes
 
 GRAMS = 2048
 BINS = 8
@@ -179,27 +181,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
-    """doc_id and score of every row of `docs`; with `keep`, all columns and the score in `__score`."""
+    """doc_id and score of every row of `docs`; with `keep`, all columns and as the last one the score: `__score`, after more
+    underscores where a column has such a name."""
     source = docs if keep else docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    column = text if keep else "text"
+    column = docs.columns.index(text) if keep else 1
+    (name,) = unused(source.columns, "__score") if keep else ("score",)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # TERMS * RANK numbers and 2 * sample vectors at most
 
     def run(batches):
         m = shipped.value
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index(column))
-            buf, offsets = column_bytes(col)
+            buf, offsets = column_bytes(batch.column(column))
             scores = [m.score(features(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in doc_groups(offsets, BLOCK)]
             score = pa.array(np.clip(np.concatenate(scores), 0, 1) if scores else np.zeros(0), pa.float64())
             if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), score], ["doc_id", "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     if keep:
-        return source.mapInArrow(run, StructType([*source.schema.fields, StructField("__score", DoubleType())]))
+        return source.mapInArrow(run, StructType([*source.schema.fields, StructField(name, DoubleType())]))
     return source.mapInArrow(run, StructType([source.schema["doc_id"], StructField("score", DoubleType())]))
 
 

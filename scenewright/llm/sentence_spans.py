@@ -18,8 +18,9 @@ A row is known by its doc_id and the hash of its whole text.
 Defined results: null text counts as empty and stays null; a null doc_id comes after all others; rows that repeat a
 doc_id and the whole text are the same document and both stay, but rows without a doc_id are separate documents, of which
 the further ones with an equal text are repeats of the first; rows that repeat a doc_id with another text are separate
-documents; texts without a long enough run are unchanged; extra columns stay
-as they are.
+documents; ids that aren't integers come in the order of the hashes of their texts; texts without a long enough run are
+unchanged; texts of any length are cut whole; an empty table gives no rows; extra columns stay as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenewright.functions.store import saved
-from scenewright.llm._text import column_bytes, doc_groups, hash_runs, mix, spans
+from scenewright.llm._text import column_bytes, doc_groups, hash_runs, mix, spans, unused
 
 SENTENCES, LEAST_WORDS = 2, 15
 #: Bits of the bitmap of repeated hashes, whatever the input.
@@ -192,21 +193,31 @@ def covered(docs: DataFrame, first: DataFrame) -> DataFrame:
     return again.groupBy(F.col("at_doc").alias("doc"), F.col("at_sum").alias("sum")).agg(F.collect_set(F.struct("s", "e")).alias("cover"))
 
 
+def _number(docs: DataFrame, doc_id: str) -> Column:
+    """The place of a row's id in the order of documents."""
+    id_ = F.col(f"`{doc_id}`")
+    if docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return id_.cast("long")
+    return F.when(id_.isNotNull(), F.xxhash64(id_.cast("string")))
+
+
 def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", report: bool = False) -> DataFrame:
-    """`docs` with repeated sentences cut from the text; with `report`, the further columns __sentences and __removed."""
+    """`docs` with repeated sentences cut from the text; with `report`, two further columns, the numbers of sentences and of
+    those removed: __sentences and __removed, after more underscores where a column has such a name."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("sum", F.xxhash64("text"))
+    doc_, sum_name, again_, cover_, all_, gone_ = unused(docs.columns, "__doc", "__sum", "__again", "__cover", "__sentences", "__removed")
+    plain = docs.select(_number(docs, doc_id).alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("sum", F.xxhash64("text"))
     first = saved(repeated(plain), "repeats")
     cover = saved(covered(plain, first), "cover")
-    number, sum_ = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`").cast("string"))
-    again = F.row_number().over(Window.partitionBy("__sum").orderBy("__doc")) > 1  # rows without an id and with an equal text
-    named = docs.filter(number.isNotNull()).withColumns({"__doc": number, "__sum": sum_, "__again": F.lit(False)})
-    unnamed = docs.filter(number.isNull()).withColumns({"__doc": F.lit(LAST), "__sum": sum_}).withColumn("__again", again)
-    joined = named.unionByName(unnamed).join(cover.withColumnsRenamed({"doc": "__doc", "sum": "__sum", "cover": "__cover"}), ["__doc", "__sum"], "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__again", "__cover")
+    number, sum_ = _number(docs, doc_id), F.xxhash64(F.col(f"`{text}`").cast("string"))
+    again = F.row_number().over(Window.partitionBy(sum_name).orderBy(doc_)) > 1  # rows without an id and with an equal text
+    named = docs.filter(number.isNotNull()).withColumns({doc_: number, sum_name: sum_, again_: F.lit(False)})
+    unnamed = docs.filter(number.isNull()).withColumns({doc_: F.lit(LAST), sum_name: sum_}).withColumn(again_, again)
+    joined = named.unionByName(unnamed).join(cover.withColumnsRenamed({"doc": doc_, "sum": sum_name, "cover": cover_}), [doc_, sum_name], "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], again_, cover_)
     at = docs.columns.index(text)
-    extra = [StructField("__sentences", LongType()), StructField("__removed", LongType())] if report else []
+    extra = [StructField(all_, LongType()), StructField(gone_, LongType())] if report else []
     schema = StructType([*docs.schema.fields, *extra])
 
     def cut(batches):
@@ -253,4 +264,5 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_sentences, n_removed and the SHA-256 of what is left, for all rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove(docs, report=True)
-    return out.select("doc_id", F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("n_removed"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    total, gone = out.columns[-2:]
+    return out.select("doc_id", F.col(total).alias("n_sentences"), F.col(gone).alias("n_removed"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
