@@ -2,6 +2,12 @@
 
 Each stage takes all rows that the one before kept, written as Parquet and read again, and returns the columns of
 documents; the last adds token_ids and n_tokens.
+
+Defined results: null texts count as empty (scored as texts without terms, equal to each other, linked with nothing, holding
+no item, encoded as no ids) and stay null where they stay; texts of any length are taken whole; null ids lose against others
+among exact copies and come first among near ones; of rows that repeat id and text one stays; of near copies with
+the same id the one whose text has the lowest hash stays; an empty table gives none; further columns stay as they are,
+whatever their names, but for token_ids and n_tokens, which the last stage replaces.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scenewright.functions.store import saved
 from scenewright.llm import bpe, decontaminate, exact_dedup, ngram_join, quality
+from scenewright.llm._text import unused
 
 #: Documents with a lower score are rejected.
 LEAST_QUALITY = 0.3
@@ -19,7 +26,8 @@ LEAST_QUALITY = 0.3
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose nearest labelled neighbours vote against them."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.predict(docs, model, keep=True).filter(F.col("__score") >= LEAST_QUALITY).drop("__score")
+    scored = quality.predict(docs, model, keep=True)
+    return scored.filter(F.col(scored.columns[-1]) >= LEAST_QUALITY).drop(scored.columns[-1])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +39,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Of each group of linked documents the one with the smallest doc_id stays; rows that repeat an id count by their text."""
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
     groups = ngram_join.join(docs.select(key.alias("key"), "text"), doc_id="key")
-    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(stay, "__key", "left_semi").select(*docs.columns)
+    (name,) = unused(docs.columns, "key")
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(stay, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
