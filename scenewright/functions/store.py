@@ -12,9 +12,11 @@ _written: dict[str, SparkSession] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (as in tests, on one machine) a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine (as in tests), a temporary one is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
