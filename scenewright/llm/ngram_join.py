@@ -356,7 +356,8 @@ def _members(long: DataFrame, known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, token), pa.int64()), pa.array(ids), pa.array(level.astype(np.int64))], ["token", "id", "level"])
 
     rows = long.select(F.col("a").alias("token"), F.col("matches").alias("m"), "data").mapInArrow(entries, "token long, id long, level long")
-    rows = rows.join(known, "id").select("token", "id", "n", "level", "ell", "end", "slack")
+    # the tables that meet by token are written first, so that a frequent one is a join that adaptive execution can split
+    rows = saved(rows.join(known, "id").select("token", "id", "n", "level", "ell", "end", "slack"), "entries")
     strong = F.expr(f"{NUMBER + OF} * slack >= {NUMBER} * (n + ceil(n * {NUMBER} / {OF}))")
     if_strong = lambda c: F.when(strong, F.col(c))
     bands = rows.groupBy("token", _bin(F.col("n")).alias("bin")).agg(
@@ -371,7 +372,7 @@ def _members(long: DataFrame, known: DataFrame) -> DataFrame:
         ends_last = ((b["si"] != F.col("id")) | (b["sj"] != F.col("id"))) & ((NUMBER + OF) * b["slack"] >= sizes) & (b["first"] <= F.col("end"))
         return near & (ends_first | F.coalesce(ends_last, F.lit(False)))
 
-    return rows.join(bands, "token").filter(F.exists("bands", partner)).drop("bands")
+    return rows.join(saved(bands, "bands"), "token").filter(F.exists("bands", partner)).drop("bands")
 
 
 def _possible(n1, n2, end1, end2, slack1, slack2) -> np.ndarray:
@@ -444,6 +445,7 @@ def _apart(n: np.ndarray, bitmaps: list[bytes], x: np.ndarray, y: np.ndarray) ->
 def _stars(members: DataFrame) -> DataFrame:
     """Each member with the list's leader: a, b."""
     leader = members.groupBy("token").agg(F.max_by(F.struct(*[F.col(c).alias(f"l_{c}") for c in ("id", "n", "end", "slack", "bitmap")]), F.struct(F.col("slack") / F.col("n"), F.xxhash64("id"))).alias("x")).select("token", "x.*")
+    leader = saved(leader, "leaders")
     columns = ["id", "n", "end", "slack", "l_id", "l_n", "l_end", "l_slack", "bitmap", "l_bitmap"]
 
     def near(batches):
@@ -475,6 +477,7 @@ def _left_in_lists(members: DataFrame, labels: DataFrame, piece: int = PIECE) ->
     named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     parts = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     lists = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c")).filter("m > c")
+    lists = saved(lists, "lists")
     pieces = lambda x: F.ceil(x / piece).cast("int")
     rows = named.join(lists.select("token", "main", pieces(F.col("m")).alias("all"), pieces(F.col("m") - F.col("c")).alias("some")), "token")
     values = ["id", "n", "level", "ell", "end", "slack", "comp", "bitmap"]
