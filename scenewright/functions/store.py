@@ -31,6 +31,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """The address of a new folder in the shared folder, which goes when the driver ends."""
+    at = f"{folder(spark)}/scenewright-{name}-{uuid.uuid4().hex}"
+    at = f"file://{at}" if at.startswith("/") else at
+    keep_until_end(spark, at)
+    return at
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that `saved` wrote; nothing may read them later."""
     for df in tables:

@@ -7,13 +7,14 @@ entity_ord is unique over all gardens; elements of different gardens never meet.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenewright import schema as S
 from scenewright.functions import expressions as E
 from scenewright.operators import polygons
 from scenewright.operators.cluster import link_paths
+from scenewright.operators.graph import numbered
 
 
 def classify(entities: DataFrame) -> DataFrame:
@@ -29,8 +30,7 @@ def _element(df: DataFrame, type_: str, gtype: str, ord_: str, **columns) -> Dat
     """Rows in the element layout but for elem_ord; id counts from 0 within garden and type."""
     none = {"rings": F.lit(None).cast(S.RINGS), "cx": F.lit(None).cast("double"), "cy": F.lit(None).cast("double"), "radius": F.lit(None).cast("double"), "name": F.lit(None).cast("string"), "cluster_id": F.lit(None).cast("bigint")}
     values = none | {"type": F.lit(type_), "gtype": F.lit(gtype), "weight": F.lit(S.TYPE_WEIGHT[type_])} | columns
-    number = F.row_number().over(Window.partitionBy("garden_id").orderBy(ord_)) - 1
-    return df.withColumns(values).select("garden_id", number.cast("bigint").alias("id"), "type", "gtype", "rings", "cx", "cy", "radius", "transparent", "weight", "name", "cluster_id")
+    return numbered(df.withColumns(values), ["garden_id", ord_], "id", within="garden_id").select("garden_id", "id", "type", "gtype", "rings", "cx", "cy", "radius", "transparent", "weight", "name", "cluster_id")
 
 
 def water(entities: DataFrame) -> DataFrame:
@@ -63,10 +63,7 @@ def building(entities: DataFrame) -> DataFrame:
                 line = [p for k, p in enumerate(line) if k == 0 or p != line[k - 1]]
                 if len(line) < 3:
                     continue
-                try:
-                    ring = polygons.thicken(line, S.WALL_HALF_WIDTH)
-                except ValueError:
-                    continue
+                ring = polygons.thicken(line, S.WALL_HALF_WIDTH)
                 out.append((r.garden_id, r.place, r.entity_ord, 0.6 if r.visibility else 0.0, [[{"x": x, "y": y} for x, y in ring]]))
             yield pd.DataFrame(out, columns=["garden_id", "place", "entity_ord", "transparent", "made"])
 
@@ -108,5 +105,4 @@ def build(entities: DataFrame) -> DataFrame:
     out = parts[0].withColumn("place", F.lit(0))
     for k, p in enumerate(parts[1:], 1):
         out = out.unionByName(p.withColumn("place", F.lit(k)))
-    number = F.row_number().over(Window.partitionBy("garden_id").orderBy("place", "id")) - 1
-    return out.withColumn("elem_ord", number.cast("bigint")).select("garden_id", "elem_ord", *[c for c in out.columns if c not in ("garden_id", "place")])
+    return numbered(out, ["garden_id", "place", "id"], "elem_ord", within="garden_id").select("garden_id", "elem_ord", *[c for c in out.columns if c not in ("garden_id", "place")])

@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import random
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenewright.functions import expressions as E
+from scenewright.functions.store import drop, saved
+from scenewright.operators.components import components
 
 Adjacency = dict[int, dict[int, float]]
 
 
 def nearest_node(nodes: DataFrame, points: DataFrame) -> DataFrame:
-    """point_id, node_id: the nearest node, the first in node_ord of equally near ones.  points: point_id, px, py (few)."""
-    met = nodes.join(F.broadcast(points), how="cross")
-    return met.groupBy("point_id").agg(F.min_by("node_id", F.struct(E.distance("x", "y", "px", "py"), "node_ord")).alias("node_id"))
+    """point_id, node_id: the nearest node, the first in node_ord of equally near ones.  points: point_id, px, py.
+
+    Rings of grid cells are searched outward, four times as far each time, for those points only whose nearest isn't proven."""
+    target = saved(nodes.select("node_id", "node_ord", "x", "y"), "targets")
+    open_ = saved(points.select("point_id", "px", "py"), "points")
+    box = target.select("x", "y").unionByName(open_.select(F.col("px").alias("x"), F.col("py").alias("y"))).agg(*[getattr(F, f)(c).alias(f + c) for f in ("min", "max") for c in "xy"]).collect()[0]
+    n = target.count()
+    if not n:
+        return open_.limit(0).select("point_id", F.lit(None).cast("bigint").alias("node_id"))
+    extent = max(box.maxx - box.minx, box.maxy - box.miny)
+    size, found = max(extent / max(n, 1) ** 0.5, 1e-9), None
+    while True:
+        last = size > extent
+        cell = lambda v: F.floor(F.col(v) / size)
+        around = lambda v: F.explode(F.sequence(cell(v) - 1, cell(v) + 1))
+        met = open_.withColumn("gx", around("px")).withColumn("gy", around("py")).join(target.withColumn("gx", cell("x")).withColumn("gy", cell("y")), ["gx", "gy"])
+        best = saved(met.groupBy("point_id").agg(F.min(F.struct(E.distance("x", "y", "px", "py").alias("d"), "node_ord", "node_id")).alias("m")), "nearest")
+        sure = (best if last else best.filter(F.col("m.d") <= size)).select("point_id", "m.node_id")
+        found = sure if found is None else found.unionByName(sure)
+        open_ = open_.join(sure, "point_id", "left_anti")
+        if last or open_.isEmpty():
+            return found
+        size *= 4
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -44,26 +67,39 @@ def longest_sides(links: DataFrame) -> DataFrame:
 
 
 def reaches(adjacency: dict[int, set[int]], start: int, end: int, without: tuple[int, int] | None = None) -> bool:
-    """Whether end is reached from start, not using the edge `without`."""
-    seen, todo = {start}, [start]
-    while todo:
-        at = todo.pop()
-        if at == end:
-            return True
-        for to in adjacency[at]:
-            if to not in seen and without not in ((at, to), (to, at)):
-                seen.add(to)
-                todo.append(to)
+    """Whether end is reached from start, not using the edge `without`; searched from both ends, the smaller front first."""
+    if start == end:
+        return True
+    seen, fronts = ({start}, {end}), [[start], [end]]
+    while fronts[0] and fronts[1]:
+        k = int(len(fronts[0]) > len(fronts[1]))
+        new = []
+        for at in fronts[k]:
+            for to in adjacency[at]:
+                if to not in seen[k] and without not in ((at, to), (to, at)):
+                    if to in seen[1 - k]:
+                        return True
+                    seen[k].add(to)
+                    new.append(to)
+        fronts[k] = new
     return False
 
 
+def _by_component(edges: DataFrame) -> DataFrame:
+    """Adds part, the connected component of an edge (garden_id, u, v) in its garden."""
+    end = lambda x: F.struct(F.col("garden_id").alias("g"), F.col(x).alias("n"))
+    label = components(edges.select(end("u").alias("a"), end("v").alias("b"))).select(F.col("node").alias("end"), F.col("component").alias("part"))
+    label = label.unionByName(label.select(F.col("part").alias("end"), "part").distinct())
+    return edges.withColumn("end", end("u")).join(label, "end").drop("end")
+
+
 def simplify(edges: DataFrame) -> DataFrame:
     """garden_id, u, v, length: the graph without the longest edge of each triangle, unless that would part its ends.
 
-    Triangles of the original graph are taken in the order of their nodes; that order matters, so each garden is one
-    task, and only its edges (not its triangles) are sent there."""
+    Triangles of the original graph are taken in the order of their nodes; that order matters within a connected
+    component, so each component is one task, and only its edges (not its triangles) are sent there."""
 
-    def of_garden(pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
         length = {(int(u), int(v)): d for u, v, d in zip(pdf.u, pdf.v, pdf.length.fillna(float("inf")), strict=True)}
         original, live = defaultdict(set), defaultdict(set)
         for u, v in length:
@@ -78,10 +114,44 @@ def simplify(edges: DataFrame) -> DataFrame:
                     if v in live[u] and reaches(live, u, v, (u, v)):
                         live[u].remove(v)
                         live[v].remove(u)
-        return pdf[[int(v) in live[int(u)] for u, v in zip(pdf.u, pdf.v, strict=True)]]
+        return pdf[[int(v) in live[int(u)] for u, v in zip(pdf.u, pdf.v, strict=True)]][["garden_id", "u", "v", "length"]]
 
     links = edges.filter("src <> dst").groupBy("garden_id", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.max_by("length", "edge_ord").alias("length"))
-    return links.groupBy("garden_id").applyInPandas(of_garden, "garden_id string, u long, v long, length double")
+    return _by_component(saved(links, "links")).groupBy("part").applyInPandas(of_part, "garden_id string, u long, v long, length double")
+
+
+def bridges(links: DataFrame) -> DataFrame:
+    """u, v, bridge: whether an edge's ends are parted without it.  links: u < v, each once.
+
+    A connected component is one task, in which one walk finds for each node the earliest node that a way around reaches."""
+
+    def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = defaultdict(list)
+        for u, v in zip(pdf.u.tolist(), pdf.v.tolist(), strict=True):
+            near[u].append(v)
+            near[v].append(u)
+        met, low, found = {}, {}, set()
+        root = min(near)
+        met[root] = low[root] = 0
+        stack = [(root, None, iter(near[root]))]
+        while stack:
+            at, parent, rest = stack[-1]
+            to = next(rest, None)
+            if to is None:
+                stack.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[at])
+                    if low[at] > met[parent]:
+                        found.add((min(at, parent), max(at, parent)))
+            elif to not in met:
+                met[to] = low[to] = len(met)
+                stack.append((to, at, iter(near[to])))
+            elif to != parent:
+                low[at] = min(low[at], met[to])
+        return pd.DataFrame({"u": pdf.u, "v": pdf.v, "bridge": [(u, v) in found for u, v in zip(pdf.u.tolist(), pdf.v.tolist(), strict=True)]})
+
+    one = links.select(F.lit("").alias("garden_id"), "u", "v")
+    return _by_component(one).groupBy("part").applyInPandas(of_part, "u long, v long, bridge boolean")
 
 
 def adjacency(rows) -> Adjacency:
@@ -94,23 +164,27 @@ def adjacency(rows) -> Adjacency:
 
 
 def dijkstra(graph: Adjacency, start: int, end: int, weighted: bool = True, banned_nodes=frozenset(), banned_edges=frozenset()) -> list[int] | None:
-    """The shortest path, by length or by the number of edges; of equally short ones the least in order of nodes."""
-    if start == end:
-        return [start]
-    best, todo = {start: 0.0}, [(0.0, [start])]
-    while todo:
-        d, path = heapq.heappop(todo)
-        at = path[-1]
-        if at == end:
-            return path
-        if d > best[at]:
+    """The shortest path, by length or by the number of edges; of equally short ones the least in order of nodes.
+
+    Distances to the end are settled outward from it; the path then takes the first neighbour that keeps to them."""
+    left, settled, todo = {end: 0.0}, set(), [(0.0, end)]
+    while todo and start not in settled:
+        d, at = heapq.heappop(todo)
+        if at in settled:
             continue
-        for to, w in graph.get(at, {}).items():
-            new = d + (w if weighted else 1.0)
-            if to not in banned_nodes and (at, to) not in banned_edges and new < best.get(to, float("inf")):
-                best[to] = new
-                heapq.heappush(todo, (new, [*path, to]))
-    return None
+        settled.add(at)
+        for before, w in graph.get(at, {}).items():
+            new = (w if weighted else 1.0) + d
+            if before not in banned_nodes and (before, at) not in banned_edges and new < left.get(before, float("inf")):
+                left[before] = new
+                heapq.heappush(todo, (new, before))
+    if start not in settled:
+        return None
+    path = [start]
+    while path[-1] != end:
+        at = path[-1]
+        path.append(min(to for to, w in graph[at].items() if to in settled and (at, to) not in banned_edges and (w if weighted else 1.0) + left[to] == left[at]))
+    return path
 
 
 def path_length(graph: Adjacency, path: list[int]) -> float:
@@ -143,24 +217,47 @@ def k_shortest(graph: Adjacency, start: int, end: int, k: int) -> list[list[int]
 def shortest_paths(links: DataFrame, source: int, max_rounds: int = 10_000) -> DataFrame:
     """node_id, dist: the length of the shortest path from one node to every reachable one, by rounds of relaxation.
 
-    Only nodes whose distance fell in a round are joined to the edges in the next; each round is written to the shared
-    folder.  links: u, v, length."""
-    from scenewright.functions.store import saved
-
+    Only nodes whose distance fell in a round are joined to the edges in the next, and only they are written.  links: u,
+    v, length."""
     spark = links.sparkSession
     arcs = links.select(F.col("u").alias("a"), F.col("v").alias("b"), F.coalesce("length", F.lit(1.0)).alias("w"))
     arcs = saved(arcs.unionByName(arcs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "arcs")
-    best = spark.createDataFrame([(source, 0.0)], "node_id long, dist double")
-    front = best
+    front = spark.createDataFrame([(source, 0.0)], "node_id long, dist double")
+    fallen = [front]
     for _ in range(max_rounds):
+        best = functools.reduce(DataFrame.unionByName, fallen).groupBy("node_id").agg(F.min("dist").alias("dist"))
         offered = front.join(arcs, front.node_id == arcs.a).groupBy(F.col("b").alias("node_id")).agg(F.min(F.col("dist") + F.col("w")).alias("offer"))
-        merged = saved(best.join(offered, "node_id", "full").select("node_id", F.least(F.coalesce("dist", "offer"), F.coalesce("offer", "dist")).alias("dist"), (F.col("dist").isNull() | (F.col("offer") < F.col("dist"))).alias("fell")), "relax")
-        best, front = merged.select("node_id", "dist"), merged.filter("fell").select("node_id", "dist")
+        front = saved(offered.join(best, "node_id", "left").filter("dist IS NULL OR offer < dist").select("node_id", F.col("offer").alias("dist")), "front")
         if front.isEmpty():
             return best
+        fallen.append(front)
+        if len(fallen) == 16:  # so that the plan doesn't grow with the rounds
+            whole = saved(functools.reduce(DataFrame.unionByName, fallen).groupBy("node_id").agg(F.min("dist").alias("dist")), "best")
+            drop(*fallen[1:-1])
+            fallen = [whole]
     raise RuntimeError(f"distances still fall after {max_rounds} rounds")
 
 
+def random_walks(links: DataFrame, walkers: DataFrame, steps: int, *, seed: int = 0, fresh: bool = False) -> DataFrame:
+    """walker, pos, node_id: a walk of so many steps for each walker (walker, node_id), uniform over neighbours, or over those
+    that it hasn't met where there are any (fresh); it ends early where there are none.  links: u, v, each once.
+
+    A step takes the neighbour, in order, that a digest of seed, walker and step picks, so a lost task walks the same way."""
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = saved(both.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("near")), "near")
+    now = walkers.select("walker", F.array("node_id").alias("path"))
+    for step in range(steps):
+        at = now.withColumn("u", F.element_at("path", -1)).join(near, "u", "left")
+        unmet = F.array_except("near", "path")
+        options = F.when(F.size(unmet) > 0, unmet).otherwise(F.col("near")) if fresh else F.col("near")
+        pick = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.col("walker"), F.lit(step)).cast("binary")), 1, 8), 16, 10).cast("bigint")
+        ended = F.col("near").isNull() | (F.size("path") < step + 1)
+        now = at.withColumn("near", options).select("walker", F.when(ended, F.col("path")).otherwise(F.concat("path", F.array(F.element_at("near", (pick % F.size("near") + 1).cast("int"))))).alias("path"))
+        if step % 4 == 3:
+            now = saved(now, "walks")
+    return now.select("walker", F.posexplode("path").alias("pos", "node_id"))
+
+
 def random_walk(graph: Adjacency, start: int, steps: int, rng: random.Random) -> list[int]:
     """A walk of so many steps, uniform over neighbours; ends early where there are none."""
     path = [start]
@@ -200,24 +297,26 @@ def snap_points(points: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return snapped.join(numbered(first, "first", "node_id"), ["x", "y"]).select("point_ord", "node_id", "x", "y")
 
 
-def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
-    """`df` with `name` counting from 0 in the order of the distinct values of `by`, without one task for all rows.
+def numbered(df: DataFrame, by: str | list[str], name: str, within: str | None = None) -> DataFrame:
+    """`df` with `name` counting from 0 in the order of the distinct values of `by`, without one task for all rows; within: from
+    0 for each value of this column, the first of `by`.
 
     Rows are range-partitioned and sorted; each partition counts on from the sum of those before it."""
-    from scenewright.functions.store import saved
-
+    by = [by] if isinstance(by, str) else by
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = saved(df.repartitionByRange(n, by).sortWithinPartitions(by).withColumn("__part", F.spark_partition_id()), "numbered")
-    from pyspark.sql import Window
-
+    ranged = saved(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()), "numbered")
     sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}  # one number for each partition
     before, total = {}, 0
     for k in sorted(sizes):
         before[k], total = total, total + sizes[k]
     base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else None
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1
-    number = within.cast("long") + (base[F.col("__part")] if base is not None else F.lit(0))
-    return ranged.withColumn(name, number.cast("long")).drop("__part")
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*by)) - 1
+    number = inner.cast("long") + (base[F.col("__part")] if base is not None else F.lit(0))
+    out = ranged.withColumn(name, number.cast("long")).drop("__part")
+    if within is None:
+        return out
+    first = out.groupBy(within).agg(F.min(name).alias("__first"))
+    return out.join(first, within).withColumn(name, F.col(name) - F.col("__first")).select(*out.columns)
 
 
 def graph_of_layer(entities: DataFrame, layer: str = "path", tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:

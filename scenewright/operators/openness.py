@@ -33,16 +33,17 @@ def members(blocks: DataFrame, elements: DataFrame) -> DataFrame:
     return area.join(elements, "elem_ord")
 
 
-def block_features(blocks: DataFrame, elements: DataFrame, block: float) -> DataFrame:
+def block_features(blocks: DataFrame, elements: DataFrame, block: float, boundary: DataFrame | None = None) -> DataFrame:
     """block_id, features (39 numbers): structural features of the elements that meet the block, and the visibility of a
-    square three times as wide, of those elements only; blocks without elements get zeros."""
+    square three times as wide inside the boundary, of those elements only; blocks without elements get zeros."""
     met = saved(members(blocks, elements), "members")
     keyed = met.withColumn("garden_id", F.col("block_id").cast("string"))
     structure = scores.structural_features(keyed)
     names = [c for c in structure.columns if c != "garden_id"]
     wide = blocks.select("block_id", *[(F.col(f"c{axis}") + sign * 1.5 * block).alias(f"{axis}{k}") for k, sign in ((0, -1), (1, 1)) for axis in ("x", "y")])
-    inside = polygons.clipped_area(wide, elements.drop("garden_id")).join(met.select("block_id", "elem_ord", "transparent"), ["block_id", "elem_ord"])
-    seen = inside.groupBy("block_id").agg(F.least(F.lit(1.0), F.sum(F.col("area") * F.col("transparent")) / (9 * block * block)).alias("visibility"))
+    inside = polygons.clipped_area(wide, elements.drop("garden_id"), boundary).join(met.select("block_id", "elem_ord", "transparent"), ["block_id", "elem_ord"])
+    weighted = inside.groupBy("block_id").agg(F.sum(F.col("area") * F.col("transparent")).alias("s")).join(polygons.inside_area(wide, boundary), "block_id")
+    seen = weighted.select("block_id", F.least(F.lit(1.0), F.col("s") / F.col("a")).alias("visibility"))
     out = blocks.join(structure.select(F.col("garden_id").cast("bigint").alias("block_id"), *names), "block_id", "left").join(seen, "block_id", "left")
     return out.select("garden_id", "block_id", "cx", "cy", F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in [*names, "visibility"]]).alias("features"))
 
@@ -60,24 +61,31 @@ def label(features: DataFrame, k: int, seed: int = 42) -> DataFrame:
     if seen.count() < k:
         return seen.withColumn("cluster", F.lit(0)).withColumn("label", F.lit("enclosed")).unionByName(edge)
     model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(seen.withColumn("__v", array_to_vector("features")))
-    low = sorted(range(len(model.clusterCenters())), key=lambda c: model.clusterCenters()[c][-1])[: k // 2]
+    centres = features.sparkSession.createDataFrame([("", c, float(v[-1])) for c, v in enumerate(model.clusterCenters())], "garden_id string, cluster int, visibility double")
     out = model.transform(seen.withColumn("__v", array_to_vector("features"))).drop("__v")
-    return out.withColumn("label", F.when(F.col("cluster").isin(low), "enclosed").otherwise("open")).unionByName(edge)
+    return out.join(F.broadcast(rank_labels(centres, k).select("cluster", "label")), "cluster").select(*features.columns, "cluster", "label").unionByName(edge)
 
 
 def rank_labels(clusters: DataFrame, k: int) -> DataFrame:
-    """cluster, label from each cluster's visibility alone."""
-    rank = F.row_number().over(Window.orderBy("visibility", "cluster"))
-    return clusters.select("cluster", F.when(rank <= k // 2, "enclosed").otherwise("open").alias("label"))
+    """garden_id, cluster, label: of each garden's clusters the k // 2 of least visibility are enclosed, the others open.
 
+    clusters: garden_id, cluster, visibility (k rows for each garden at most)."""
+    rank = F.row_number().over(Window.partitionBy("garden_id").orderBy("visibility", "cluster"))
+    return clusters.select("garden_id", "cluster", F.when(rank <= k // 2, "enclosed").otherwise("open").alias("label"))
 
-def analyze(elements: DataFrame, boundary: DataFrame, area: float | None = None, *, max_distance: float = S.OPENNESS_DISTANCE, ratio: float = S.BLOCK_RATIO, seed: int = 42) -> DataFrame:
-    """Blocks of one garden with features, cluster and label.  boundary: one element; blocks outside it are zero."""
+
+def features(elements: DataFrame, boundary: DataFrame, *, max_distance: float = S.OPENNESS_DISTANCE, ratio: float = S.BLOCK_RATIO) -> DataFrame:
+    """garden_id, block_id, cx, cy, features of the blocks of one garden.  boundary: one element; blocks outside it are zero."""
     block = max_distance * ratio
-    k = elements.sparkSession.range(1).select(E.adaptive_k(F.lit(area).cast("double"))).collect()[0][0]
     box = outlines(boundary).groupBy("garden_id").agg(*[getattr(F, c[:3])(c).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
     blocks = block_grid(box, block)
     inner = polygons.clipped_area(blocks, boundary).select("block_id").distinct()
-    features = block_features(blocks.join(inner, "block_id", "left_semi"), elements, block)
+    made = block_features(blocks.join(inner, "block_id", "left_semi"), elements, block, boundary.drop("garden_id"))
     zero = blocks.join(inner, "block_id", "left_anti").select("garden_id", "block_id", "cx", "cy", F.array_repeat(F.lit(0.0), 39).alias("features"))
-    return label(saved(features.unionByName(zero), "features"), k, seed)
+    return saved(made.unionByName(zero), "features")
+
+
+def analyze(elements: DataFrame, boundary: DataFrame, area: float | None = None, *, max_distance: float = S.OPENNESS_DISTANCE, ratio: float = S.BLOCK_RATIO, seed: int = 42) -> DataFrame:
+    """Blocks of one garden with features, cluster and label."""
+    k = elements.sparkSession.range(1).select(E.adaptive_k(F.lit(area).cast("double"))).collect()[0][0]
+    return label(features(elements, boundary, max_distance=max_distance, ratio=ratio), k, seed)

@@ -6,7 +6,8 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenewright.functions import expressions as E
@@ -140,11 +141,12 @@ def thicken(points: list[Point], half: float, mitre: float = 5.0) -> list[Point]
     """The outer ring (not closed) of a line of walls made 2 * half wide, with flat ends and mitred corners.
 
     A closed line gives its outer side only, so a loop of walls is filled.  Corners sharper than the mitre limit are
-    cut.  Lines that cross themselves aren't resolved: their two sides are joined as they are."""
+    cut.  Where the sides cross, as those of a line that crosses itself do, the outer boundary of what they enclose counts."""
     closed = points[0] == points[-1]
     line = points[:-1] if closed else points
     n = len(line)
-    if n < 2 or closed and n < 3:
+    closed = closed and n != 2  # there and back is one wall
+    if n < 2:
         raise ValueError("a wall needs two different points")
 
     def normal(a, b):
@@ -169,8 +171,48 @@ def thicken(points: list[Point], half: float, mitre: float = 5.0) -> list[Point]
 
     if closed:
         area = sum(line[k][0] * line[(k + 1) % n][1] - line[(k + 1) % n][0] * line[k][1] for k in range(n))
-        return side(line if area > 0 else line[::-1], True)
-    return side(line, False) + side(line[::-1], False)
+        return outer_face(side(line if area > 0 else line[::-1], True))
+    return outer_face(side(line, False) + side(line[::-1], False))
+
+
+def outer_face(ring: list[Point]) -> list[Point]:
+    """The ring, or if it crosses itself the outer boundary of all it encloses, counter-clockwise.
+
+    The edges are cut where they cross; from the leftmost corner the walk always takes the edge furthest to the right."""
+    n = len(ring)
+    cuts: list[list[tuple[float, Point]]] = [[] for _ in range(n)]
+    for i in range(n):
+        (ax, ay), (bx, by) = ring[i], ring[(i + 1) % n]
+        for j in range(i + 1, n):
+            (cx, cy), (dx, dy) = ring[j], ring[(j + 1) % n]
+            d = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if not d:
+                continue
+            t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / d, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / d
+            if 1e-12 < t < 1 - 1e-12 and 1e-12 < u < 1 - 1e-12:
+                p = (ax + t * (bx - ax), ay + t * (by - ay))
+                cuts[i].append((t, p))
+                cuts[j].append((u, p))
+    if not any(cuts):
+        return ring
+    to = defaultdict(set)
+    for i in range(n):
+        chain = [ring[i], *[p for _, p in sorted(cuts[i])], ring[(i + 1) % n]]
+        for p, q in zip(chain, chain[1:], strict=False):
+            if p != q:
+                to[p].add(q)
+                to[q].add(p)
+    start = min(to)
+    out, at, back = [start], start, -math.pi / 2
+    while True:
+        angle = {q: (math.atan2(q[1] - at[1], q[0] - at[0]) - back) % (2 * math.pi) or 2 * math.pi for q in to[at]}
+        nxt = min(to[at], key=angle.get)
+        if nxt == start:
+            return out
+        if len(out) > 4 * sum(map(len, to.values())):
+            raise ValueError("the outline can't be followed")
+        out.append(nxt)
+        back, at = math.atan2(at[1] - nxt[1], at[0] - nxt[0]), nxt
 
 
 def bounds(elements: DataFrame) -> DataFrame:
@@ -188,69 +230,117 @@ def grid_centres(bounds_: DataFrame, nx: int = 10, ny: int = 10) -> DataFrame:
     )
 
 
+def _edges(rings) -> Column:
+    """The edges of all rings as one array of x1, y1, x2, y2."""
+    return F.flatten(F.transform(rings, lambda q: F.zip_with(F.slice(q, 1, F.size(q) - 1), F.slice(q, 2, F.size(q) - 1), lambda s, e: F.struct(s["x"].alias("x1"), s["y"].alias("y1"), e["x"].alias("x2"), e["y"].alias("y2")))))
+
+
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """Pairs (inner_ord, outer_ord) of elements, the first inside the second: their outlines don't cross and no vertex of
-    the first lies outside; outlines may touch.  Boxes prune through grid cells."""
+    the first lies outside; outlines may touch.  Boxes prune through grid cells, then one vertex does."""
     cell = 32.0
     keys = ["garden_id"] if "garden_id" in inner.columns and "garden_id" in outer.columns else []
     box = ["min_x", "max_x", "min_y", "max_y"]
-    a = outlines(inner).select(*keys, F.col("elem_ord").alias("inner_ord"), *[F.col(c).alias(f"a_{c}") for c in box], F.col("rings").alias("ra"), F.floor(F.col("min_x") / cell).alias("gx"), F.floor(F.col("min_y") / cell).alias("gy"))
-    b = outlines(outer).select(*keys, F.col("elem_ord").alias("outer_ord"), *[F.col(c).alias(f"b_{c}") for c in box], F.col("rings").alias("rb"))
+    a = outlines(inner).select(*keys, F.col("elem_ord").alias("inner_ord"), *[F.col(c).alias(f"a_{c}") for c in box], F.array_distinct(F.element_at("rings", 1)).alias("shell"), _edges("rings").alias("ea"), F.floor(F.col("min_x") / cell).alias("gx"), F.floor(F.col("min_y") / cell).alias("gy"))
+    b = outlines(outer).select(*keys, F.col("elem_ord").alias("outer_ord"), *[F.col(c).alias(f"b_{c}") for c in box], _edges("rings").alias("eb"))
     b = b.withColumn("gx", F.explode(F.sequence(F.floor(F.col("b_min_x") / cell), F.floor(F.col("b_max_x") / cell)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("b_min_y") / cell), F.floor(F.col("b_max_y") / cell))))
     near = a.join(b, [*keys, "gx", "gy"]).filter("inner_ord <> outer_ord AND a_min_x >= b_min_x - 1e-9 AND a_max_x <= b_max_x + 1e-9 AND a_min_y >= b_min_y - 1e-9 AND a_max_y <= b_max_y + 1e-9")
-    edges = lambda r: F.flatten(F.transform(r, lambda q: F.zip_with(F.slice(q, 1, F.size(q) - 1), F.slice(q, 2, F.size(q) - 1), lambda s, e: F.struct(s["x"].alias("x1"), s["y"].alias("y1"), e["x"].alias("x2"), e["y"].alias("y2")))))
     side = lambda e, x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
     tiny = 1e-9
     opposite = lambda u, v: ((u > tiny) & (v < -tiny)) | ((u < -tiny) & (v > tiny))
-    crosses = F.exists(edges("ra"), lambda e: F.exists(edges("rb"), lambda f: opposite(side(e, f["x1"], f["y1"]), side(e, f["x2"], f["y2"])) & opposite(side(f, e["x1"], e["y1"]), side(f, e["x2"], e["y2"]))))
+    crosses = F.exists("ea", lambda e: F.exists("eb", lambda f: opposite(side(e, f["x1"], f["y1"]), side(e, f["x2"], f["y2"])) & opposite(side(f, e["x1"], e["y1"]), side(f, e["x2"], e["y2"]))))
     on = lambda e, p: (F.abs(side(e, p["x"], p["y"])) <= tiny) & ((e["x1"] - p["x"]) * (e["x2"] - p["x"]) + (e["y1"] - p["y"]) * (e["y2"] - p["y"]) <= tiny)
     above = lambda e, p: ((e["x1"] > p["x"]) != (e["x2"] > p["x"])) & (p["y"] < e["y1"] + (e["y2"] - e["y1"]) * (p["x"] - e["x1"]) / (e["x2"] - e["x1"]))
-    odd = lambda p: F.aggregate(edges("rb"), F.lit(0), lambda acc, e: acc + F.when(above(e, p), 1).otherwise(0)) % 2 == 1
-    held = F.forall(F.element_at("ra", 1), lambda p: F.exists(edges("rb"), lambda e: on(e, p)) | odd(p))
-    return near.filter(held & ~crosses).select("inner_ord", "outer_ord")
+    odd = lambda p: F.aggregate("eb", F.lit(0), lambda acc, e: acc + F.when(above(e, p), 1).otherwise(0)) % 2 == 1
+    inside = lambda p: odd(p) | F.exists("eb", lambda e: on(e, p))
+    first = near.filter(inside(F.element_at("shell", 1)))
+    return first.filter(F.forall("shell", inside) & ~crosses).select("inner_ord", "outer_ord")
 
 
-def clipped_area(blocks: DataFrame, elements: DataFrame) -> DataFrame:
-    """block_id, elem_ord, area of each element inside each block (block_id, x0, y0, x1, y1) that it meets.
+def _signed_edges() -> Column:
+    """The edges of all rings with s, the sign that makes the shell run counter-clockwise and holes against it."""
+    signed = lambda q: F.aggregate(F.zip_with(F.slice(q, 1, F.size(q) - 1), F.slice(q, 2, F.size(q) - 1), lambda s, e: s["x"] * e["y"] - e["x"] * s["y"]), F.lit(0.0), lambda acc, v: acc + v)
+    rings = F.transform("rings", lambda q, i: F.struct(q.alias("q"), (F.when(i == 0, 1.0).otherwise(-1.0) * F.signum(signed(q))).alias("s")))
+    return F.flatten(F.transform(rings, lambda r: F.zip_with(F.slice(r["q"], 1, F.size(r["q"]) - 1), F.slice(r["q"], 2, F.size(r["q"]) - 1), lambda s, e: F.struct(s["x"].alias("x1"), s["y"].alias("y1"), e["x"].alias("x2"), e["y"].alias("y2"), r["s"].alias("s")))))
 
-    Each outline edge is cut to the block's range of x and its height above the block's floor is cut to the block's
-    height; the signed integrals of the edges of an outline, shells and holes alike, add up to the area."""
-    cell = blocks.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).collect()[0][0] or 1.0
+
+def _on_blocks(blocks: DataFrame, elements: DataFrame, cell: float) -> DataFrame:
+    """block_id, elem_ord, bx0, by0, bx1, by1, x1, y1, x2, y2, s, u0, u1: the outline edges of the elements that meet each
+    block, with their range of x inside it."""
     keys = ["garden_id"] if "garden_id" in blocks.columns and "garden_id" in elements.columns else []
     b = blocks.select(*keys, "block_id", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
     b = b.withColumn("gx", F.explode(F.sequence(F.floor(F.col("bx0") / cell), F.floor(F.col("bx1") / cell)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("by0") / cell), F.floor(F.col("by1") / cell))))
-    o = outlines(elements).select(*keys, "elem_ord", "rings", "min_x", "max_x", "min_y", "max_y", F.floor(F.col("min_x") / cell).alias("lx"), F.floor(F.col("min_y") / cell).alias("ly"))
+    o = outlines(elements).select(*keys, "elem_ord", _signed_edges().alias("edges"), "min_x", "max_x", "min_y", "max_y", F.floor(F.col("min_x") / cell).alias("lx"), F.floor(F.col("min_y") / cell).alias("ly"))
     o = o.withColumn("gx", F.explode(F.sequence(F.floor(F.col("min_x") / cell), F.floor(F.col("max_x") / cell)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("min_y") / cell), F.floor(F.col("max_y") / cell))))
     met = b.join(o, [*keys, "gx", "gy"]).filter("min_x <= bx1 AND max_x >= bx0 AND min_y <= by1 AND max_y >= by0")
     # a pair meets in several cells; the one with the greater corner of the two boxes' lower corners counts
     met = met.filter((F.col("gx") == F.greatest(F.col("lx"), F.floor(F.col("bx0") / cell))) & (F.col("gy") == F.greatest(F.col("ly"), F.floor(F.col("by0") / cell))))
-    # holes run against the shell, whatever their stored direction
-    signed = lambda q: F.aggregate(F.zip_with(F.slice(q, 1, F.size(q) - 1), F.slice(q, 2, F.size(q) - 1), lambda s, e: s["x"] * e["y"] - e["x"] * s["y"]), F.lit(0.0), lambda acc, v: acc + v)
-    rings = F.transform("rings", lambda q, i: F.struct(q.alias("q"), (F.when(i == 0, 1.0).otherwise(-1.0) * F.signum(signed(q))).alias("s")))
-    edges = F.flatten(F.transform(rings, lambda r: F.zip_with(F.slice(r["q"], 1, F.size(r["q"]) - 1), F.slice(r["q"], 2, F.size(r["q"]) - 1), lambda s, e: F.struct(s["x"].alias("x1"), s["y"].alias("y1"), e["x"].alias("x2"), e["y"].alias("y2"), r["s"].alias("s")))))
-    cut = met.select("block_id", "elem_ord", "bx0", "by0", "bx1", "by1", F.explode(edges).alias("e")).select("block_id", "elem_ord", "bx0", "by0", "bx1", "by1", "e.*").filter("x1 <> x2")
-    u0, u1 = F.greatest(F.least("x1", "x2"), "bx0"), F.least(F.greatest("x1", "x2"), "bx1")
-    cut = cut.withColumn("u0", u0).withColumn("u1", u1).filter("u1 > u0")
-    y = lambda u: f"(y1 + (y2 - y1) * ({u} - x1) / (x2 - x1))"
-    cut = cut.withColumn("h0", F.expr(f"{y('u0')} - by0")).withColumn("h1", F.expr(f"{y('u1')} - by0")).withColumn("top", F.expr("by1 - by0"))
-    cut = cut.withColumn("w", F.expr("u1 - u0")).withColumn("lo", F.least("h0", "h1")).withColumn("hi", F.greatest("h0", "h1"))
-    # the mean over a linear run from lo to hi of min(max(h, 0), top)
-    area_to = lambda h: f"(CASE WHEN {h} <= 0 THEN 0e0 WHEN {h} <= top THEN {h} * {h} / 2 ELSE top * {h} - top * top / 2 END)"
-    mean = F.expr(f"CASE WHEN hi - lo < 1e-12 THEN greatest(0e0, least(top, lo)) ELSE ({area_to('hi')} - {area_to('lo')}) / (hi - lo) END")
-    return cut.groupBy("block_id", "elem_ord").agg((-F.sum(F.col("s") * F.signum(F.col("x2") - F.col("x1")) * F.col("w") * mean)).alias("area")).filter("area > 1e-9")
+    of = ["block_id", "elem_ord", "bx0", "by0", "bx1", "by1"]
+    cut = met.select(*of, F.explode("edges").alias("e")).select(*of, "e.*").filter("x1 <> x2 AND greatest(y1, y2) > by0")
+    return cut.withColumn("u0", F.greatest(F.least("x1", "x2"), "bx0")).withColumn("u1", F.least(F.greatest("x1", "x2"), "bx1")).filter("u1 > u0")
+
+
+def _height(edge: str, u: str) -> str:
+    """The height above the block's floor of an edge's line at u; `edge` stands before its columns' names."""
+    return f"({edge}y1 + ({edge}y2 - {edge}y1) * ({u} - {edge}x1) / ({edge}x2 - {edge}x1) - by0)"
+
+
+def _under(h0: str, h1: str) -> str:
+    """The mean over a linear run from h0 to h1 of its height, cut to 0 .. top."""
+    to = lambda h: f"(CASE WHEN {h} <= 0 THEN 0e0 WHEN {h} <= top THEN {h} * {h} / 2 ELSE top * {h} - top * top / 2 END)"
+    return f"CASE WHEN abs({h1} - {h0}) < 1e-12 THEN greatest(0e0, least(top, {h0})) ELSE ({to(h1)} - {to(h0)}) / ({h1} - {h0}) END"
+
+
+def clipped_area(blocks: DataFrame, elements: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
+    """block_id, elem_ord, area of each element inside each block (block_id, x0, y0, x1, y1) that it meets, and inside the
+    boundary (elements that don't overlap each other, of any shape).
+
+    An outline is the signed sum of the trapezoids between its edges and the block's floor, shells and holes alike, and so
+    is the boundary; the area is the sum over the trapezoids, or over the pairs of them, of what they share."""
+    cell = blocks.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).collect()[0][0] or 1.0
+    cut = _on_blocks(blocks, elements, cell).withColumn("top", F.expr("by1 - by0")).withColumn("turn", F.expr("-s * signum(x2 - x1)"))
+    if boundary is None:
+        runs = cut.withColumn("h0", F.expr(_height("", "u0"))).withColumn("h1", F.expr(_height("", "u1"))).withColumn("w", F.expr("u1 - u0"))
+    else:
+        other = _on_blocks(blocks, boundary, cell).select("block_id", *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2", "s", "u0", "u1")])
+        both = cut.join(other, "block_id").filter("u0 < o_u1 AND o_u0 < u1").withColumns({"u0": F.greatest("u0", "o_u0"), "u1": F.least("u1", "o_u1"), "turn": F.expr("-turn * o_s * signum(o_x2 - o_x1)")})
+        both = both.withColumns({"a0": F.expr(_height("", "u0")), "a1": F.expr(_height("", "u1")), "b0": F.expr(_height("o_", "u0")), "b1": F.expr(_height("o_", "u1"))})
+        # the lower of two lines is one line, or two where they cross
+        t = F.expr("(a0 - b0) / ((a0 - b0) - (a1 - b1))")
+        at = F.col("a0") + t * (F.col("a1") - F.col("a0"))
+        w, run = F.col("u1") - F.col("u0"), lambda w, p, q: F.struct(w.alias("w"), p.alias("h0"), q.alias("h1"))
+        low0, low1 = F.least("a0", "b0"), F.least("a1", "b1")
+        pieces = F.when(F.expr("(a0 - b0) * (a1 - b1) < 0"), F.array(run(w * t, low0, at), run(w * (1 - t), at, low1))).otherwise(F.array(run(w, low0, low1)))
+        runs = both.select("block_id", "elem_ord", "turn", "top", F.inline(pieces))
+    return runs.groupBy("block_id", "elem_ord").agg(F.sum(F.col("turn") * F.col("w") * F.expr(_under("h0", "h1"))).alias("area")).filter("area > 1e-9")
 
 
 def visible_part(blocks: DataFrame, elements: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
-    """block_id, visibility: the area of the elements inside each block, weighted by transparency, as a part of the block's
-    area inside the boundary (one element; without it the whole block), cut to 0..1; overlapping elements count twice."""
-    of = clipped_area(blocks, elements).join(elements.select("elem_ord", "transparent"), "elem_ord").groupBy("block_id").agg(F.sum(F.col("area") * F.col("transparent")).alias("s"))
-    whole = blocks.select("block_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("a")) if boundary is None else clipped_area(blocks, boundary).select("block_id", F.col("area").alias("a"))
-    out = blocks.select("block_id").join(whole, "block_id", "left").join(of, "block_id", "left")
+    """block_id, visibility: the area of the elements inside each block and the boundary, weighted by transparency, as a part
+    of the block's area inside the boundary (without one the whole block), cut to 0..1; overlapping elements count twice."""
+    of = clipped_area(blocks, elements, boundary).join(elements.select("elem_ord", "transparent"), "elem_ord").groupBy("block_id").agg(F.sum(F.col("area") * F.col("transparent")).alias("s"))
+    out = blocks.select("block_id").join(inside_area(blocks, boundary), "block_id", "left").join(of, "block_id", "left")
     part = F.when(F.col("a") > 0, F.coalesce("s", F.lit(0.0)) / F.col("a")).otherwise(0.0)
     return out.select("block_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)).alias("visibility"))
 
 
-def dedupe_consecutive(points: DataFrame) -> DataFrame:
-    """id, pos, x, y without points that repeat the one before."""
-    w = Window.partitionBy("id").orderBy("pos")
-    return points.withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w)).filter("px IS NULL OR px <> x OR py <> y").drop("px", "py")
+def inside_area(blocks: DataFrame, boundary: DataFrame | None) -> DataFrame:
+    """block_id, a: each block's area inside the boundary; blocks outside it have no row."""
+    if boundary is None:
+        return blocks.select("block_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("a"))
+    return clipped_area(blocks, boundary).groupBy("block_id").agg(F.sum("area").alias("a"))
+
+
+def convex_hulls(points: DataFrame, *keys: str) -> DataFrame:
+    """keys, pos, x, y: the convex hull of the points (keys, x, y) of each group, by `hull`.
+
+    Parts of a group are reduced to their hulls first, so the last task of a group only meets the corners of its parts."""
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = hull(sorted(zip(pdf.x.tolist(), pdf.y.tolist(), strict=True)))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "pos": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
+
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, pos int, x double, y double"
+    parts = points.select(*keys, "x", "y").distinct().groupBy(*keys, F.pmod(F.xxhash64("x", "y"), F.lit(64)).alias("part")).applyInPandas(reduce, schema)
+    return parts.groupBy(*keys).applyInPandas(reduce, schema)

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scenewright import schema as S
 from scenewright.operators.graph import Adjacency, dijkstra
@@ -57,15 +58,25 @@ class Park:
         return (math.tanh((0.7 * mean + 0.15 * spread + 0.15 * varied) / 80) + 1) / 2
 
 
-def score_clusters(park: Park) -> None:
-    """Each cluster's score: the mean fun of the shortest paths between its nodes, 0 for a single node."""
+def score_clusters(spark: SparkSession, park: Park) -> None:
+    """Each cluster's score: the mean fun of the shortest paths between its nodes, 0 for a single node; in parallel over the
+    nodes that paths begin at."""
     members: dict[int, list[int]] = {}
     for n, c in park.cluster.items():
         members.setdefault(c, []).append(n)
-    for c, nodes in members.items():
+    for nodes in members.values():
         nodes.sort()
-        funs = [park.fun(p) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if (p := dijkstra(park.graph, a, b)) and len(p) > 1]
-        park.cluster_score[c] = sum(funs) / len(funs) if funs else 0.0
+    shipped = spark.sparkContext.broadcast((park, members))
+
+    def run(batches):
+        p, of = shipped.value
+        for pdf in batches:
+            funs = [[p.fun(path) for b in of[c][i + 1 :] if (path := dijkstra(p.graph, of[c][i], b)) and len(path) > 1] for c, i in zip(pdf.c, pdf.i, strict=True)]
+            yield pd.DataFrame({"c": pdf.c, "s": [float(sum(f)) for f in funs], "n": [len(f) for f in funs]})
+
+    tasks = spark.createDataFrame([(c, i) for c, nodes in members.items() for i in range(len(nodes))], "c long, i int")
+    summed = tasks.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "c long, s double, n long").groupBy("c").agg({"s": "sum", "n": "sum"})
+    park.cluster_score |= {r.c: r["sum(s)"] / r["sum(n)"] if r["sum(n)"] else 0.0 for r in summed.collect()}  # as many rows as clusters
 
 
 @dataclass(frozen=True)
@@ -122,42 +133,73 @@ def complete(park: Park, path: list[int], end: int) -> list[int] | None:
     return path + rest[1:] if rest else None
 
 
-def initial_route(park: Park, start: int, end: int, rng: random.Random, walks: int = 20, limit: int = 40) -> list[int]:
-    """A route out by one walk and back by the walk that shares least with it, by legal edges only."""
+def initial_route(park: Park, start: int, end: int, rng: random.Random) -> list[int]:
+    """A route out by one walk and back by the walk that shares least with it, by legal edges only.
+
+    A round trip takes up to 50 different walks to the farthest node, of 1,000 tries, by the edges' scores and with 40 nodes at
+    most; other routes up to 20, of 400 tries, to the farthest node and on to the end, uniform and with 100 steps at most each way.
+    Where fewer than two arrive, the shortest way stands in."""
     if start == end and not park.graph.get(start):
         return [start]
     home = complete(park, [start], end)
     if home is None:
         raise ValueError("the end can't be reached")
-    reach = [n for n in park.graph if n not in (start, end) and dijkstra(park.graph, start, n)]
+    reach, todo = {start}, [start]
+    while todo:
+        new = set(park.graph.get(todo.pop(), ())) - reach
+        reach |= new
+        todo += new
+    reach -= {start, end}
     if not reach:
         return home
     far = max(reach, key=lambda n: (math.dist(park.xy[start], park.xy[n]), -n))
-    found: list[list[int]] = []
-    for _ in range(walks):
-        p = complete(park, _walk(park, start, far, rng, limit, start == end), far)
-        if p and p not in found:
-            found.append(p)
+    loop, found = start == end, []
+    walks, tries = (50, 1000) if loop else (20, 400)
+    for _ in range(tries):
+        if len(found) == walks:
+            break
+        if loop:
+            path = _walk(park, start, far, rng, 40, True)
+            path = None if path[-1] != far or start in path[1:] else path
+        else:
+            path = complete(park, _walk(park, start, far, rng, 101, False), far)
+            path = path and path + _walk(park, far, end, rng, 101, False)[1:]
+        if path and path not in found:
+            found.append(path)
+    direct = dijkstra(park.graph, start, far)
+    found += [direct] * (2 - len(found))
     pairs = [(len(set(a) & set(b)), len(set(a) & set(b)) / len(set(a) | set(b)), i, j) for i, a in enumerate(found) for j, b in enumerate(found[:i])]
-    out, back = (found[k] for k in min(pairs)[2:]) if pairs else (found[0], found[0])
-    return complete(park, out + back[::-1][1:], end) or home
+    out, back = (found[k] for k in min(pairs)[2:])
+    if loop:
+        return out + back[::-1][1:]
+    return complete(park, complete(park, out, far) + back[back.index(far) + 1 :] if far in back else out, end) or home
 
 
-def crossover(park: Park, a: list[int], b: list[int], end: int, rng: random.Random) -> list[int]:
-    """The first parent up to a node both have, the second from there."""
-    shared = sorted(set(a[1:-1]) & set(b[1:-1]))
+def crossover(park: Park, a: list[int], b: list[int], end: int, rng: random.Random) -> tuple[list[int], list[int]]:
+    """Two children: either parent up to the first place of a node both have, then the other one from there as far as its
+    edges are legal, and led on to the end.  Parents without such a node give themselves."""
+    shared = sorted(set(a) & set(b))
     if not shared:
-        return list(a)
+        return complete(park, list(a), end) or list(a), complete(park, list(b), end) or list(b)
     at = rng.choice(shared)
-    return complete(park, a[: a.index(at)] + b[b.index(at) :], end) or list(a)
+
+    def child(p: list[int], q: list[int]) -> list[int]:
+        out = p[: p.index(at) + 1]
+        for node in q[q.index(at) + 1 :]:
+            if node not in park.graph.get(out[-1], ()):
+                break
+            out.append(node)
+        return complete(park, out, end) or list(p)
+
+    return child(a, b), child(b, a)
 
 
 def mutate(park: Park, path: list[int], rng: random.Random) -> list[int]:
-    """One inner node gives way to another neighbour of both its neighbours, if there is one."""
+    """One inner node gives way to a neighbour of both its neighbours, which may be itself, if there is one."""
     if len(path) < 3:
         return path
     k = rng.randrange(1, len(path) - 1)
-    options = sorted((set(park.graph[path[k - 1]]) & set(park.graph[path[k + 1]])) - {path[k], path[k + 1]})
+    options = sorted((set(park.graph[path[k - 1]]) & set(park.graph[path[k + 1]])) - {path[k + 1]})
     return [*path[:k], rng.choice(options), *path[k + 1 :]] if options else path
 
 
@@ -166,28 +208,28 @@ def search(spark: SparkSession, park: Park, start: int, end: int, *, population:
 
     Without keep_best, a plateau returns the last generation's best even if an earlier one was better."""
     if not park.cluster_score and park.cluster:
-        score_clusters(park)
+        score_clusters(spark, park)
     shipped = spark.sparkContext.broadcast(park)
     slots = min(population, spark.sparkContext.defaultParallelism)
 
     def evaluate(batches):
         p = shipped.value
         for pdf in batches:
-            paths = []
+            slots_, paths = [], []
             for r in pdf.itertuples():
                 rng = random.Random(f"{seed}/{r.gen}/{r.slot}")
                 if r.a is None or not len(r.a):
-                    path = initial_route(p, start, end, rng)
+                    made = [initial_route(p, start, end, rng)]
                 else:
-                    path = crossover(p, list(r.a), list(r.b), end, rng)
-                    path = mutate(p, path, rng) if rng.random() < mutation else path
-                paths.append([int(x) for x in path])
-            yield pd.DataFrame({"slot": pdf.slot, "path": paths, "fitness": [fitness(p, x, weights) for x in paths]})
+                    made = [mutate(p, x, rng) if rng.random() < mutation else x for x in crossover(p, list(r.a), list(r.b), end, rng)]
+                slots_ += [r.slot * 2 + k for k in range(len(made))]
+                paths += [[int(x) for x in path] for path in made]
+            yield pd.DataFrame({"slot": slots_, "path": paths, "fitness": [fitness(p, x, weights) for x in paths]})
 
     def generation(number: int, parents: list[tuple]) -> list[tuple[list[int], float]]:
         df: DataFrame = spark.createDataFrame([(number, k, a, b) for k, (a, b) in enumerate(parents)], "gen int, slot int, a array<long>, b array<long>")
         rows = df.repartition(slots).mapInPandas(evaluate, "slot int, path array<long>, fitness double").collect()  # `population` routes
-        return [(list(r.path), r.fitness) for r in sorted(rows, key=lambda r: r.slot)]
+        return [(list(r.path), r.fitness) for r in sorted(rows, key=lambda r: r.slot)][:population]
 
     rng = random.Random(seed)
     now = generation(0, [(None, None)] * population)
@@ -195,7 +237,7 @@ def search(spark: SparkSession, park: Park, start: int, end: int, *, population:
     last = best[1]
     for g in range(1, generations + 1):
         paths, fits = zip(*now, strict=True)
-        now = generation(g, [tuple(rng.choices(paths, fits, k=2)) for _ in range(population)])
+        now = generation(g, [tuple(rng.choices(paths, fits, k=2)) for _ in range((population + 1) // 2)])
         top = max(now, key=lambda x: x[1])
         plateau = abs(top[1] - last) < 1e-8 and abs(best[1]) > 0.1
         if top[1] > best[1] or plateau and not keep_best:
@@ -219,6 +261,12 @@ def park_of(nodes: DataFrame, links: DataFrame, scores: DataFrame, vectors: Data
 
     if nodes.limit(MOST_NODES + 1).count() > MOST_NODES or links.limit(10 * MOST_NODES + 1).count() > 10 * MOST_NODES:
         raise ValueError("the graph is too large to broadcast")
+    of = nodes.select("node_id").distinct()  # as many rows as nodes, at most
+    ends = [of.withColumnRenamed("node_id", x) for x in ("src", "dst")]
+    scores = scores.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").groupBy("src", "dst").agg(F.max("score").alias("score"))
+    if scores.limit(20 * MOST_NODES + 1).count() > 20 * MOST_NODES:
+        raise ValueError("the scores are too large to broadcast")
+    vectors = vectors.join(of, "node_id", "left_semi").dropDuplicates(["node_id"])
     types = vectors.select("node_id", *[E.array_sum(_slice(k, n_sectors)).alias(f"t{k}") for k in range(4)])
     return Park(
         adjacency((r.u, r.v, r.length) for r in links.select("u", "v", "length").collect()),
@@ -230,6 +278,4 @@ def park_of(nodes: DataFrame, links: DataFrame, scores: DataFrame, vectors: Data
 
 
 def _slice(k: int, n: int):
-    from pyspark.sql import functions as F
-
     return F.slice("v", k * n + 1, n)

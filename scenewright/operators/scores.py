@@ -73,13 +73,13 @@ def route_fun(paths: DataFrame, scores: DataFrame, lengths: DataFrame, vectors:
     known = hops.join(symmetric(scores.select("src", "dst", "score")), ["src", "dst"], "left").join(symmetric(lengths.select("src", "dst", "length")), ["src", "dst"], "left")
     w = 1.0 / (F.coalesce("length", F.lit(1.0)) + 1e-6)
     v = F.coalesce("score", F.lit(0.0))
-    mean = F.sum(w * v) / F.sum(w)
-    of_edges = known.groupBy("path_id").agg(mean.alias("edge_mean"), F.sum(w).alias("sw"), F.sum(w * v).alias("swv"), F.sum(w * v * v).alias("swvv"))
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("swvv") / F.col("sw") - (F.col("swv") / F.col("sw")) ** 2))
+    whole = Window.partitionBy("path_id")
+    of_hops = known.select("path_id", w.alias("w"), v.alias("v")).withColumn("mean", F.sum(F.col("w") * F.col("v")).over(whole) / F.sum("w").over(whole))
+    of_edges = of_hops.groupBy("path_id").agg(F.max("mean").alias("edge_mean"), F.sqrt(F.sum(F.col("w") * (F.col("v") - F.col("mean")) ** 2) / F.sum("w")).alias("edge_std"))
     types = [E.array_sum(F.slice("v", i * n_sectors + 1, n_sectors)).alias(t) for i, t in enumerate(S.SECTOR_TYPES)]
     of_nodes = paths.join(vectors.select("node_id", *types), "node_id").groupBy("path_id").agg(*[F.sum(t).alias(t) for t in S.SECTOR_TYPES])
     diverse = _cosh_free_entropy([F.col(t) for t in S.SECTOR_TYPES])
-    out = of_nodes.join(of_edges, "path_id", "left").select("path_id", F.coalesce("edge_mean", F.lit(float("nan"))).alias("edge_mean"), F.coalesce(std, F.lit(float("nan"))).alias("edge_std"), diverse.alias("node_div"))
+    out = of_nodes.join(of_edges, "path_id", "left").select("path_id", F.coalesce("edge_mean", F.lit(float("nan"))).alias("edge_mean"), F.coalesce("edge_std", F.lit(float("nan"))).alias("edge_std"), diverse.alias("node_div"))
     raw = weights[0] * F.col("edge_mean") + weights[1] * F.col("edge_std") + weights[2] * F.col("node_div")
     return out.withColumn("fun_score", (F.tanh(raw / 80) + 1) / 2)
 
@@ -130,6 +130,31 @@ def missing_clusters(paths: DataFrame, clusters: DataFrame, scores: DataFrame) -
     return out.select("path_id", F.when(left > 0, (F.col("total") - F.coalesce("s", F.lit(0.0))) / left).otherwise(0.0).alias("penalty"))
 
 
+def fitness(paths: DataFrame, nodes: DataFrame, scores: DataFrame, lengths: DataFrame, vectors: DataFrame, clusters: DataFrame, cluster_scores: DataFrame, *, alpha: float = 0.6, beta: float = 1.0, gamma: float = 0.4, delta: float = 0.02) -> DataFrame:
+    """path_id, fitness of all routes of a table at once: fun and coverage less the costs of repeated edges, nodes and
+    clusters, missing clusters, loops and short routes; what isn't above 0 becomes 1e-6, a route of one node has no fun.
+
+    nodes: node_id, x, y; clusters: node_id, cluster_id; cluster_scores: cluster_id, score."""
+    total = nodes.agg(F.count(F.lit(1)).alias("all"))
+    visits = paths.join(clusters.select("node_id", "cluster_id"), "node_id")
+    parts = [
+        route_fun(paths, scores, lengths, vectors).select("path_id", F.nanvl("fun_score", F.lit(0.0)).alias("fun")),
+        edge_repeats(paths, delta).withColumnRenamed("penalty", "edge"), node_repeats(paths, delta).withColumnRenamed("penalty", "node"),
+        repeat_penalty(visits, delta, "cluster_id").withColumnRenamed("penalty", "cluster"), missing_clusters(paths, clusters, cluster_scores).withColumnRenamed("penalty", "missing"),
+        loop_penalty(paths, nodes, delta).withColumnRenamed("penalty", "loop"),
+    ]
+    out = paths.groupBy("path_id").agg(F.countDistinct("node_id").alias("distinct"))
+    for part in parts:
+        out = out.join(part, "path_id", "left")
+    out = out.crossJoin(F.broadcast(total))  # one row
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    least = F.floor(0.3 * F.col("all"))
+    short = F.when(F.col("distinct") < least, delta * (least - F.col("distinct"))).otherwise(0.0)
+    cost = zero("edge") + zero("node") + 0.8 * zero("cluster") + 2 * zero("missing") + 0.4 * zero("loop") + 0.4 * short
+    value = alpha * zero("fun") - beta * cost + gamma * F.col("distinct") / F.col("all")
+    return out.select("path_id", F.when(value > 0, value).otherwise(1e-6).alias("fitness"))
+
+
 def garden_score(blocks: DataFrame) -> DataFrame:
     """garden_id, feature_richness, openness_entropy, score.  blocks: garden_id, features (array), label."""
     long = blocks.select("garden_id", "block_id", F.posexplode("features").alias("k", "value"))

@@ -22,9 +22,9 @@ from scenewright.functions import expressions as E
 Decay = Callable[[Column], Column]
 
 
-def outlines(elements: DataFrame) -> DataFrame:
+def outlines(elements: DataFrame, vertices: int = S.CIRCLE_VERTICES) -> DataFrame:
     """Elements with closed rings in `rings` (a circle becomes a polygon) and their bounding box; others are dropped."""
-    circle = F.array(E.circle_ring("cx", "cy", "radius"))
+    circle = F.array(E.circle_ring("cx", "cy", "radius", vertices))
     rings = F.when(F.col("gtype") == "Circle", circle).when(F.col("gtype") == "Polygon", F.transform("rings", E.closed_ring))
     shell = F.element_at("rings", 1)
     return (
@@ -52,16 +52,37 @@ def hits(viewpoints: DataFrame, elements: DataFrame, *, n_sectors: int = S.N_SEC
     viewpoints: node_id, x, y; where both tables have a garden_id, a viewpoint only sees its own garden (node_id is unique
     over all).  Partitioned by node_id."""
     n, length = n_sectors * rays_per_sector, float(max_distance)
+    near = _near(viewpoints, elements, length)
+    crossing = _crossings(near, n)
+    of_ray = ["node_id", "ray", "elem_ord", "type", "transparent", "weight"]
+    met = crossing.groupBy(*of_ray).agg(
+        (F.count(F.lit(1)) % 2 == 1).alias("inside"), (F.count_if(F.col("t") > length) % 2 == 1).alias("ends_inside"),
+        F.collect_set(F.when((F.col("t") > 1e-6) & (F.col("t") <= length), F.col("t"))).alias("ts"),
+    )
+    found = F.concat(
+        F.transform("ts", lambda t: F.struct(t.alias("d"), F.lit(False).alias("virtual"))),
+        F.when(F.col("ends_inside"), F.array(F.struct(F.lit(length).alias("d"), F.lit(False).alias("virtual")))).otherwise(F.array().cast("array<struct<d:double,virtual:boolean>>")),
+        F.when(F.col("inside"), F.array(F.struct(F.lit(S.VIRTUAL_HIT).alias("d"), F.lit(True).alias("virtual")))).otherwise(F.array().cast("array<struct<d:double,virtual:boolean>>")),
+    )
+    return met.select(*of_ray, F.inline(found))
+
+
+def _near(viewpoints: DataFrame, elements: DataFrame, length: float, *more: str, shapes=None) -> DataFrame:
+    """Viewpoints (node_id, vx, vy) with the elements whose box a ray of this length can reach, by grid cells."""
     keys = ["garden_id"] if "garden_id" in viewpoints.columns and "garden_id" in elements.columns else []
-    shapes = outlines(elements).select(*keys, "elem_ord", "type", "transparent", "weight", "rings", "min_x", "max_x", "min_y", "max_y")
+    shapes = (outlines(elements) if shapes is None else shapes).select(*keys, "elem_ord", "type", "transparent", "weight", "rings", "min_x", "max_x", "min_y", "max_y", *more)
     shapes = (
         shapes.withColumn("gx", F.explode(_cells(F.col("min_x") - length, F.col("max_x") + length, length)))
         .withColumn("gy", F.explode(_cells(F.col("min_y") - length, F.col("max_y") + length, length)))
     )
     points = viewpoints.select(*keys, "node_id", F.col("x").alias("vx"), F.col("y").alias("vy"), F.floor(F.col("x") / length).cast("int").alias("gx"), F.floor(F.col("y") / length).cast("int").alias("gy"))
-    near = points.join(shapes, [*keys, "gx", "gy"]).filter(
+    return points.join(shapes, [*keys, "gx", "gy"]).filter(
         (F.col("vx") >= F.col("min_x") - length) & (F.col("vx") <= F.col("max_x") + length) & (F.col("vy") >= F.col("min_y") - length) & (F.col("vy") <= F.col("max_y") + length)
     )
+
+
+def _crossings(near: DataFrame, n: int) -> DataFrame:
+    """node_id, elem_ord, type, transparent, weight, ray, t: where each ray crosses each line of `rings`, partitioned by node_id."""
     edges = near.repartition("node_id").select(
         "node_id", "elem_ord", "type", "transparent", "weight",
         F.explode(F.flatten(F.transform("rings", lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.struct(
@@ -76,17 +97,7 @@ def hits(viewpoints: DataFrame, elements: DataFrame, *, n_sectors: int = S.N_SEC
     rays = rays.withColumn("dx", F.cos(2 * F.pi() * F.col("ray") / n)).withColumn("dy", F.sin(2 * F.pi() * F.col("ray") / n))
     side_a, side_b = F.expr("dx * ay - dy * ax") >= 0, F.expr("dx * by - dy * bx") >= 0
     crossing = rays.filter(side_a != side_b).withColumn("t", F.expr("(ax * (by - ay) - ay * (bx - ax)) / (dx * (by - ay) - dy * (bx - ax))")).filter("t > 0")
-    of_ray = ["node_id", "ray", "elem_ord", "type", "transparent", "weight"]
-    met = crossing.groupBy(*of_ray).agg(
-        (F.count(F.lit(1)) % 2 == 1).alias("inside"), (F.count_if(F.col("t") > length) % 2 == 1).alias("ends_inside"),
-        F.collect_set(F.when((F.col("t") > 1e-6) & (F.col("t") <= length), F.col("t"))).alias("ts"),
-    )
-    found = F.concat(
-        F.transform("ts", lambda t: F.struct(t.alias("d"), F.lit(False).alias("virtual"))),
-        F.when(F.col("ends_inside"), F.array(F.struct(F.lit(length).alias("d"), F.lit(False).alias("virtual")))).otherwise(F.array().cast("array<struct<d:double,virtual:boolean>>")),
-        F.when(F.col("inside"), F.array(F.struct(F.lit(S.VIRTUAL_HIT).alias("d"), F.lit(True).alias("virtual")))).otherwise(F.array().cast("array<struct<d:double,virtual:boolean>>")),
-    )
-    return met.select(*of_ray, F.inline(found))
+    return crossing.select("node_id", "elem_ord", "type", "transparent", "weight", "ray", "t")
 
 
 def sector_features(viewpoints: DataFrame, elements: DataFrame, *, n_sectors: int = S.N_SECTORS, rays_per_sector: int = S.RAYS_PER_SECTOR, max_distance: float = S.RAY_LENGTH, decay: Decay = E.exponential_decay) -> DataFrame:
@@ -102,14 +113,26 @@ def sampled_features(viewpoints: DataFrame, elements: DataFrame, *, n_sectors: i
 
     A sample's elements all see the transparency in front of the sample's first one multiply in element order; the ray
     stops after a sample with an opaque element."""
-    n = n_sectors * rays_per_sector
+    n, step_ = n_sectors * rays_per_sector, float(sample_step)
     steps = int(max_distance / sample_step + 1e-9)
+    near = _near(viewpoints, elements, steps * step_, "gtype", "cx", "cy", "radius")
+    # the steps at which a sample can lie in the element's box, and the rays of the box's angular span there
+    far = lambda v, low, high: F.greatest(F.col(low) - F.col(v), F.col(v) - F.col(high), F.lit(0.0))
+    least = F.sqrt(far("vx", "min_x", "max_x") ** 2 + far("vy", "min_y", "max_y") ** 2)
+    most = F.sqrt(F.greatest(F.abs(F.col("min_x") - F.col("vx")), F.abs(F.col("max_x") - F.col("vx"))) ** 2 + F.greatest(F.abs(F.col("min_y") - F.col("vy")), F.abs(F.col("max_y") - F.col("vy"))) ** 2)
+    middle = F.atan2((F.col("min_y") + F.col("max_y")) / 2 - F.col("vy"), (F.col("min_x") + F.col("max_x")) / 2 - F.col("vx"))
+    corner = lambda x, y: F.abs(F.pmod(F.atan2(F.col(y) - F.col("vy"), F.col(x) - F.col("vx")) - middle + F.pi(), 2 * F.pi()) - F.pi())
+    half = F.when(least == 0, F.pi()).otherwise(F.greatest(*[corner(f"{p}_x", f"{q}_y") for p in ("min", "max") for q in ("min", "max")]))
+    first, last = F.floor((middle - half) * n / (2 * F.pi())), F.ceil((middle + half) * n / (2 * F.pi()))
+    rays = F.sequence(first.cast("int"), F.least(last, first + n - 1).cast("int"))
     samples = (
-        viewpoints.select("node_id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ray"))
-        .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("d", F.col("step") * float(sample_step)).filter(F.col("d") > r_safe)
-        .select("node_id", "ray", "step", "d", (F.col("x") + F.col("d") * F.cos(2 * F.pi() * F.col("ray") / n)).alias("px"), (F.col("y") + F.col("d") * F.sin(2 * F.pi() * F.col("ray") / n)).alias("py"))
+        near.withColumn("ray", F.explode(rays)).withColumn("ray", F.pmod("ray", F.lit(n)))
+        .withColumn("step", F.explode(F.sequence(F.greatest(F.lit(1), F.floor(least / step_)).cast("int"), F.greatest(F.lit(1), F.least(F.lit(steps), F.ceil(most / step_))).cast("int"))))
+        .withColumn("d", F.col("step") * step_).filter((F.col("d") > r_safe) & (F.col("step") <= steps))
+        .withColumn("px", F.col("vx") + F.col("d") * F.cos(2 * F.pi() * F.col("ray") / n)).withColumn("py", F.col("vy") + F.col("d") * F.sin(2 * F.pi() * F.col("ray") / n))
+        .filter("px >= min_x AND px <= max_x AND py >= min_y AND py <= max_y")
     )
-    inside = points_in_elements(samples, elements, "px", "py")
+    inside = samples.filter(_holds("px", "py", "cx", "cy", "radius")).select("node_id", "ray", "step", "d", "elem_ord", "type", "transparent", "weight").repartition("node_id")
     order = Window.partitionBy("node_id", "ray").orderBy("step", "elem_ord").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("node_id", "ray").orderBy("step").rangeBetween(Window.unboundedPreceding, -1)
     opaque = F.max((F.col("transparent") < S.OPAQUE).cast("int")).over(earlier)
@@ -125,25 +148,63 @@ def points_in_elements(points: DataFrame, elements: DataFrame, x: str = "x", y:
     shapes = shapes.select("gx", "gy", "elem_ord", "type", "transparent", "weight", "gtype", F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), F.col("radius").alias("__r"), "rings")
     keyed = points.withColumn("gx", F.floor(F.col(x) / cell).cast("int")).withColumn("gy", F.floor(F.col(y) / cell).cast("int"))
     both = keyed.join(shapes, ["gx", "gy"])
+    held = both.filter(_holds(x, y, "__cx", "__cy", "__r"))
+    return held.drop("gx", "gy", "gtype", "__cx", "__cy", "__r", "rings")
+
+
+def _holds(x: str, y: str, cx: str, cy: str, radius: str) -> Column:
+    """Whether the element (gtype, rings or a circle) holds the point."""
     crossed = F.aggregate(
         F.flatten(F.transform("rings", lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.when(
             ((p["x"] > F.col(x)) != (q["x"] > F.col(x))) & (F.col(y) < p["y"] + (q["y"] - p["y"]) * (F.col(x) - p["x"]) / (q["x"] - p["x"])), 1).otherwise(0)))),
         F.lit(0), lambda acc, v: acc + v)
-    in_circle = (F.col(x) - F.col("__cx")) ** 2 + (F.col(y) - F.col("__cy")) ** 2 <= F.col("__r") ** 2
-    held = both.filter(F.when(F.col("gtype") == "Circle", in_circle).otherwise(crossed % 2 == 1))
-    return held.drop("gx", "gy", "gtype", "__cx", "__cy", "__r", "rings")
+    in_circle = (F.col(x) - F.col(cx)) ** 2 + (F.col(y) - F.col(cy)) ** 2 <= F.col(radius) ** 2
+    return F.when(F.col("gtype") == "Circle", in_circle).otherwise(crossed % 2 == 1)
+
+
+def lines(elements: DataFrame) -> DataFrame:
+    """Polylines with their points as the only ring, not closed, and their box; others are dropped."""
+    line = F.element_at("rings", 1)
+    return elements.filter("gtype = 'Polyline' AND size(rings) > 0").withColumns({f"{end}_{axis}": getattr(F, f"array_{end}")(E.coordinates(line, axis)) for end in ("min", "max") for axis in ("x", "y")})
+
+
+def _touches(near: DataFrame, n: int) -> DataFrame:
+    """Where a ray only touches an outline: at a vertex that juts out towards it, both neighbours lying on one side of the ray."""
+    signed = lambda r: F.aggregate(F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda acc, v: acc + v)
+    corners = F.flatten(F.transform("rings", lambda r, k: F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.struct(
+        F.element_at(r, F.when(i == 1, F.size(r) - 1).otherwise(i - 1)).alias("p"), F.element_at(r, i).alias("v"), F.element_at(r, i + 1).alias("q"), (F.signum(signed(r)) * F.when(k == 0, 1).otherwise(-1)).alias("s")))))
+    of = near.select("node_id", "elem_ord", "type", "transparent", "weight", "vx", "vy", F.explode(corners).alias("c"))
+    of = of.select("node_id", "elem_ord", "type", "transparent", "weight", *[(F.col(f"c.{k}.{axis}") - F.col(f"v{axis}")).alias(f"{k}_{axis}") for k in "pvq" for axis in "xy"], F.col("c.s").alias("s"))
+    of = of.filter("s * ((v_x - p_x) * (q_y - v_y) - (v_y - p_y) * (q_x - v_x)) > 0")  # the inside lies within less than half a turn
+    ray = F.pmod(F.round(F.atan2("v_y", "v_x") * n / (2 * F.pi())), F.lit(float(n))).cast("int")
+    of = of.withColumn("ray", ray).withColumn("dx", F.cos(2 * F.pi() * F.col("ray") / n)).withColumn("dy", F.sin(2 * F.pi() * F.col("ray") / n))
+    side = lambda k: F.signum(F.expr(f"dx * {k}_y - dy * {k}_x"))
+    touched = of.filter((side("v") == 0) & (side("p") * side("q") > 0)).withColumn("t", F.expr("dx * v_x + dy * v_y"))
+    return touched.select("node_id", "elem_ord", "type", "transparent", "weight", "ray", "t")
 
 
 def opacity_features(viewpoints: DataFrame, elements: DataFrame, *, n_sectors: int = 8, rays_per_sector: int = 5, max_distance: float = S.DECAY_DISTANCE, r_safe: float = 0.5) -> DataFrame:
-    """The variant with a safe radius: hits nearer than r_safe don't count and the decay is exp(-d / max_distance)."""
-    met = hits(viewpoints, elements, n_sectors=n_sectors, rays_per_sector=rays_per_sector, max_distance=max_distance).filter(~F.col("virtual") & (F.col("d") > r_safe))
+    """The variant that counts single points only: where a ray crosses a polyline, or touches an outline (a circle as a
+    polygon of TOUCH_VERTICES) in a point; a ray that runs through an outline's inside doesn't count.
+
+    Points up to r_safe don't count, the decay is exp(-d / max_distance), and nothing counts behind an opaque element."""
+    n, length = n_sectors * rays_per_sector, float(max_distance)
+    crossed = _crossings(_near(viewpoints, elements, length, shapes=lines(elements)), n)
+    touched = _touches(_near(viewpoints, elements, length, shapes=outlines(elements, S.TOUCH_VERTICES)), n)
+    met = crossed.unionByName(touched).filter((F.col("t") > r_safe) & (F.col("t") <= length)).withColumnRenamed("t", "d").distinct()
     along = Window.partitionBy("node_id", "ray").orderBy("d", "elem_ord").rowsBetween(Window.unboundedPreceding, -1)
-    seen = met.withColumn("through", F.coalesce(F.product("transparent").over(along), F.lit(1.0))).filter(F.col("through") >= S.OPAQUE)
+    opaque = F.coalesce(F.max((F.col("transparent") < S.OPAQUE).cast("int")).over(along), F.lit(0))
+    seen = met.withColumn("through", F.coalesce(F.product("transparent").over(along), F.lit(1.0))).withColumn("blocked", opaque).filter("blocked = 0")
     return seen.groupBy("node_id", "type", F.floor(F.col("ray") / rays_per_sector).cast("int").alias("sector")).agg(F.sum(E.range_decay("d", max_distance) * F.col("weight") * F.col("through")).alias("value"))
 
 
-def vectors(features: DataFrame, n_sectors: int = S.N_SECTORS) -> DataFrame:
+def vectors(features: DataFrame, n_sectors: int = S.N_SECTORS, types: list[str] | None = None) -> DataFrame:
     """Long features as node_id, v: an array of types x sectors in the fixed order of types, 0 where nothing is seen."""
-    place = F.array_position(F.array(*map(F.lit, S.SECTOR_TYPES)), F.col("type")).cast("int") - 1
+    place = F.array_position(F.array(*map(F.lit, types or S.SECTOR_TYPES)), F.col("type")).cast("int") - 1
     cells = features.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct((place * n_sectors + F.col("sector")).alias("k"), F.col("value").alias("x")))).alias("m"))
     return cells.select("node_id", F.transform(F.sequence(F.lit(0), F.lit(len(S.SECTOR_TYPES) * n_sectors - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("v"))
+
+
+def flattened(features: DataFrame, n_sectors: int = S.N_SECTORS) -> DataFrame:
+    """Like `vectors`, with the types in alphabetical order."""
+    return vectors(features, n_sectors, sorted(S.SECTOR_TYPES))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scenewright import schema as S
+from scenewright.plans.queries import PARK_BOXES
 from scenewright.plans.scene import with_sql
 
 
@@ -125,13 +126,124 @@ def _layer_case(of: str) -> str:
 _LAYERS = "[" + ", ".join(f"'{k}'" for k in [*S.LAYER_CATEGORY, "ARCHI", "0"]) + "]"
 _CHORD = "SELECT elem_ord AS id, x AS px, y AS py FROM elements UNION ALL SELECT elem_ord, x + h, y FROM elements"
 
+_ROUND = "SELECT id AS elem_ord, x, y, radius AS h, 'plant' AS type, 0.4e0 AS transparent, 0.65e0 AS weight FROM circles"
+_PARK = " UNION ALL ".join(f"SELECT {a}e0 AS px0, {b}e0 AS py0, {c}e0 AS px1, {d}e0 AS py1" for a, b, c, d in PARK_BOXES)
+# the area of each element inside each part (cx0, cy0, cx1, cy1) of a block, summed by block
+_CLIPPED = """met AS (SELECT block_id, elem_ord, square, h, cx0 - x AS l, cx1 - x AS r, cy0 - y AS d, cy1 - y AS u FROM part JOIN elements ON cx1 > cx0 AND cy1 > cy0 AND x - h <= cx1 AND x + h >= cx0 AND y - h <= cy1 AND y + h >= cy0),
+    cut AS (SELECT *, row_number() OVER () AS k FROM met),
+    knots AS (SELECT k, unnest([greatest(-h, l), least(h, r), 0e0, h - u, u - h, h + d, -h - d, h - d, d - h, h + u, -h - u]) AS t FROM cut),
+    good AS (SELECT DISTINCT k, t FROM knots JOIN cut USING (k) WHERE t >= greatest(-h, l) AND t <= least(h, r)),
+    run AS (SELECT k, t AS s, lead(t) OVER (PARTITION BY k ORDER BY t) AS e FROM good),
+    piece AS (SELECT k, s, e, (s + e) / 2 AS m FROM run WHERE e > s),
+    area AS (SELECT block_id, elem_ord, sum((e - s) * greatest(0, least(u, CASE WHEN square THEN h ELSE h - abs(m) END) - greatest(d, CASE WHEN square THEN -h ELSE abs(m) - h END))) AS area FROM piece JOIN cut USING (k) GROUP BY 1, 2)"""
+
+
+def _fitness() -> str:
+    """The parts of a route's fitness, one after the other."""
+    repeats = lambda key, rows: f"SELECT path_id, sum(0.03e0 * c * (c - 1) / 2) AS p, sum(c) AS n FROM (SELECT path_id, count(*) AS c FROM {rows} GROUP BY path_id, {key}) GROUP BY 1"
+    return f"""{_FUN}, fun AS (SELECT path_id, (tanh((0.7e0 * edge_mean + 0.15e0 * edge_std + 0.15e0 * node_div) / 80) + 1) / 2 AS fun FROM es JOIN nd USING (path_id)),
+    re AS ({repeats('least(a, b), greatest(a, b)', 'hops')}), rn AS ({repeats('node_id', 'paths')}), rc AS ({repeats('node_id % 25', 'paths')}),
+    cl AS (SELECT i AS c, i * 13 % 17 / 10e0 AS score FROM range(25) t(i)), met AS (SELECT DISTINCT path_id, node_id % 25 AS c FROM paths),
+    seen AS (SELECT path_id, sum(score) AS s, count(*) AS n FROM met JOIN cl USING (c) GROUP BY 1), mi AS (SELECT path_id, CASE WHEN n < 25 THEN ((SELECT sum(score) FROM cl) - s) / (25 - n) ELSE 0 END AS p FROM seen),
+    w AS (SELECT path_id, x, y, lead(x) OVER o AS x1, lead(y) OVER o AS y1, lead(x, 2) OVER o AS x2, lead(y, 2) OVER o AS y2 FROM (SELECT path_id, pos, x / 20 AS x, y / 20 AS y FROM paths JOIN nodes USING (node_id)) WINDOW o AS (PARTITION BY path_id ORDER BY pos)),
+    d AS (SELECT path_id, sqrt((x - x1) * (x - x1) + (y - y1) * (y - y1)) AS out_, sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)) AS back FROM w),
+    lo AS (SELECT path_id, sum(CASE WHEN back < 8 AND out_ > 15 THEN 0.03e0 * (out_ - 14) ELSE 0 END) / greatest(count(*) - 2, 1) AS p FROM d GROUP BY 1),
+    k AS (SELECT path_id, count(DISTINCT node_id) AS k FROM paths GROUP BY 1), a AS (SELECT count(*) AS n FROM nodes),
+    f AS (SELECT path_id, 4 * coalesce(fun, 0) - 0.05e0 * (coalesce(re.p / re.n, 0) + rn.p / rn.n + 0.8e0 * rc.p + 2 * mi.p + 0.4e0 * lo.p + 0.4e0 * CASE WHEN k < floor(0.3e0 * a.n) THEN 0.03e0 * (floor(0.3e0 * a.n) - k) ELSE 0 END) + 6.5e0 * k / a.n AS f
+          FROM k JOIN rn USING (path_id) JOIN rc USING (path_id) JOIN mi USING (path_id) JOIN lo USING (path_id) LEFT JOIN fun USING (path_id) LEFT JOIN re USING (path_id), a)
+    SELECT path_id, {_r('CASE WHEN f > 0 THEN f ELSE 1e-6 END', 'fitness')} FROM f"""
+
+
+def _openness() -> str:
+    """The structure of the elements that meet each block of 30, and the visibility of one three times as wide, in the park."""
+    grid = _GRID.replace("15e0", "30e0").replace("7.5e0", "15e0").replace("FROM elements", "FROM bound")
+    structure = _structure().removeprefix("WITH ").split(", p0 AS", 1)[1].replace("SELECT * FROM p0 JOIN p1 USING (garden_id) JOIN p2 USING (garden_id) JOIN p3 USING (garden_id) JOIN x USING (garden_id) JOIN y USING (garden_id) JOIN z USING (garden_id)", "")
+    pairs = [(a, b) for i, a in enumerate(_TYPES) for b in _TYPES[i + 1 :]]
+    names = [f"{t}_{k}" for t in _TYPES for k in ("count", "total_area", "avg_area", "area_ratio", "mean_nn_dist", "std_nn_dist")] + [f"{a}_to_{b}_{k}" for a, b in pairs for k in ("mean_dist", "std_dist")] + ["all_elements_mean_nn_dist", "all_elements_std_nn_dist", "visibility"]
+    wide = _CLIPPED
+    for n in ("met", "cut", "knots", "good", "run", "piece", "area"):
+        wide = wide.replace(f"{n} AS (", f"wide_{n} AS (").replace(f"FROM {n} ", f"FROM wide_{n} ").replace(f"FROM {n})", f"FROM wide_{n})").replace(f"JOIN {n} ", f"JOIN wide_{n} ")
+    wide = wide.replace("FROM part ", "FROM wide_part ")
+    return f"""WITH bound AS (SELECT 300e0 AS x, 450e0 AS y, 300e0 AS h UNION ALL SELECT 450, 450, 150 UNION ALL SELECT 300, 450, 300), {grid.replace('min(y - h) AS y0, max(y + h) AS y1', '0e0 AS y0, 900e0 AS y1')}, box AS ({_PARK}),
+    part AS (SELECT block_id, bx0 AS cx0, by0 AS cy0, bx0 + 30e0 AS cx1, by0 + 30e0 AS cy1 FROM block WHERE EXISTS (SELECT 1 FROM box WHERE bx0 < px1 AND bx0 + 30e0 > px0 AND by0 < py1 AND by0 + 30e0 > py0)), {_CLIPPED},
+    wide_part AS (SELECT block_id, greatest(bx0 - 30e0, px0) AS cx0, greatest(by0 - 30e0, py0) AS cy0, least(bx0 + 60e0, px1) AS cx1, least(by0 + 60e0, py1) AS cy1 FROM block, box), {wide},
+    whole AS (SELECT block_id, sum((cx1 - cx0) * (cy1 - cy0)) AS a FROM wide_part WHERE cx1 > cx0 AND cy1 > cy0 GROUP BY 1), held AS (SELECT block_id, elem_ord FROM area WHERE area > 1e-9),
+    seen AS (SELECT block_id, sum(wide_area.area * transparent) AS s FROM held JOIN wide_area USING (block_id, elem_ord) JOIN elements USING (elem_ord) GROUP BY 1),
+    vis AS (SELECT CAST(block_id AS VARCHAR) AS garden_id, least(1, s / a) AS visibility FROM seen JOIN whole USING (block_id)),
+    c AS (SELECT CAST(block_id AS VARCHAR) AS garden_id, elem_ord, type, {_MEAN_X} AS x, {_MEAN_Y} AS y, {_AREA} AS area FROM held JOIN elements USING (elem_ord)), p0 AS{structure}
+    SELECT block_id, CAST(k AS INTEGER) AS k, round(coalesce([{', '.join(f'CAST(coalesce({n}, 0) AS DOUBLE)' for n in names)}][k + 1], 0), 6) + 0e0 AS value
+    FROM (SELECT CAST(block_id AS VARCHAR) AS garden_id, block_id FROM block) LEFT JOIN p0 USING (garden_id) LEFT JOIN p1 USING (garden_id) LEFT JOIN p2 USING (garden_id) LEFT JOIN p3 USING (garden_id) LEFT JOIN x USING (garden_id) LEFT JOIN y USING (garden_id) LEFT JOIN z USING (garden_id) LEFT JOIN vis USING (garden_id), range(39) t(k)"""
+
+
+def _distances(rounds: int) -> str:
+    """So many rounds of relaxation, one after the other."""
+    steps = ", ".join(f"r{k} AS (SELECT id, min(d) AS d FROM (SELECT id, d FROM r{k - 1} UNION ALL SELECT b, d + w FROM r{k - 1} JOIN arc ON a = id) GROUP BY 1)" for k in range(1, rounds + 1))
+    return f"WITH arc AS (SELECT src AS a, dst AS b, length AS w FROM links UNION ALL SELECT dst, src, length FROM links), r0 AS (SELECT min(src) AS id, 0e0 AS d FROM links), {steps} SELECT id AS node_id, {_r('d', 'dist')} FROM r{rounds}"
+
+
+def _walks(links: str, steps: int, seed: int, fresh: bool) -> str:
+    pick = f"CAST(('0x' || substr(md5('{seed}/' || walker || '/' || pos), 1, 8)) AS BIGINT)"
+    options = "CASE WHEN len(list_filter(near, lambda n: NOT list_contains(path, n))) > 0 THEN list_filter(near, lambda n: NOT list_contains(path, n)) ELSE near END" if fresh else "near"
+    return f"""WITH RECURSIVE pair AS ({links}), arc AS (SELECT u AS a, v AS b FROM pair UNION SELECT v, u FROM pair), near AS (SELECT a, list(b ORDER BY b) AS near FROM arc GROUP BY 1),
+    walk AS (SELECT a AS walker, 0 AS pos, [a] AS path FROM near UNION ALL SELECT walker, pos + 1, list_append(path, options[{pick} % len(options) + 1]) FROM (SELECT walker, pos, path, {options} AS options FROM walk JOIN near ON a = path[-1] WHERE pos < {steps}))
+    SELECT walker, pos, path[-1] AS node_id FROM walk"""
+
+
 ORACLES = {
     "sector_features": with_sql(f"{_FEATURES} SELECT node_id, type, sector, {_r('value', 'value')} FROM feature", *_VIEW),
     "edge_scores": with_sql(f"""{_FEATURES}, seeing AS (SELECT DISTINCT node_id FROM feature), pair AS (SELECT a.node_id AS src, b.node_id AS dst FROM seeing a JOIN seeing b ON b.node_id = a.node_id + 10),
         both_ AS (SELECT src, dst, type, sector, value AS va, 0e0 AS vb FROM pair JOIN feature ON node_id = src UNION ALL SELECT src, dst, type, sector, 0e0, value FROM pair JOIN feature ON node_id = dst),
         cell AS (SELECT src, dst, type, sector, sum(va) AS va, sum(vb) AS vb FROM both_ GROUP BY ALL), s AS (SELECT src, dst, 0.5e0 * sum(abs(va - vb)) + 0.5e0 * abs(sum(va) - sum(vb)) AS d FROM cell GROUP BY 1, 2)
         SELECT src, dst, {_r('CASE WHEN d = 0 THEN 1e-5 ELSE d END', 'score')} FROM s""", *_VIEW),
-    "opacity_features": with_sql(f"WITH {_hits(40, 50, 0.5)} SELECT node_id, type, CAST(floor(ray / 5) AS INTEGER) AS sector, {_r('sum(exp(-d / 50e0) * weight * through)', 'value')} FROM seen WHERE through >= 1e-5 GROUP BY ALL", *_VIEW),
+    "opacity_features": with_sql(f"""WITH hedge AS (SELECT * FROM edges WHERE elem_ord % 2 = 1 AND i < 2), rays AS (SELECT i AS ray, cos(2 * pi() * i / 40) AS dx, sin(2 * pi() * i / 40) AS dy FROM range(40) t(i)),
+        rel AS (SELECT node_id, elem_ord, type, weight, transparent, x1 - vx AS ax, y1 - vy AS ay, x2 - vx AS bx, y2 - vy AS bq FROM viewpoints JOIN elements ON abs(vx - x) <= 50 + h AND abs(vy - y) <= 50 + h JOIN hedge USING (elem_ord)),
+        hit AS (SELECT DISTINCT node_id, ray, elem_ord, type, weight, transparent, (ax * (bq - ay) - ay * (bx - ax)) / (dx * (bq - ay) - dy * (bx - ax)) AS d FROM rel, rays WHERE (dx * ay - dy * ax >= 0) <> (dx * bq - dy * bx >= 0)),
+        seen AS (SELECT *, coalesce(product(transparent) OVER w, 1) AS through, coalesce(max(CASE WHEN transparent < 1e-5 THEN 1 ELSE 0 END) OVER w, 0) AS blocked FROM hit WHERE d > 0.5e0 AND d <= 50 WINDOW w AS (PARTITION BY node_id, ray ORDER BY d, elem_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT node_id, type, CAST(floor(ray / 5) AS INTEGER) AS sector, {_r('sum(exp(-d / 50e0) * weight * through)', 'value')} FROM seen WHERE blocked = 0 GROUP BY ALL""", *_VIEW),
+    "circle_features": with_sql(f"""WITH elements AS ({_ROUND}), edges AS (SELECT elem_ord, x + h * cos(pi() * i / -64) AS x1, y + h * sin(pi() * i / -64) AS y1, x + h * cos(pi() * ((i + 1) % 128) / -64) AS x2, y + h * sin(pi() * ((i + 1) % 128) / -64) AS y2 FROM elements, range(128) t(i)), {_hits(64, 30)}
+        SELECT node_id, type, CAST(floor(ray / 4) AS INTEGER) AS sector, {_r(f"sum({_exp('d', 50.0)} * weight * through)", 'value')} FROM seen WHERE through >= 1e-5 GROUP BY ALL""", "viewpoints", "circles"),
+    "points_in_circles": with_sql("SELECT node_id, id AS elem_ord FROM viewpoints JOIN circles ON abs(vx - x) <= radius AND (vx - x) * (vx - x) + (vy - y) * (vy - y) <= radius * radius", "viewpoints", "circles"),
+    "flat_features": with_sql(f"SELECT node_id, CAST(k AS INTEGER) AS k, {_r('list_concat(v[1:16], v[33:48], v[17:32], v[49:64])[k + 1]', 'value')} FROM feat, range(64) t(k)", "feat"),
+    "route_fitness": with_sql(_fitness(), "paths", "hops", "links", "nodes", "feat"),
+    "block_visibility_clipped": with_sql(f"""WITH {_GRID}, box AS ({_PARK}), part AS (SELECT block_id, greatest(bx0, px0) AS cx0, greatest(by0, py0) AS cy0, least(bx0 + 15e0, px1) AS cx1, least(by0 + 15e0, py1) AS cy1 FROM block, box),
+        {_CLIPPED}, whole AS (SELECT block_id, sum((cx1 - cx0) * (cy1 - cy0)) AS a FROM part WHERE cx1 > cx0 AND cy1 > cy0 GROUP BY 1), total AS (SELECT block_id, sum(area * transparent) AS s FROM area JOIN elements USING (elem_ord) GROUP BY 1)
+        SELECT block_id, {_r("greatest(0, least(1, coalesce(s / a, 0)))", "visibility")} FROM block LEFT JOIN whole USING (block_id) LEFT JOIN total USING (block_id)""", "elements"),
+    "openness_features": with_sql(_openness(), "elements"),
+    "openness_ranks": with_sql("""WITH c AS (SELECT CAST(node_id // 4 AS VARCHAR) AS garden_id, CAST(node_id % 4 AS INTEGER) AS cluster, list_sum(v) AS visibility FROM feat)
+        SELECT garden_id, cluster, CASE WHEN row_number() OVER (PARTITION BY garden_id ORDER BY visibility, cluster) <= 2 THEN 'enclosed' ELSE 'open' END AS label FROM c""", "feat"),
+    "convex_hulls": with_sql(f"""WITH {_CENTRE}, p AS (SELECT DISTINCT garden_id, x, y FROM c), side AS (SELECT a.garden_id, a.x, a.y, b.x AS to_x, b.y AS to_y FROM p a JOIN p b ON a.garden_id = b.garden_id AND (a.x <> b.x OR a.y <> b.y))
+        SELECT * FROM side s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.garden_id = s.garden_id AND ((s.to_x - s.x) * (p.y - s.y) - (s.to_y - s.y) * (p.x - s.x) < 0
+            OR (s.to_x - s.x) * (p.y - s.y) - (s.to_y - s.y) * (p.x - s.x) = 0 AND ((p.x - s.x) * (s.to_x - s.x) + (p.y - s.y) * (s.to_y - s.y) < 0 OR (p.x - s.to_x) * (s.x - s.to_x) + (p.y - s.to_y) * (s.y - s.to_y) < 0)))""", "elements"),
+    "wall_polygons": with_sql(f"SELECT row_number() OVER (ORDER BY elem_ord % 2, elem_ord) - 1 AS id, CASE WHEN elem_ord % 2 = 1 THEN 0.6e0 ELSE 0e0 END AS transparent, {_r('1.6e0 * h', 'area')} FROM elements WHERE type = 'building'", "elements"),
+    "shortest_paths": with_sql(_distances(24), "links"),
+    "bridge_edges": with_sql("""WITH RECURSIVE arc AS (SELECT u AS a, v AS b FROM sparse UNION ALL SELECT v, u FROM sparse),
+        reach AS (SELECT u, v, u AS n FROM sparse UNION SELECT reach.u, reach.v, arc.b FROM reach JOIN arc ON arc.a = n WHERE NOT (least(arc.a, arc.b) = reach.u AND greatest(arc.a, arc.b) = reach.v) AND abs(arc.b - reach.u) <= 8)
+        SELECT u, v, count(*) FILTER (n = v) = 0 AS bridge FROM reach GROUP BY 1, 2""", "sparse"),
+    "random_walks": with_sql(_walks("SELECT src AS u, dst AS v FROM links", 10, 3, False), "links"),
+    "fresh_walks": with_sql(_walks("SELECT u, v FROM sparse", 8, 5, True), "sparse"),
+    "drawing_entities": with_sql(f"""WITH e AS (SELECT *, {_LAYERS}[elem_ord % {len(S.LAYER_CATEGORY) + 2} + 1] AS layer FROM plan), c AS (SELECT *, {_layer_case('category')} FROM e)
+        SELECT file, row_number() OVER (ORDER BY file, kind <> 'CIRCLE', elem_ord) - 1 AS entity_ord, kind, layer, category, category IN ('water', 'hollow wall') AS visibility, color_index, true_color, closed, n_points,
+            {_r("CASE n_points WHEN 2 THEN x + h WHEN 3 THEN x + h WHEN 4 THEN x + 3 * h END", 'last_x')}, {_r("CASE n_points WHEN 2 THEN y WHEN 3 THEN y + h WHEN 4 THEN y + h END", 'last_y')},
+            {_r("CASE WHEN n_points = 0 THEN x END", 'cx')}, {_r("CASE WHEN n_points = 0 THEN y END", 'cy')}, {_r("CASE WHEN n_points = 0 THEN h END", 'radius')} FROM c""", "plan"),
+    "drawing_segments": with_sql(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY file, kind <> 'CIRCLE', elem_ord) - 1 AS entity_ord FROM plan), px AS (SELECT entity_ord, x, y, h, n_points, CAST(pos AS INTEGER) AS pos, CASE WHEN n_points = 4 THEN [0, 1, 2, 3] ELSE [0, 1, 1] END AS dx, CASE WHEN n_points = 4 THEN [0, 1, 0, 1] ELSE [0, 0, 1] END AS dy FROM o, range(3) t(pos) WHERE pos < n_points - 1)
+        SELECT entity_ord, pos, {_r('x + h * dx[pos + 1]', 'x0')}, {_r('y + h * dy[pos + 1]', 'y0')}, {_r('x + h * dx[pos + 2]', 'x1')}, {_r('y + h * dy[pos + 2]', 'y1')} FROM px""", "plan"),
+    "drawing_profile": with_sql(f"SELECT file, kind, count(*) AS n, count(DISTINCT {_LAYERS}[elem_ord % {len(S.LAYER_CATEGORY) + 2} + 1]) AS n_layers, count(DISTINCT coalesce(nullif(true_color, 0), color_index)) AS n_colors, count(*) FILTER (closed) AS n_closed FROM plan GROUP BY 1, 2", "plan"),
+    "path_graph": with_sql(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY file, kind <> 'CIRCLE', elem_ord) - 1 AS entity_ord FROM plan),
+        pt AS (SELECT entity_ord, pos, x + h * CASE WHEN n_points < 4 THEN [0, 1, 1, 0][pos + 1] ELSE 3 * t END AS px, y + h * CASE WHEN n_points < 4 THEN [0, 0, 1, 0][pos + 1] ELSE 3 * (1 - t) * (1 - t) * t + t * t * t END AS py
+               FROM (SELECT *, pos / 50e0 AS t FROM o, range(52) r(pos) WHERE pos < CASE WHEN n_points = 4 THEN 51 ELSE n_points END + CASE WHEN closed THEN 1 ELSE 0 END)),
+        wrap AS (SELECT entity_ord, pos, CASE WHEN closed AND pos = 51 THEN x ELSE px END AS px, CASE WHEN closed AND pos = 51 THEN y ELSE py END AS py FROM pt JOIN (SELECT entity_ord, closed AND n_points = 4 AS closed, x, y FROM o) USING (entity_ord)),
+        snap AS (SELECT entity_ord, CAST(pos AS INTEGER) AS pos, round_even(px / 0.0137e0, 0) * 0.0137e0 AS sx, round_even(py / 0.0137e0, 0) * 0.0137e0 AS sy FROM wrap),
+        first AS (SELECT sx, sy, min(entity_ord * 100 + pos) AS f FROM snap GROUP BY 1, 2), node AS (SELECT sx, sy, row_number() OVER (ORDER BY f) - 1 AS id FROM first), n AS (SELECT * FROM snap JOIN node USING (sx, sy))
+        SELECT a.entity_ord, a.pos, a.id AS src, b.id AS dst, {_r('a.sx', 'x')}, {_r('a.sy', 'y')} FROM n a JOIN n b ON a.entity_ord = b.entity_ord AND b.pos = a.pos + 1""", "plan"),
+    "workbook_graph": with_sql(f"""SELECT node_id AS a, CAST(NULL AS BIGINT) AS b, {_r('x + 10.5e0', 'p')}, {_r('y - 3.25e0', 'q')}, CAST(NULL AS DOUBLE) AS length FROM nodes
+        UNION ALL SELECT u, v, {_r("CASE WHEN v % 2 = 0 THEN u / 2e0 + 10.5e0 END", 'p')}, {_r("CASE WHEN v % 2 = 0 THEN v - 3.25e0 END", 'q')}, {_r('u / 4e0 + 1', 'length')} FROM sparse""", "nodes", "sparse"),
+    "saved_route": with_sql("SELECT DISTINCT least(node_id, n) AS u, greatest(node_id, n) AS v FROM (SELECT node_id, lead(node_id) OVER (PARTITION BY node_id % 8 ORDER BY x, y, node_id) AS n FROM nodes) WHERE n IS NOT NULL", "nodes"),
+    "saved_route_table": with_sql("SELECT node_id + 1 AS pos, node_id, x, y FROM nodes", "nodes"),
+    "water_elements": with_sql(f"""WITH {_INSIDE}, pool AS (SELECT * FROM grown WHERE type <> 'rock'), held AS (SELECT inner_ord, min(outer_ord) AS outer_ord FROM inside WHERE inner_ord IN (SELECT elem_ord FROM pool) AND outer_ord IN (SELECT elem_ord FROM pool) GROUP BY 1),
+        holes AS (SELECT outer_ord, count(*) AS n FROM held GROUP BY 1)
+        SELECT row_number() OVER (ORDER BY elem_ord) - 1 AS id, CAST(coalesce(n, 0) AS INTEGER) AS n_holes, 1e0 AS transparent, 1.5e0 AS weight, {_r('x - h', 'x')}, {_r('CASE WHEN square THEN y - h ELSE y END', 'y')}, {_r('CASE WHEN square THEN 4 ELSE 2 END * h * h', 'area')}
+        FROM pool LEFT JOIN holes ON outer_ord = elem_ord WHERE elem_ord NOT IN (SELECT inner_ord FROM held)""", "grown"),
+    "plant_elements": with_sql("SELECT row_number() OVER (ORDER BY id) - 1 AS id, 'plant' AS type, 'Circle' AS gtype, x AS cx, y AS cy, radius, 0.4e0 AS transparent, 0.65e0 AS weight FROM circles WHERE id % 3 <> 0", "circles"),
     "sampled_features": with_sql(f"""WITH rays AS (SELECT i AS ray, cos(2 * pi() * i / 40) AS dx, sin(2 * pi() * i / 40) AS dy FROM range(40) t(i)), steps AS (SELECT i AS step, i * 2e0 AS d FROM range(1, 26) t(i)),
         near AS (SELECT node_id, vx, vy, elem_ord, type, transparent, weight, x, y, h, square FROM viewpoints, elements WHERE abs(vx - x) <= 50 + h AND abs(vy - y) <= 50 + h),
         held AS (SELECT node_id, ray, step, d, elem_ord, type, transparent, weight FROM near, rays, steps WHERE CASE WHEN square THEN greatest(abs(vx + d * dx - x), abs(vy + d * dy - y)) < h ELSE abs(vx + d * dx - x) + abs(vy + d * dy - y) < h END),
@@ -163,7 +275,7 @@ ORACLES = {
         SELECT garden_id, {_r('rich', 'feature_richness')}, {_r('h', 'openness_entropy')}, {_r('100 * (0.5e0 * rich + 0.5e0 * h / ln(2e0))', 'score')} FROM r JOIN h USING (garden_id)""", "feat"),
     "route_edges": with_sql("SELECT path_id, pos, a AS src, b AS dst FROM hops", "hops"),
     "route_edge_set": with_sql("SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM hops WHERE a <> b", "hops"),
-    "route_fun_score": with_sql(f"{_FUN} SELECT path_id, {_r('edge_mean', 'edge_mean')}, {_r('edge_std', 'edge_std')}, {_r('node_div', 'node_div')}, {_r('(tanh((0.7e0 * edge_mean + 0.15e0 * edge_std + 0.15e0 * node_div) / 80) + 1) / 2', 'fun_score')} FROM es JOIN nd USING (path_id)", "paths", "hops", "links", "feat"),
+    "route_fun_score": with_sql(f"{_FUN}, whole AS (SELECT path_id, coalesce(edge_mean, 'NaN'::DOUBLE) AS edge_mean, coalesce(edge_std, 'NaN'::DOUBLE) AS edge_std, node_div FROM nd LEFT JOIN es USING (path_id)) SELECT path_id, {_r('edge_mean', 'edge_mean')}, {_r('edge_std', 'edge_std')}, {_r('node_div', 'node_div')}, {_r('(tanh((0.7e0 * edge_mean + 0.15e0 * edge_std + 0.15e0 * node_div) / 80) + 1) / 2', 'fun_score')} FROM whole", "paths", "hops", "links", "feat"),
     "route_edge_repeats": with_sql(f"WITH {_FOLDED}, k AS (SELECT path_id, count(*) AS c FROM fh GROUP BY path_id, least(a, b), greatest(a, b)) SELECT path_id, {_r('sum(0.02e0 * c * (c - 1) / 2) / sum(c)', 'penalty')} FROM k GROUP BY 1", "paths"),
     "route_node_repeats": with_sql(f"WITH {_FOLDED}, k AS (SELECT path_id, count(*) AS c FROM f GROUP BY path_id, node_id) SELECT path_id, {_r('sum(0.02e0 * c * (c - 1) / 2) / sum(c)', 'penalty')} FROM k GROUP BY 1", "paths"),
     "route_loop_penalty": with_sql(f"""WITH p AS (SELECT path_id, pos, x / 20 AS x, y / 20 AS y FROM paths JOIN nodes USING (node_id)),
@@ -208,6 +320,6 @@ ORACLES = {
     "entity_profile": with_sql("SELECT file, kind, count(*) AS n, count(DISTINCT layer) AS n_layers, count(DISTINCT coalesce(nullif(true_color, 0), color_index)) AS n_colors, count(*) FILTER (closed) AS n_closed FROM entities GROUP BY 1, 2", "entities"),
     "layer_classify": f"""WITH e AS (SELECT event_id, {_LAYERS}[event_id % {len(S.LAYER_CATEGORY) + 2} + 1] AS layer FROM events), c AS (SELECT event_id, layer, {_layer_case('category')} FROM e)
         SELECT *, category IN ('water', 'hollow wall') AS visibility FROM c""",
-    "boundary_first": with_sql("SELECT file, min(k) AS entity_no FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY kind, layer, color_index, true_color NULLS FIRST) AS k FROM entities) WHERE closed GROUP BY 1", "entities"),
+    "boundary_first": with_sql(f"""SELECT file, n_points AS n, {_r('x', 'first_x')}, {_r('y', 'first_y')}, {_r('x + h', 'last_x')}, {_r('y + h', 'last_y')} FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY elem_ord) AS k FROM plan WHERE closed AND kind IN ('LWPOLYLINE', 'POLYLINE')) WHERE k = 1""", "plan"),
     "garden_names": "SELECT p_partkey, p_type AS name FROM part",
 }

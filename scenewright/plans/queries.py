@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenewright import schema as S
 from scenewright.functions import expressions as E
+from scenewright.functions import store
 from scenewright.operators import cluster, elements, graph, openness, polygons, routes, scores, visibility
 from scenewright.plans.scene import Scene
-from scenewright.sources import drawings
+from scenewright.sources import drawings, workbooks
 
 QUERIES = {}
 
@@ -49,9 +49,40 @@ def sampled_features(s):
     return visibility.sampled_features(s.viewpoints(), s.elements()).select("node_id", "type", "sector", r6("value").alias("value"))
 
 
+def _hedges(s: Scene) -> DataFrame:
+    """Elements of which every second is a polyline of its first three corners."""
+    line = F.array(F.slice(F.element_at("rings", 1), 1, 3))
+    odd = F.col("elem_ord") % 2 == 1
+    return s.elements().withColumn("rings", F.when(odd, line).otherwise(F.col("rings"))).withColumn("gtype", F.when(odd, "Polyline").otherwise(F.col("gtype")))
+
+
 @query
 def opacity_features(s):
-    return visibility.opacity_features(s.viewpoints(), s.elements()).select("node_id", "type", "sector", r6("value").alias("value"))
+    return visibility.opacity_features(s.viewpoints(), _hedges(s)).select("node_id", "type", "sector", r6("value").alias("value"))
+
+
+def _round_elements(s: Scene) -> DataFrame:
+    """The circles as plants."""
+    c = s.circles().select(F.lit("g").alias("garden_id"), F.col("id").alias("elem_ord"), "id", F.lit("plant").alias("type"), F.lit("Circle").alias("gtype"), F.lit(None).cast(S.RINGS).alias("rings"), F.col("x").alias("cx"), F.col("y").alias("cy"), "radius")
+    return c.withColumns({"transparent": F.lit(0.4), "weight": F.lit(0.65)})
+
+
+@query
+def circle_features(s):
+    """What viewpoints see of circles, each a polygon of 128 vertices."""
+    return visibility.sector_features(s.viewpoints(), _round_elements(s)).select("node_id", "type", "sector", r6("value").alias("value"))
+
+
+@query
+def points_in_circles(s):
+    return visibility.points_in_elements(s.viewpoints(), _round_elements(s)).select("node_id", "elem_ord")
+
+
+@query
+def flat_features(s):
+    """The vectors as long features and flat again, the types in alphabetical order."""
+    long = s.feat().select("node_id", F.posexplode("v").alias("k", "value")).select("node_id", F.element_at(F.array(*map(F.lit, S.SECTOR_TYPES)), F.floor(F.col("k") / 16).cast("int") + 1).alias("type"), (F.col("k") % 16).alias("sector"), "value")
+    return visibility.flattened(long).select("node_id", F.posexplode("v").alias("k", "value")).select("node_id", "k", r6("value").alias("value"))
 
 
 @query
@@ -161,7 +192,17 @@ def route_edge_set(s):
 
 @query
 def route_fun_score(s):
-    return scores.route_fun(s.paths(), _link_scores(s), s.links(), _part_vectors(s)).filter("NOT isnan(edge_mean)").select("path_id", *[r6(c).alias(c) for c in ("edge_mean", "edge_std", "node_div", "fun_score")])
+    return scores.route_fun(s.paths(), _link_scores(s), s.links(), _part_vectors(s)).select("path_id", *[r6(c).alias(c) for c in ("edge_mean", "edge_std", "node_div", "fun_score")])
+
+
+@query
+def route_fitness(s):
+    """The fitness of every route, all its parts."""
+    clusters = s.nodes().select("node_id", (F.col("node_id") % 25).alias("cluster_id"))
+    of = s.spark.range(25).select(F.col("id").alias("cluster_id"), (F.col("id") * 13 % 17 / 10).alias("score"))
+    near = s.nodes().select("node_id", (F.col("x") / 20).alias("x"), (F.col("y") / 20).alias("y"))
+    out = scores.fitness(s.paths(), near, _link_scores(s), s.links(), _part_vectors(s), clusters, of, alpha=4, beta=0.05, gamma=6.5, delta=0.03)
+    return out.select("path_id", r6("fitness").alias("fitness"))
 
 
 def _folded(s: Scene) -> DataFrame:
@@ -311,6 +352,37 @@ def block_visibility(s):
     return polygons.visible_part(blocks, s.elements()).select("block_id", r6("visibility").alias("visibility"))
 
 
+#: A boundary with a corner that points inwards: its vertices, and the two boxes that make it up.
+PARK = [(0, 0), (600, 0), (600, 400), (300, 400), (300, 900), (0, 900), (0, 0)]
+PARK_BOXES = [(0, 0, 300, 900), (300, 0, 600, 400)]
+
+
+def _park_boundary(s: Scene) -> DataFrame:
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in PARK])
+    return s.spark.range(1).select(F.lit("g").alias("garden_id"), F.lit(-1).cast("bigint").alias("elem_ord"), F.lit("Polygon").alias("gtype"), F.array(ring).alias("rings"), *[F.lit(None).cast("double").alias(c) for c in ("cx", "cy", "radius")])
+
+
+@query
+def block_visibility_clipped(s):
+    """Like block_visibility, inside a boundary that isn't convex."""
+    blocks = openness.block_grid(polygons.bounds(s.elements()), 15.0)
+    return polygons.visible_part(blocks, s.elements(), _park_boundary(s)).select("block_id", r6("visibility").alias("visibility"))
+
+
+@query
+def openness_features(s):
+    """The 39 features of each block of the park, before clustering."""
+    made = openness.features(s.elements().drop("x", "y", "h"), _park_boundary(s), max_distance=100.0)
+    return made.select("block_id", F.posexplode("features").alias("k", "value")).select("block_id", "k", r6("value").alias("value"))
+
+
+@query
+def openness_ranks(s):
+    """Labels of clusters by their visibility: four clusters a garden from the vectors."""
+    c = s.feat().select(F.floor(F.col("node_id") / 4).cast("string").alias("garden_id"), (F.col("node_id") % 4).cast("int").alias("cluster"), E.array_sum("v").alias("visibility"))
+    return openness.rank_labels(c, 4).select("garden_id", "cluster", "label")
+
+
 @query
 def adaptive_k(s):
     return s.table("part").select("p_partkey", E.adaptive_k(F.when(F.col("p_partkey") % 10 != 0, F.col("p_size") / 8)).alias("k"))
@@ -331,11 +403,10 @@ def circumradius(s):
 
 @query
 def convex_hulls(s):
-    def of_type(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = polygons.hull(sorted(zip(pdf.x.tolist(), pdf.y.tolist(), strict=True)))
-        return pd.DataFrame({"garden_id": pdf.garden_id.iloc[0], "pos": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
-
-    return _gardens(s).select("garden_id", "x", "y").groupBy("garden_id").applyInPandas(of_type, "garden_id string, pos int, x double, y double")
+    """The sides of each garden's hull, counter-clockwise."""
+    ring = polygons.convex_hulls(_gardens(s), "garden_id").groupBy("garden_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("r"))
+    side = F.zip_with("r", F.concat(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1)), lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["x"].alias("to_x"), q["y"].alias("to_y")))
+    return ring.select("garden_id", F.inline(side))
 
 
 @query
@@ -394,6 +465,27 @@ def critical_edges(s):
     return e.crossJoin(F.broadcast(limit)).filter("score >= q").select("src", "dst", r6("score").alias("score"))
 
 
+@query
+def bridge_edges(s):
+    return graph.bridges(s.sparse_links())
+
+
+@query
+def random_walks(s):
+    """Ten steps from every node of the graph."""
+    links = graph.undirected(s.links())
+    start = links.select(F.explode(F.array("u", "v")).alias("node_id")).distinct().select(F.col("node_id").alias("walker"), "node_id")
+    return graph.random_walks(links, start, 10, seed=3)
+
+
+@query
+def fresh_walks(s):
+    """Eight steps from every node of the sparse graph, to nodes that the walk hasn't met where there are any."""
+    links = s.sparse_links()
+    start = links.select(F.explode(F.array("u", "v")).alias("node_id")).distinct().select(F.col("node_id").alias("walker"), "node_id")
+    return graph.random_walks(links, start, 8, seed=5, fresh=True)
+
+
 @query
 def snap_points(s):
     placed = s.elements().select(F.col("elem_ord").alias("point_ord"), (F.col("x") + 0.3).alias("x"), F.col("y"))
@@ -434,6 +526,93 @@ def entity_profile(s):
     return drawings.profile(s.entities())
 
 
+def _point(p: Column, name: str) -> list[Column]:
+    return [r6(p["x"]).alias(f"{name}_x"), r6(p["y"]).alias(f"{name}_y")]
+
+
+@query
+def drawing_entities(s):
+    """The plan written as drawings, read, ordered and classified."""
+    e = elements.classify(drawings.entities(drawings.read(s.spark, f"{s.drawn()}/*/*")))
+    return e.select(
+        F.regexp_replace("garden_id", "^file=", "").alias("file"), "entity_ord", "kind", "layer", "category", "visibility", "color_index", "true_color", "closed",
+        F.coalesce(F.size("points"), F.lit(0)).cast("int").alias("n_points"), *_point(F.when(F.size("points") > 0, F.element_at("points", -1)), "last"), r6("cx").alias("cx"), r6("cy").alias("cy"), r6("radius").alias("radius"))
+
+
+@query
+def drawing_segments(s):
+    e = drawings.entities(drawings.read(s.spark, f"{s.drawn()}/*/*"))
+    return drawings.segments(e).select("entity_ord", "pos", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query
+def drawing_profile(s):
+    """Profiles of the drawings, among them one that isn't there."""
+    at = s.drawn()
+    parsed = drawings.read(s.spark, [f"{at}/*/*", f"{at}/lost/plan.dxf"]).filter("problem IS NULL")
+    return drawings.profile(parsed.withColumn("file", F.regexp_replace(E.garden_name("file"), "^file=", "")))
+
+
+@query
+def path_graph(s):
+    """The graph of the plan's lines and curves, all of them on the path layer."""
+    at = store.place(s.spark, "drawings")
+    drawings.write(s.plan().withColumn("layer", F.when(F.col("entity_no") % 2 == 0, "path").otherwise("Path")), at)
+    nodes, edges = graph.graph_of_layer(drawings.entities(drawings.read(s.spark, f"{at}/*/*", samples=drawings.SAMPLES)), tolerance=0.0137)
+    return edges.join(nodes.withColumnRenamed("node_id", "src"), "src").select("entity_ord", "pos", "src", "dst", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query
+def workbook_graph(s):
+    """Nodes and edges written as a workbook and read again, moved by an offset."""
+    node = s.nodes().select(F.col("node_id").alias("row_ord"), F.col("node_id").cast("string").alias("c0"), F.concat_ws(",", "x", "y").alias("c1"))
+    way = F.when(F.col("v") % 2 == 0, F.concat_ws(";", F.concat_ws(",", F.col("u") / 2, F.col("v")), F.concat_ws(",", F.col("v"), F.col("u"))))
+    edge = s.sparse_links().select((F.col("u") * 4 + F.col("v") % 4).alias("row_ord"), F.concat_ws(",", "u", "v").alias("c2"), (F.col("u") / 4 + 1).cast("string").alias("c3"), way.alias("c4"))
+    cells = node.join(edge, "row_ord", "full").select(F.lit("graph").alias("file"), "row_ord", "c0", "c1", "c2", "c3", "c4")
+    at = store.place(s.spark, "workbooks")
+    workbooks.save_cells(cells, at)
+    nodes, edges = workbooks.graph(workbooks.read_cells(s.spark, f"{at}/*.xlsx"), "g", (10.5, -3.25))
+    first = F.when(F.col("waypoints").isNotNull(), F.col("waypoints")[0])
+    none = F.lit(None).cast("bigint")
+    return nodes.select(F.col("node_id").alias("a"), none.alias("b"), r6("x").alias("p"), r6("y").alias("q"), F.lit(None).cast("double").alias("length")).unionByName(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), r6(first["x"]).alias("p"), r6(first["y"]).alias("q"), r6("length").alias("length")))
+
+
+@query
+def saved_route(s):
+    """Routes of each garden through all its nodes, saved as workbooks, read, and their edges."""
+    route = s.nodes().select(F.concat(F.lit("g"), F.col("node_id") % 8).alias("file"), "node_id", "x", "y").withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("x", "y", "node_id")))
+    at = store.place(s.spark, "routes")
+    workbooks.save_cells(workbooks.route_cells(route), at)
+    return workbooks.route_links(workbooks.route_of_cells(workbooks.read_cells(s.spark, f"{at}/*.xlsx", 3)))
+
+
+@query
+def saved_route_table(s):
+    """A route through all nodes, saved as a table and read."""
+    at = store.place(s.spark, "route")
+    workbooks.save_route(s.nodes().select((F.col("node_id") + 1).alias("pos"), "node_id", "x", "y"), at)
+    return s.spark.read.parquet(at).select("pos", "node_id", "x", "y")
+
+
+def _shore(s: Scene) -> DataFrame:
+    e = s.elements(True).filter("type <> 'rock'")
+    return e.select("garden_id", F.col("elem_ord").alias("entity_ord"), F.lit("water").alias("category"), F.element_at("rings", 1).alias("points"))
+
+
+@query
+def water_elements(s):
+    """Shore lines of the whole scene but its rocks as water: outer shapes with the number of their holes."""
+    made = elements.water(_shore(s))
+    first = F.element_at(F.element_at("rings", 1), 1)
+    return made.select("id", (F.size("rings") - 1).cast("int").alias("n_holes"), "transparent", "weight", r6(first["x"]).alias("x"), r6(first["y"]).alias("y"), r6(E.shoelace(F.element_at("rings", 1))).alias("area"))
+
+
+@query
+def plant_elements(s):
+    c = s.circles().select(F.lit("g").alias("garden_id"), F.col("id").alias("entity_ord"), F.when(F.col("id") % 3 == 0, "water").otherwise("vegetation").alias("category"), F.col("x").alias("cx"), F.col("y").alias("cy"), "radius")
+    return elements.plant(c).select("id", "type", "gtype", "cx", "cy", "radius", "transparent", "weight")
+
+
 @query
 def layer_classify(s):
     names = F.array(*map(F.lit, [*S.LAYER_CATEGORY, "ARCHI", "0"]))
@@ -443,8 +622,9 @@ def layer_classify(s):
 
 @query
 def boundary_first(s):
-    e = s.entities().withColumn("entity_no", F.row_number().over(Window.partitionBy("file").orderBy("kind", "layer", "color_index", "true_color")))
-    return e.filter("closed").groupBy("file").agg(F.min("entity_no").alias("entity_no"))
+    """The first closed polyline of each drawing."""
+    found = drawings.boundary(drawings.read(s.spark, f"{s.drawn()}/*/*"), required=True)
+    return found.select(F.regexp_replace(E.garden_name("file"), "^file=", "").alias("file"), F.size("points").alias("n"), *_point(F.col("points")[0], "first"), *_point(F.element_at("points", -1), "last"))
 
 
 @query

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scenewright import schema as S
+from scenewright.functions import store
+from scenewright.sources import drawings
 
 class Scene:
     """Named inputs of the queries, each read lazily from one folder of tables."""
@@ -40,7 +43,7 @@ class Scene:
 
     def viewpoints(self) -> DataFrame:
         c = F.col("c_custkey")
-        return self.table("customer").filter(c % 10 == 0).select(c.alias("node_id"), (c * 71 % 997 + 0.137).alias("x"), (c * 89 % 991 + 0.291).alias("y"))
+        return self.table("customer").select(c.alias("node_id"), (c * 71 % 997 + 0.137).alias("x"), (c * 89 % 991 + 0.291).alias("y"))
 
     def circles(self) -> DataFrame:
         """id, x, y, radius."""
@@ -65,14 +68,38 @@ class Scene:
 
     def links(self) -> DataFrame:
         """garden_id, src < dst, edge_ord, length: the footpath graph."""
-        e = self.hops().filter("path_id % 20 = 0 AND a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        e = self.hops().filter("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
         at = self.nodes()
         e = e.join(at.select(F.col("node_id").alias("src"), F.col("x").alias("xa"), F.col("y").alias("ya")), "src").join(at.select(F.col("node_id").alias("dst"), F.col("x").alias("xb"), F.col("y").alias("yb")), "dst")
         return e.select(F.lit("g").alias("garden_id"), "src", "dst", (F.col("src") * 100000 + F.col("dst")).alias("edge_ord"), F.sqrt((F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2).alias("length"))
 
-    def node_vectors(self) -> DataFrame:
-        """node_id, v for the parts: the vector of the embedding numbered as the part, where there is one."""
-        return self.feat()
+    def plan(self) -> DataFrame:
+        """Entities of eight drawings, of every kind and layer, as a drawing's rows."""
+        key, x, y, h = F.col("elem_ord"), F.col("x"), F.col("y"), F.col("h")
+        names = F.array(*map(F.lit, [*S.LAYER_CATEGORY, "ARCHI", "0"]))
+        at = lambda *d: F.array(*[F.struct((x + h * dx).alias("x"), (y + h * dy).alias("y")) for dx, dy in d])
+        kind = F.element_at(F.array(*map(F.lit, ("LINE", "LWPOLYLINE", "POLYLINE", "SPLINE", "CIRCLE"))), (key % 5 + 1).cast("int"))
+        points = F.when(key % 5 == 0, at((0, 0), (1, 0))).when(key % 5 == 3, at((0, 0), (1, 1), (2, 0), (3, 1))).when(key % 5 != 4, at((0, 0), (1, 0), (1, 1)))
+        circle = lambda v: F.when(key % 5 == 4, v)
+        rows = self.elements().withColumn("kind", kind)
+        closed = F.col("kind").isin("LWPOLYLINE", "POLYLINE", "SPLINE") & (F.floor(key / 5) % 2 == 0)
+        return rows.select(
+            F.concat(F.lit("plan"), key % 8).alias("file"), key.cast("int").alias("entity_no"), "kind", F.element_at(names, (key % F.size(names) + 1).cast("int")).alias("layer"),
+            (key % 7).cast("int").alias("color_index"), F.when(key % 3 == 0, key % 4).cast("int").alias("true_color"), closed.alias("closed"),
+            circle(x).alias("cx"), circle(y).alias("cy"), circle(h).alias("radius"), points.alias("points"))
+
+    def drawn(self) -> str:
+        """The address of the plan as drawings; written for each use."""
+        at = store.place(self.spark, "drawings")
+        drawings.write(self.plan(), at)
+        return at
+
+    def sparse_links(self) -> DataFrame:
+        """u < v: a chain of the vectors, with chords to the first of every four."""
+        n = F.col("vec_id")
+        chain = self.table("embeddings").filter("vec_id > 0").select((n - 1).alias("u"), n.alias("v"))
+        chords = self.table("embeddings").select((n - n % 4).alias("u"), n.alias("v")).filter("u <> v")
+        return chain.unionByName(chords).distinct()
 
     def entities(self) -> DataFrame:
         """file, kind, layer, color_index, true_color, closed from the events."""
@@ -97,7 +124,7 @@ SQL = {
         SELECT elem_ord, i, x + CASE WHEN square THEN sx ELSE dx END * h AS vx, y + CASE WHEN square THEN sy ELSE dy END * h AS vy FROM elements, corners""",
     "edges": """
         SELECT a.elem_ord, a.i, a.vx AS x1, a.vy AS y1, b.vx AS x2, b.vy AS y2 FROM vertices a JOIN vertices b ON a.elem_ord = b.elem_ord AND b.i = (a.i + 1) % 4""",
-    "viewpoints": "SELECT c_custkey AS node_id, c_custkey * 71 % 997 + 0.137e0 AS vx, c_custkey * 89 % 991 + 0.291e0 AS vy FROM customer WHERE c_custkey % 10 = 0",
+    "viewpoints": "SELECT c_custkey AS node_id, c_custkey * 71 % 997 + 0.137e0 AS vx, c_custkey * 89 % 991 + 0.291e0 AS vy FROM customer",
     "circles": """
         SELECT id, CAST(id * 7919 % 997 AS DOUBLE) AS x, CAST(id * 104729 % 991 AS DOUBLE) AS y, 1 + id % 7 * 0.5e0 AS radius
         FROM (SELECT s_suppkey * 2 AS id FROM supplier UNION ALL SELECT c_custkey * 2 + 1 FROM customer)""",
@@ -107,12 +134,17 @@ SQL = {
     "hops": "SELECT * FROM (SELECT path_id, pos, node_id AS a, lead(node_id) OVER (PARTITION BY path_id ORDER BY pos) AS b FROM paths) WHERE b IS NOT NULL",
     "links": """
         SELECT src, dst, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS length
-        FROM (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM hops WHERE path_id % 20 = 0 AND a <> b) JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst""",
+        FROM (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM hops WHERE a <> b) JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst""",
+    "plan": """
+        SELECT 'plan' || (elem_ord % 8) AS file, elem_ord, ['LINE', 'LWPOLYLINE', 'POLYLINE', 'SPLINE', 'CIRCLE'][elem_ord % 5 + 1] AS kind, elem_ord % 7 AS color_index, CASE WHEN elem_ord % 3 = 0 THEN elem_ord % 4 END AS true_color,
+               elem_ord % 5 IN (1, 2, 3) AND elem_ord // 5 % 2 = 0 AS closed, [2, 3, 3, 4, 0][elem_ord % 5 + 1] AS n_points, x, y, h FROM elements""",
+    "sparse": """
+        SELECT vec_id - 1 AS u, vec_id AS v FROM embeddings WHERE vec_id > 0 UNION SELECT vec_id - vec_id % 4, vec_id FROM embeddings WHERE vec_id % 4 <> 0""",
     "entities": """
         SELECT user_id AS file, event_type AS kind, 'layer' || (k % 10) AS layer, k % 16 AS color_index, CASE WHEN k % 3 = 0 THEN k % 5 END AS true_color, k % 4 = 0 AS closed
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
 }
-_NEEDS = {"grown": ["elements"], "vertices": ["elements", "corners"], "edges": ["vertices"], "hops": ["paths"], "links": ["hops", "nodes"]}
+_NEEDS = {"grown": ["elements"], "vertices": ["elements", "corners"], "edges": ["vertices"], "hops": ["paths"], "links": ["hops", "nodes"], "plan": ["elements"]}
 
 
 def with_sql(body: str, *names: str) -> str:

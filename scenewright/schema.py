@@ -44,7 +44,7 @@ UNIT = 1000.0
 N_SECTORS, RAYS_PER_SECTOR, RAY_LENGTH, DECAY_DISTANCE, DECAY_RATE = 16, 4, 30.0, 50.0, 3.0
 OPAQUE = 1e-5
 VIRTUAL_HIT = 0.3
-CIRCLE_VERTICES = 128
+CIRCLE_VERTICES, TOUCH_VERTICES = 128, 64
 ROCK_LINK, ROCK_ALPHA, WATER_LINK, WALL_HALF_WIDTH = 1.0, 8.0, 0.5, 0.2
 PLANT_EPS, PLANT_MIN_SAMPLES, PLANT_RADIUS_WEIGHT = 8.0, 2, 1.0
 OPENNESS_DISTANCE, BLOCK_RATIO = 50.0, 0.3
