@@ -1,21 +1,25 @@
 """Training-order materialisation: token ids in fixed-stride shards, sequences in a keyed pseudo-random order.
 
-Texts are encoded and joined, each followed by the end-of-text id, into sequences of SEQUENCE ids; a map task's stream is
-cut on its own, its last sequence padded with end-of-text.  Sequence number i of N goes to slot P(i), where P is a keyed
-Feistel permutation of the next even power of two, walked along its cycle until it falls below N.  P needs no table: any
-executor computes any slot, and the inverse finds the sequence that a slot holds.
-
-1. One pass encodes, and writes the sequences of each map task, compressed, to the shared folder; the running sum of the
-   tasks' counts numbers them (one number for each task on the driver).
-2. Each sequence goes to the partition that owns its range of slots, packed and compressed by shard.
-3. Each partition writes its shards, `SHARD` slots of SEQUENCE ids each, little-endian, under a temporary name that is then
+The texts in the order of their doc_id (null last), then of their texts' hashes, each followed by the end-of-text id, are
+one stream, which is cut into sequences of SEQUENCE ids, the last one padded with end-of-text; so the sequences don't depend
+on how the table is split.  Sequence number i of N goes to slot P(i), where P is a keyed Feistel permutation of the next even
+power of two, walked along its cycle until it falls below N.  P needs no table: any executor computes any slot, and the
+inverse finds the sequence that a slot holds.
+
+1. One pass encodes, and writes the ids of each map task, compressed, to the shared folder.
+2. The texts' lengths, range-partitioned by the order, give each text its place in the stream by a running sum (one number
+   for each partition on the driver); the places are written to one folder for each map task of step 1.
+3. The ids are read with their places, cut where sequences end, and go to the partition that owns the slots, packed and
+   compressed by shard.
+4. Each partition writes its shards, `SHARD` slots of SEQUENCE ids each, little-endian, under a temporary name that is then
    moved in place, so a repeated task leaves the same file.
 
 `read` returns the sequences from any slot on by seeking to slot * stride in its shard: training can stop and resume at
 any slot.  Ids take two bytes where the vocabulary allows it, four otherwise.
 
-Defined results: null texts count as empty, and empty texts give an end-of-text id alone; a task without rows writes
-nothing; an empty table gives a manifest without shards; repeated rows are written each; extra columns don't matter.
+Defined results: null texts count as empty, and empty texts give an end-of-text id alone; texts of any length are cut
+over as many sequences as they need; an empty table gives a manifest without shards; repeated rows are written each, one after
+the other; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -39,8 +43,8 @@ from scenewright.llm.bpe import PATTERN
 SEQUENCE, SHARD = 1024, 2048
 ROUNDS = 6
 BLOCK = 8 << 20
-#: Sequences that a task holds before it sends them.
-HELD = 4096
+#: Ids that a task holds before it writes or sends them, and how hard they are compressed.
+HELD, LEVELS = 2 << 20, (9, 6)
 
 
 def feistel(i: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -80,57 +84,67 @@ def encoding(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), len(ranks)
 
 
-def _streams(batches, path: str):
-    """(ids of each row of a block, the rows' own ids); an end of text follows each row."""
-    encode = encoding(path)[0].encode_ordinary
-    for batch in batches:
-        _, offsets = column_bytes(batch.column(1))
-        for a, b in doc_groups(offsets, BLOCK):
-            yield [encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()], batch.column(0).slice(a, b - a)
-
-
-def _sequences(docs: DataFrame, path: str, length: int, kind: str) -> DataFrame:
-    """task, before (sequences of the task that come earlier), n, owners (the row of each one's first id), data."""
+def _tokens(docs: DataFrame, path: str, kind: str) -> DataFrame:
+    """task, block (of the task), ids, sums and sizes (of its rows), data (their token ids, each row's with an end)."""
     dtype = _dtype(path)
 
     def run(batches):
         import zstandard
         from pyspark import TaskContext
 
-        task, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
-        end = encoding(path)[1]
-        rest, owner, owner_kind, done = np.zeros(0, np.uint32), None, None, 0
-        held: list[np.ndarray] = []
-        owners: list = []
+        task, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=LEVELS[0])
+        encode, end = encoding(path)[0].encode_ordinary, encoding(path)[1]
+        held, sizes, ids, sums, n, block = [], [], [], [], 0, 0
 
         def packed():
-            data = press.compress(np.concatenate(held).astype(dtype).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([done], pa.int64()), pa.array([len(owners)], pa.int64()), pa.array([owners], pa.list_(owner_kind)), pa.array([data], pa.binary())], ["task", "before", "n", "owners", "data"])
-
-        for parts, ids in _streams(batches, path):
-            owner_kind = ids.type
-            for part in parts:
-                part.append(end)
-            size = np.array([len(part) for part in parts], np.int64)
-            flat, starts = np.fromiter(chain.from_iterable(parts), np.uint32, int(size.sum())), np.cumsum(size) - size
-            whole, named = np.concatenate([rest, flat]), ids.to_pylist()
-            n = len(whole) // length
-            first = np.searchsorted(starts, np.arange(n + 1) * length - len(rest), "right") - 1
-            of = [named[k] if k >= 0 else owner for k in first.tolist()]
-            held.append(whole[: n * length])
-            owners += of[:n]
-            owner, rest = of[n], whole[n * length :]
-            if len(owners) >= HELD:
-                yield packed()
-                done += len(owners)
-                held, owners = [], []
-        if len(rest):
-            held.append(np.concatenate([rest, np.full(length - len(rest), end, np.uint32)]))
-            owners.append(owner)
-        if owners:
+            data = press.compress(np.concatenate(held).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(id_kind)), pa.array([sums], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([data], pa.binary())], ["task", "block", "ids", "sums", "sizes", "data"])
+
+        for batch in batches:
+            id_kind = batch.column(0).type
+            _, offsets = column_bytes(batch.column(1))
+            for a, b in doc_groups(offsets, BLOCK):
+                parts = [encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
+                for part in parts:
+                    part.append(end)
+                sizes += [len(part) for part in parts]
+                held.append(np.fromiter(chain.from_iterable(parts), dtype, sum(sizes[len(sizes) - len(parts) :])))
+                ids += batch.column(0).slice(a, b - a).to_pylist()
+                sums += batch.column(2).slice(a, b - a).to_pylist()
+                n += len(held[-1])
+                if n >= HELD:
+                    yield packed()
+                    held, sizes, ids, sums, n, block = [], [], [], [], 0, block + 1
+        if held:
             yield packed()
 
-    return docs.mapInArrow(run, f"task int, before long, n long, owners array<{kind}>, data binary")
+    return docs.mapInArrow(run, f"task int, block int, ids array<{kind}>, sums array<long>, sizes array<int>, data binary")
+
+
+def _places(made: DataFrame) -> tuple[DataFrame, int]:
+    """task, block, k, place: where the k-th text of a block begins in the stream; and the length of the stream."""
+    rows = made.select("task", "block", F.posexplode(F.arrays_zip("ids", "sums", "sizes")).alias("k", "x")).select("task", "block", "k", F.col("x.ids").alias("id"), F.col("x.sums").alias("sum"), F.col("x.sizes").alias("n"))
+    order = [F.col("id").isNull(), "id", "sum", "task", "block", "k"]
+    n = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def running(batches):
+        from pyspark import TaskContext
+
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column(3).to_numpy().astype(np.int64)
+            upto = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), part, np.int32)), *batch.columns[:3], pa.array(upto - size + done), pa.array(size)], ["part", "task", "block", "k", "place", "n"])
+            done += int(upto[-1]) if len(size) else 0
+
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("task", "block", "k", "n")
+    placed = store.saved(ranged.mapInArrow(running, "part int, task int, block int, k int, place long, n long"), "places")
+    begin, at = {}, 0
+    for r in sorted(placed.groupBy("part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r.part):  # one number for each partition
+        begin[r.part] = at
+        at += r.n
+    first = F.create_map(*[F.lit(x) for kv in begin.items() for x in kv]) if begin else F.create_map(F.lit(0), F.lit(0))
+    return placed.select("task", "block", "k", (F.col("place") + F.element_at(first, F.col("part"))).alias("place")), at
 
 
 def _dtype(path: str) -> np.dtype:
@@ -138,39 +152,60 @@ def _dtype(path: str) -> np.dtype:
 
 
 def write(docs: DataFrame, path: str, *, key: int = 1, text: str = "text", doc_id: str = "doc_id", length: int = SEQUENCE, shard: int = SHARD, vocabulary: str | None = None) -> DataFrame:
-    """Writes shards under `path`, a folder that all executors share, and returns the manifest of sequences:
-    slot, shard, byte_offset, doc_id (of the row that its first id belongs to), ids_sha256."""
+    """Writes shards under `path`, a folder that all executors share, and returns the manifest of sequences: slot, shard,
+    byte_offset, doc_id (of the row that its first id belongs to), ids_sha256, path (of the shard)."""
     vocabulary = vocabulary or default_path()
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("sum", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = store.saved(_sequences(rows, vocabulary, length, kind), "sequences")
-    counts = {r.task: r.n for r in made.groupBy("task").agg(F.sum("n").alias("n")).collect()}  # one number for each task
-    total = sum(counts.values())
-    begin, at = {}, 0
-    for task in sorted(counts):
-        begin[task] = at
-        at += counts[task]
-    dtype = _dtype(vocabulary)
+    made = store.saved(_tokens(rows, vocabulary, kind), "tokens")
+    places, length_of_all = _places(made)
+    total = -(-length_of_all // length)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    side = store.place(spark, "places-by-task")
+    places.repartition(partitions, "task").sortWithinPartitions("task", "block", "k").write.partitionBy("task").parquet(side)
+    dtype, end = _dtype(vocabulary), encoding(vocabulary)[1]
     shards = -(-total // shard)
-    partitions = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    shipped = spark.sparkContext.broadcast(begin)
+    owned_by = max(1, min(shards, partitions))
+
+    def places_of(task: int) -> dict[int, np.ndarray]:
+        """The places of a task's texts by block, in order."""
+        from pyarrow import parquet
+
+        files, folder = fs.FileSystem.from_uri(side)
+        found = [f.path for f in files.get_file_info(fs.FileSelector(f"{folder}/task={task}")) if f.path.endswith(".parquet")]
+        table = pa.concat_tables([parquet.ParquetFile(files.open_input_file(f)).read() for f in found])
+        block, k, place = (table.column(c).to_numpy() for c in ("block", "k", "place"))
+        order = np.lexsort((k, block))
+        block, place = block[order], place[order]
+        return {int(b): place[block == b] for b in np.unique(block)}
 
     def send(batches):
         import zstandard
 
-        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        press, unpress = zstandard.ZstdCompressor(level=LEVELS[1]), zstandard.ZstdDecompressor()
+        known, of = None, {}
         for batch in batches:
-            for task, before, n, owners, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = np.frombuffer(unpress.decompress(data), dtype).reshape(n, length)
-                slot = feistel(shipped.value[task] + before + np.arange(n), total, key)
-                order = np.argsort(slot, kind="stable")
-                which = slot[order] // shard
-                edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), n]
+            for task, block, ids, sizes, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if task != known:
+                    known, of = task, places_of(task)
+                flat, size, place = np.frombuffer(unpress.decompress(data), dtype), np.array(sizes, np.int64), of[block]
+                count = (place + size - 1) // length - place // length + 1
+                row = np.repeat(np.arange(len(size)), count)
+                number = (place // length)[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                begin, stop = np.maximum(place[row], number * length), np.minimum((place + size)[row], (number + 1) * length)
+                source = (np.cumsum(size) - size)[row] + begin - place[row]
+                slot = feistel(number, total, key)
+                order = np.argsort(slot // shard, kind="stable")
+                row, number, begin, stop, source, slot = (x[order] for x in (row, number, begin, stop, source, slot))
+                which, n = slot // shard, stop - begin
+                ids_ = np.repeat(source - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                flat, upto = flat[ids_], np.concatenate([[0], np.cumsum(n)])
+                edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(which)]
                 spans = list(zip(edges[:-1], edges[1:], strict=True))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([int(which[x]) for x, _ in spans], pa.int64()), pa.array([slot[order[x:y]].tolist() for x, y in spans], pa.list_(pa.int64())),
-                    pa.array([[owners[k] for k in order[x:y].tolist()] for x, y in spans], batch.column(3).type), pa.array([press.compress(block[order[x:y]].tobytes()) for x, y in spans], pa.binary())], ["shard", "slots", "owners", "data"])
+                lists = lambda x: pa.array([x[p:q] for p, q in spans], pa.list_(pa.int64()))  # noqa: B023, E731
+                owners = [[ids[r] if at else None for r, at in zip(row[p:q].tolist(), (begin[p:q] % length == 0).tolist(), strict=True)] for p, q in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(which[edges[:-1]], pa.int64()), lists(slot), lists(begin % length), lists(n), pa.array(owners, batch.column(2).type), pa.array([press.compress(flat[upto[p] : upto[q]].tobytes()) for p, q in spans], pa.binary())], ["shard", "slots", "at", "sizes", "owners", "data"])
 
     def store_shards(batches):
         import zstandard
@@ -178,41 +213,49 @@ def write(docs: DataFrame, path: str, *, key: int = 1, text: str = "text", doc_i
         files, folder = fs.FileSystem.from_uri(path)
         files.create_dir(folder, recursive=True)
         unpress = zstandard.ZstdDecompressor()
-        current, parts = None, []
+        current, block, owners, filled, kind_of = None, None, [], 0, None
 
         def written():
-            slots = np.concatenate([s for s, _, _ in parts])
-            order = np.argsort(slots, kind="stable")
-            block = np.concatenate([np.frombuffer(d, dtype).reshape(-1, length) for _, _, d in parts])[order]
-            owners = [o for _, names, _ in parts for o in names]
-            slots = slots[order]
-            if slots.tolist() != list(range(current * shard, min((current + 1) * shard, total))):
-                raise RuntimeError(f"shard {current} lacks slots")
+            first = current * shard
+            slots = np.arange(first, first + len(block))
+            last = int(feistel(np.array([total - 1]), total, key)[0])  # the sequence that is padded
+            if filled != block.size - (total * length - length_of_all if first <= last < first + len(block) else 0):
+                raise RuntimeError(f"shard {current} lacks ids")
             name = f"{folder}/shard-{current:08d}.bin"
             temporary = f"{folder}/.{uuid.uuid4().hex}"
             with files.open_output_stream(temporary) as f:
                 f.write(block.tobytes())
             files.move(temporary, name)
             sha = [hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in block]
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(slots), current)), pa.array((slots - current * shard) * length * dtype.itemsize), pa.array([owners[k] for k in order.tolist()], kind_of), pa.array(sha)], ["slot", "shard", "byte_offset", "doc_id", "ids_sha256"])
+            n = len(slots)
+            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(n, current)), pa.array((slots - first) * length * dtype.itemsize), pa.array(owners, kind_of), pa.array(sha), pa.array([f"{path.rstrip('/')}/shard-{current:08d}.bin"] * n)], ["slot", "shard", "byte_offset", "doc_id", "ids_sha256", "path"])
 
-        kind_of = None
         for batch in batches:
-            kind_of = batch.column(2).type.value_type
-            for k, slots, owners, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != current and parts:
-                    yield written()
-                    parts = []
-                current = k
-                parts.append((np.array(slots, np.int64), owners, unpress.decompress(data)))
-        if parts:
+            kind_of = batch.column(4).type.value_type
+            for k, slots, at, sizes, names, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != current:
+                    if block is not None:
+                        yield written()
+                    current, filled = k, 0
+                    block = np.full((min(shard, total - k * shard), length), end, dtype)
+                    owners = [None] * len(block)
+                n = np.array(sizes, np.int64)
+                to = (np.array(slots, np.int64) - k * shard) * length + np.array(at, np.int64)
+                ids = np.frombuffer(unpress.decompress(data), dtype)
+                block.reshape(-1)[np.repeat(to - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+                filled += len(ids)
+                for s, a, name in zip(slots, at, names, strict=True):
+                    if a == 0:
+                        owners[s - k * shard] = name
+        if block is not None:
             yield written()
 
+    schema = f"slot long, shard long, byte_offset long, doc_id {kind}, ids_sha256 string, path string"
     if not total:
-        return spark.createDataFrame([], f"slot long, shard long, byte_offset long, doc_id {kind}, ids_sha256 string")
-    sent = made.select("task", "before", "n", "owners", "data").mapInArrow(send, f"shard long, slots array<long>, owners array<{kind}>, data binary")
-    owned = sent.repartitionById(partitions, (F.col("shard") * partitions / F.lit(shards)).cast("int")).sortWithinPartitions("shard")
-    return owned.mapInArrow(store_shards, f"slot long, shard long, byte_offset long, doc_id {kind}, ids_sha256 string")
+        return spark.createDataFrame([], schema)
+    sent = made.select("task", "block", "ids", "sizes", "data").mapInArrow(send, f"shard long, slots array<long>, at array<long>, sizes array<long>, owners array<{kind}>, data binary")
+    owned = sent.repartitionById(owned_by, (F.col("shard") * owned_by / F.lit(shards)).cast("int")).sortWithinPartitions("shard")
+    return owned.mapInArrow(store_shards, schema)
 
 
 def read(path: str, slot: int, n: int, *, length: int = SEQUENCE, shard: int = SHARD, vocabulary: str | None = None) -> np.ndarray:
@@ -236,9 +279,7 @@ def read(path: str, slot: int, n: int, *, length: int = SEQUENCE, shard: int = S
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the whole table's sequences to the shared folder; the manifest, one row for each sequence."""
+    """Writes the whole table's sequences to a new folder in the shared one, where they stay; the manifest, one row for each
+    sequence, says where."""
     folder = f"{store.folder(spark)}/scenewright-shards-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = f"file://{folder}" if folder.startswith("/") else folder
-    store.keep_until_end(spark, folder)
-    return write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    return write(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"file://{folder}" if folder.startswith("/") else folder)

@@ -71,3 +71,21 @@ def test_writing_again_gives_the_same_files(spark, tmp_path):
         to.write(docs, f"file://{tmp_path}/{name}", length=32, shard=20).collect()
     a, b = ({p.name: p.read_bytes() for p in (tmp_path / n).iterdir()} for n in "ab")
     assert a == b and len(a) > 3
+
+
+def test_the_stream_does_not_depend_on_the_splits(spark, tmp_path):
+    """Other partitions give the same files, and back in order the sequences are the texts by id, then by hash."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(70).select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "no id"), (3, "another text of three"), (3, "another text of three"), (9_000, None)], docs.schema))
+    found = []
+    for n in (1, 5):
+        path = f"file://{tmp_path}/{n}"
+        manifest = to.write(docs.repartition(n), path, length=48, shard=30).collect()
+        assert all(r.path == f"{path}/shard-{r.shard:08d}.bin" for r in manifest)
+        found.append({p.name: p.read_bytes() for p in (tmp_path / str(n)).iterdir() if not p.name.startswith(".")})
+    assert found[0] == found[1]
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    stream = [x for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h)) for x in ids_of(r.text)]
+    n = len(manifest)
+    back = to.read(path, 0, n, length=48, shard=30)[to.feistel(np.arange(n), n, 1)].reshape(-1).tolist()
+    assert back[: len(stream)] == stream and set(back[len(stream) :]) <= {50256} and len(back) - len(stream) < 48
