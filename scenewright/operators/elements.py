@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scenewright import schema as S
 from scenewright.functions import expressions as E
+from scenewright.functions.store import saved
 from scenewright.operators import polygons
 from scenewright.operators.cluster import link_paths
 from scenewright.operators.graph import numbered
@@ -38,9 +39,10 @@ def water(entities: DataFrame) -> DataFrame:
     paths = entities.filter("category = 'water' AND size(points) >= 2")
     doubled = F.flatten(F.transform(F.sequence(F.lit(1), F.size("points") - 1), lambda k: F.array(F.element_at("points", k), F.element_at("points", k + 1))))
     rings = paths.filter("size(points) >= 2").withColumn("ring", E.closed_ring(doubled)).filter(F.size(doubled) >= 3).select("garden_id", F.col("entity_ord").alias("elem_ord"), "ring")
+    rings = saved(rings, "shores")  # built once, not at each use
     shapes = rings.select("garden_id", "elem_ord", F.lit("Polygon").alias("gtype"), F.array("ring").alias("rings"), *[F.lit(None).cast("double").alias(c) for c in ("cx", "cy", "radius")])
     inside = polygons.contained(shapes, shapes)
-    first = inside.groupBy("inner_ord").agg(F.min("outer_ord").alias("outer_ord"))
+    first = saved(inside.groupBy("inner_ord").agg(F.min("outer_ord").alias("outer_ord")), "first")
     holes = first.join(rings.select(F.col("elem_ord").alias("inner_ord"), "ring"), "inner_ord").groupBy("outer_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("inner_ord", "ring"))), lambda x: x["ring"]).alias("holes"))
     outer = rings.join(first, rings.elem_ord == first.inner_ord, "left_anti").join(holes, F.col("elem_ord") == F.col("outer_ord"), "left")
     clusters = link_paths(paths.select("garden_id", F.col("entity_ord").alias("id"), "points"), S.WATER_LINK, "garden_id").withColumnRenamed("id", "elem_ord")

@@ -88,12 +88,13 @@ def _crossings(near: DataFrame, n: int) -> DataFrame:
         F.explode(F.flatten(F.transform("rings", lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.struct(
             (p["x"] - F.col("vx")).alias("ax"), (p["y"] - F.col("vy")).alias("ay"), (q["x"] - F.col("vx")).alias("bx"), (q["y"] - F.col("vy")).alias("by")))))).alias("e"),
     ).select("node_id", "elem_ord", "type", "transparent", "weight", "e.*")
-    # an edge is seen under less than half a turn: the rays from one end's angle to the other's, one more on either side
+    # an edge is seen under less than half a turn: the rays from one end's angle to the other's, and those a rounding away
     step = 2 * F.pi() / n
     begin, turn = F.atan2("ay", "ax"), F.atan2(F.expr("ax * by - ay * bx"), F.expr("ax * bx + ay * by"))
-    first = F.floor(F.least(begin, begin + turn) / step) - 1
-    last = F.ceil(F.greatest(begin, begin + turn) / step) + 1
-    rays = edges.withColumn("k", F.explode(F.sequence(first.cast("int"), last.cast("int")))).withColumn("ray", F.pmod("k", F.lit(n)))
+    first = F.ceil(F.least(begin, begin + turn) / step - 1e-6).cast("int")
+    last = F.floor(F.greatest(begin, begin + turn) / step + 1e-6).cast("int")
+    seen = edges.withColumn("first", first).withColumn("last", last).filter("first <= last")
+    rays = seen.withColumn("k", F.explode(F.sequence("first", "last"))).withColumn("ray", F.pmod("k", F.lit(n)))
     rays = rays.withColumn("dx", F.cos(2 * F.pi() * F.col("ray") / n)).withColumn("dy", F.sin(2 * F.pi() * F.col("ray") / n))
     side_a, side_b = F.expr("dx * ay - dy * ax") >= 0, F.expr("dx * by - dy * bx") >= 0
     crossing = rays.filter(side_a != side_b).withColumn("t", F.expr("(ax * (by - ay) - ay * (bx - ax)) / (dx * (by - ay) - dy * (bx - ax))")).filter("t > 0")
