@@ -356,7 +356,8 @@ def _members(long: DataFrame, known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, token), pa.int64()), pa.array(ids), pa.array(level.astype(np.int64))], ["token", "id", "level"])
 
     rows = long.select(F.col("a").alias("token"), F.col("matches").alias("m"), "data").mapInArrow(entries, "token long, id long, level long")
-    # the tables that meet by token are written first, so that a frequent one is a join that adaptive execution can split
+    # the tables that meet by token are written first and never broadcast (their files are far smaller than their rows), so that
+    # adaptive execution can split the join at a frequent one
     rows = saved(rows.join(known, "id").select("token", "id", "n", "level", "ell", "end", "slack"), "entries")
     strong = F.expr(f"{NUMBER + OF} * slack >= {NUMBER} * (n + ceil(n * {NUMBER} / {OF}))")
     if_strong = lambda c: F.when(strong, F.col(c))
@@ -372,7 +373,7 @@ def _members(long: DataFrame, known: DataFrame) -> DataFrame:
         ends_last = ((b["si"] != F.col("id")) | (b["sj"] != F.col("id"))) & ((NUMBER + OF) * b["slack"] >= sizes) & (b["first"] <= F.col("end"))
         return near & (ends_first | F.coalesce(ends_last, F.lit(False)))
 
-    return rows.join(saved(bands, "bands"), "token").filter(F.exists("bands", partner)).drop("bands")
+    return rows.join(saved(bands, "bands").hint("merge"), "token").filter(F.exists("bands", partner)).drop("bands")
 
 
 def _possible(n1, n2, end1, end2, slack1, slack2) -> np.ndarray:
@@ -456,7 +457,7 @@ def _stars(members: DataFrame) -> DataFrame:
             ok = ok[~_apart(np.concatenate([n, l_n]), [*batch.column(8).to_pylist(), *batch.column(9).to_pylist()], ok, ok + m)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(lead[ok])], ["a", "b"])
 
-    return members.join(leader, "token").select(*columns).mapInArrow(near, "a long, b long").distinct()
+    return members.join(leader.hint("merge"), "token").select(*columns).mapInArrow(near, "a long, b long").distinct()
 
 
 def _left_in_lists(members: DataFrame, labels: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -479,7 +480,7 @@ def _left_in_lists(members: DataFrame, labels: DataFrame, piece: int = PIECE) ->
     lists = parts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("c")).filter("m > c")
     lists = saved(lists, "lists")
     pieces = lambda x: F.ceil(x / piece).cast("int")
-    rows = named.join(lists.select("token", "main", pieces(F.col("m")).alias("all"), pieces(F.col("m") - F.col("c")).alias("some")), "token")
+    rows = named.join(lists.select("token", "main", pieces(F.col("m")).alias("all"), pieces(F.col("m") - F.col("c")).alias("some")).hint("merge"), "token")
     values = ["id", "n", "level", "ell", "end", "slack", "comp", "bitmap"]
     own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     dealt = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
