@@ -21,3 +21,11 @@ def test_points(spark):
     held = visibility.points_in_elements(view(spark, (10.5, 10.25), (0.0, 4.0)), some(spark))
     assert "BroadcastHashJoin" not in plan(held)
     assert sorted((r.node_id, r.elem_ord) for r in held.collect() if r.elem_ord < 20 and r.node_id == 0) == [(0, k) for k in range(2, 11)]
+
+
+def test_contained(spark):
+    e = some(spark)
+    found = polygons.contained(e, e)
+    assert "BroadcastHashJoin" not in plan(found)
+    want = {k for k in range(20) if all(abs(x - 20) + abs(y - 20) <= 20 for x in (k, k + 9) for y in (k, k + 9))}
+    assert {(r.inner_ord, r.outer_ord) for r in found.collect()} == {(k, 20) for k in want} and want
