@@ -30,7 +30,7 @@ def block_grid(boxes: DataFrame, block: float) -> DataFrame:
 def members(blocks: DataFrame, elements: DataFrame) -> DataFrame:
     """Elements that meet each block, whole: block columns as garden_id (garden/block) with the element's own columns."""
     area = polygons.clipped_area(blocks, elements).select("block_id", "elem_ord")
-    return area.join(elements, "elem_ord")
+    return area.join(elements.hint("merge"), "elem_ord")
 
 
 def block_features(blocks: DataFrame, elements: DataFrame, block: float, boundary: DataFrame | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def block_features(blocks: DataFrame, elements: DataFrame, block: float, boundar
     structure = scores.structural_features(keyed)
     names = [c for c in structure.columns if c != "garden_id"]
     wide = blocks.select("block_id", *[(F.col(f"c{axis}") + sign * 1.5 * block).alias(f"{axis}{k}") for k, sign in ((0, -1), (1, 1)) for axis in ("x", "y")])
-    inside = polygons.clipped_area(wide, elements.drop("garden_id"), boundary).join(met.select("block_id", "elem_ord", "transparent"), ["block_id", "elem_ord"])
+    inside = polygons.clipped_area(wide, elements.drop("garden_id"), boundary).join(met.select("block_id", "elem_ord", "transparent").hint("merge"), ["block_id", "elem_ord"])
     weighted = inside.groupBy("block_id").agg(F.sum(F.col("area") * F.col("transparent")).alias("s")).join(polygons.inside_area(wide, boundary), "block_id")
     seen = weighted.select("block_id", F.least(F.lit(1.0), F.col("s") / F.col("a")).alias("visibility"))
     out = blocks.join(structure.select(F.col("garden_id").cast("bigint").alias("block_id"), *names), "block_id", "left").join(seen, "block_id", "left")
