@@ -73,23 +73,79 @@ def building(entities: DataFrame) -> DataFrame:
     return _element(made.withColumn("ord", F.struct("place", "entity_ord")), "building", "Polygon", "ord", rings=F.col("made"))
 
 
-def rock(entities: DataFrame, buildings: DataFrame, alpha: float = S.ROCK_ALPHA) -> DataFrame:
-    """Rockery lines linked within ROCK_LINK, each cluster as its alpha shape; transparent if it encloses a building."""
-    paths = entities.filter("category = 'rockery' AND size(points) > 0")
-    clusters = link_paths(paths.select("garden_id", F.col("entity_ord").alias("id"), "points"), S.ROCK_LINK, "garden_id")
-    points = paths.join(clusters.withColumnRenamed("id", "entity_ord"), "entity_ord").select("garden_id", "cluster_id", F.explode("points").alias("p")).distinct()
+#: Clusters of more points than this are dealt over tiles, so many alphas wide.
+OF_CLUSTER, TILE = 4096, 12
+#: Outlines of more edges than this are dealt over strips.
+LONG = 64
 
-    def shape(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted((p["x"], p["y"]) for p in pdf.p)
-        ring = polygons.alpha_shape(pts, alpha)
+
+def _alpha_shapes(points: DataFrame, alpha: float) -> DataFrame:
+    """garden_id, cluster_id, made: the alpha shape of the points (garden_id, cluster_id, x, y, all different) of each cluster; those
+    of fewer than three corners have no row.
+
+    A triangle that counts depends on what lies within 2 * alpha of its first corner, so tiles make those of their own points, and
+    one task of a large cluster only meets the sides that tiles leave open."""
+    cluster, made = ["garden_id", "cluster_id"], f"garden_id string, cluster_id bigint, made {S.RINGS}"
+    large = saved(points.groupBy(*cluster).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OF_CLUSTER), "large")
+
+    def row(pdf: pd.DataFrame, ring) -> pd.DataFrame:
         if len(ring) < 3:
             return pd.DataFrame({"garden_id": [], "cluster_id": [], "made": []})
         return pd.DataFrame({"garden_id": [pdf.garden_id.iloc[0]], "cluster_id": [pdf.cluster_id.iloc[0]], "made": [[[{"x": x, "y": y} for x, y in [*ring, ring[0]]]]]})
 
-    made = points.groupBy("garden_id", "cluster_id").applyInPandas(shape, f"garden_id string, cluster_id bigint, made {S.RINGS}")
+    def shape(pdf: pd.DataFrame) -> pd.DataFrame:
+        return row(pdf, polygons.alpha_shape(sorted(zip(pdf.x.tolist(), pdf.y.tolist(), strict=True)), alpha))
+
+    def sides(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The sides of a tile's parts, and the corners of the hull of its points."""
+        pdf = pdf.sort_values(["x", "y"])
+        own = pdf.own.to_numpy()
+        out = [(k, s, *p, *q) for k, s, p, q in polygons.alpha_sides(pdf[["x", "y"]].to_numpy(), alpha, own)]
+        out += [(-1, 0.0, *p, *p) for p in polygons.hull(list(zip(pdf.x[own].tolist(), pdf.y[own].tolist(), strict=True)))]
+        out = pd.DataFrame(out, columns=["part", "area", "x1", "y1", "x2", "y2"])
+        return out.assign(**{c: pdf[c].iloc[0] for c in (*cluster, "tx", "ty")})
+
+    def ring(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pdf[pdf.part >= 0]
+        if not len(found):
+            return row(pdf, polygons.hull(sorted(set(zip(pdf.x1.tolist(), pdf.y1.tolist(), strict=True)))))
+        parts = zip(found.tx.tolist(), found.ty.tolist(), found.part.tolist(), strict=True)
+        return row(pdf, polygons.outer_ring([(k, s, (x1, y1), (x2, y2)) for k, s, x1, y1, x2, y2 in zip(parts, *[found[c].tolist() for c in ("area", "x1", "y1", "x2", "y2")], strict=True)]))
+
+    size, far = alpha * TILE, alpha * 2 * (1 + 1e-9)
+    tiles = points.join(large, cluster, "left_semi")
+    for t, c in (("tx", "x"), ("ty", "y")):
+        tiles = tiles.withColumn(t, F.explode(F.sequence(F.floor((F.col(c) - far) / size), F.floor((F.col(c) + far) / size))))
+    tiles = tiles.withColumn("own", (F.col("tx") == F.floor(F.col("x") / size)) & (F.col("ty") == F.floor(F.col("y") / size)))
+    open_ = tiles.groupBy(*cluster, "tx", "ty").applyInPandas(sides, "garden_id string, cluster_id bigint, tx bigint, ty bigint, part bigint, area double, x1 double, y1 double, x2 double, y2 double")
+    small = points.join(large, cluster, "left_anti").groupBy(*cluster).applyInPandas(shape, made)
+    return small.unionByName(open_.groupBy(*cluster).applyInPandas(ring, made))
+
+
+def _holding(inner: DataFrame, shapes: DataFrame) -> DataFrame:
+    """cluster_id of the shapes that hold one of the inner elements."""
+    long = F.size(F.element_at("rings", 1)) > LONG
+    held = polygons.contained(inner, shapes.filter(~long)).unionByName(polygons.contained_in_long(inner, shapes.filter(long)))
+    return held.select(F.col("outer_ord").alias("cluster_id")).distinct()
+
+
+def rock(entities: DataFrame, buildings: DataFrame, alpha: float = S.ROCK_ALPHA) -> DataFrame:
+    """Rockery lines linked within ROCK_LINK, each cluster as its alpha shape; transparent if it encloses a building."""
+    paths = entities.filter("category = 'rockery' AND size(points) > 0")
+    clusters = link_paths(paths.select("garden_id", F.col("entity_ord").alias("id"), "points"), S.ROCK_LINK, "garden_id")
+    points = paths.join(clusters.withColumnRenamed("id", "entity_ord"), "entity_ord").select("garden_id", "cluster_id", F.explode("points").alias("p")).select("garden_id", "cluster_id", "p.x", "p.y").distinct()
+    made = saved(_alpha_shapes(saved(points, "rocks"), alpha), "shapes")
     as_elements = made.select("garden_id", F.col("cluster_id").alias("elem_ord"), F.lit("Polygon").alias("gtype"), F.col("made").alias("rings"), *[F.lit(None).cast("double").alias(c) for c in ("cx", "cy", "radius")])
     inner = buildings.select("garden_id", F.xxhash64("garden_id", "id").alias("elem_ord"), "gtype", "rings", "cx", "cy", "radius")
-    holds = polygons.contained(inner, as_elements).select(F.col("outer_ord").alias("cluster_id"), F.lit(1.0).alias("holds")).distinct()
+    # most large shapes hold one of a few buildings; only those that don't meet all of them
+    first = saved(_holding(inner.filter(F.pmod("elem_ord", F.lit(64)) == 0), as_elements), "holding")
+    rest = saved(as_elements.join(first, F.col("elem_ord") == F.col("cluster_id"), "left_anti"), "rest")
+    box = {f"{end}_{k}": getattr(F, f"array_{end}")(E.coordinates(F.element_at("rings", 1), k)) for end in ("min", "max") for k in ("x", "y")}
+    cells = lambda k: F.explode(F.sequence(F.floor((F.col(f"min_{k}") - 1e-9) / 16), F.floor(F.col(f"max_{k}") / 16))).alias(f"c{k}")
+    around = saved(rest.withColumns(box).select("garden_id", cells("x"), "min_y", "max_y").select("garden_id", "cx", cells("y")).distinct().toDF("garden_id", "__cx", "__cy"), "around")
+    corner = inner.withColumns({f"__c{k}": F.floor(F.array_min(E.coordinates(F.element_at("rings", 1), k)) / 16) for k in ("x", "y")})
+    near = corner.join(around, ["garden_id", "__cx", "__cy"], "left_semi").drop("__cx", "__cy")
+    holds = first.unionByName(_holding(near, rest)).withColumn("holds", F.lit(1.0))
     ready = made.join(holds, "cluster_id", "left").withColumn("transparent", F.coalesce("holds", F.lit(0.0)))
     return _element(ready, "rock", "Polygon", "cluster_id", rings=F.col("made"), cluster_id=F.col("cluster_id"))
 

@@ -38,35 +38,190 @@ def hull(points: list[Point]) -> list[Point]:
     return whole if len(whole) > 2 else ordered
 
 
+def _order(points: np.ndarray) -> np.ndarray:
+    """An order of the points for insertion: random rounds, each twice as long as the one before, each row by row through a grid."""
+    n = len(points)
+    low, wide = points.min(0), np.maximum(np.ptp(points, axis=0), 1e-300)
+    round_ = np.minimum(np.floor(-np.log2(np.maximum(np.random.default_rng(0).random(n), 1e-300))), 40).astype(np.int64)
+    across = np.maximum((n / 4 / 2.0**round_) ** 0.5, 1).astype(np.int64)
+    gx, gy = (np.minimum((points[:, k] - low[k]) / wide[k] * across, across - 1).astype(np.int64) for k in (0, 1))
+    return np.lexsort((np.where(gx % 2 == 0, gy, -gy), gx, -round_))
+
+
+def _whole(v: np.ndarray) -> list[int]:
+    """Numbers as whole ones, exactly, all by the same power of two."""
+    m, e = np.frexp(v)
+    m, e = (m * 2.0**53).astype(np.int64).tolist(), np.where(m == 0, 0, e - 53)
+    low = int(e.min(initial=0))
+    return [k << int(x) - low for k, x in zip(m, e, strict=True)]
+
+
 def triangulate(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Delaunay triangles by insertion into a triangle around all points."""
+    """Delaunay triangles of different points, counter-clockwise; none if all lie on a line.
+
+    Signs are exact, and of points on one circle the lexically lower ones count as a little further out of it, so the
+    triangles follow from the points alone.  Points go in one after the other, near the last one; outside the hull triangles
+    have the corner -1."""
     n = len(points)
-    centre, size = points.mean(0), max(float(np.ptp(points, axis=0).max()), 1e-9)
-    far = centre + size * 1000 * np.array([[-1.7, -1.0], [1.7, -1.0], [0.0, 2.0]])
-    p = np.vstack([points, far])
-
-    def circle(t):
-        (ax, ay), (bx, by), (cx, cy) = p[list(t)]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if d == 0:
-            return (0.0, 0.0, math.inf)
+    if n < 3:
+        return []
+    xs, ys = points[:, 0].tolist(), points[:, 1].tolist()
+    whole = _whole(points.reshape(-1).astype(float))
+    wx, wy = whole[0::2], whole[1::2]
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((points[:, 1], points[:, 0]))] = np.arange(n)
+    rank = rank.tolist()
+
+    def side(a, b, c):
+        """Above 0 if a, b, c turn to the left."""
+        p, q = (xs[b] - xs[a]) * (ys[c] - ys[a]), (ys[b] - ys[a]) * (xs[c] - xs[a])
+        if abs(p - q) > 1e-15 * (abs(p) + abs(q)) + 1e-290:
+            return p - q
+        return (wx[b] - wx[a]) * (wy[c] - wy[a]) - (wy[b] - wy[a]) * (wx[c] - wx[a])
+
+    def within(a, b, c, d):
+        """Whether d lies within the circle of a, b, c; with the corner -1, beyond their side or on it."""
+        if a < 0 or b < 0 or c < 0:
+            a, b = (b, c) if a < 0 else (c, a) if b < 0 else (a, b)
+            turn = side(a, b, d)
+            return turn > 0 or (turn == 0 and (wx[a] - wx[d]) * (wx[b] - wx[d]) + (wy[a] - wy[d]) * (wy[b] - wy[d]) < 0)
+        x, y = xs[d], ys[d]
+        ax, ay, bx, by, cx, cy = xs[a] - x, ys[a] - y, xs[b] - x, ys[b] - y, xs[c] - x, ys[c] - y
         a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
-        ux, uy = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d, (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
-        return (ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2)
-
-    live = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
-    for i in range(n):
-        x, y = p[i]
-        bad = [t for t, (ux, uy, r2) in live.items() if (x - ux) ** 2 + (y - uy) ** 2 < r2 * (1 - 1e-12)]
-        rim = Counter(frozenset(e) for t in bad for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])))
-        for t in bad:
-            del live[t]
-        for e in (tuple(e) for e, k in rim.items() if k == 1):
-            t = (*e, i)
-            a, b, c = p[list(t)]
-            if abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) > 1e-14 * size * size:
-                live[t] = circle(t)
-    return [t for t in live if max(t) < n]
+        u, v, w, r, s, t = bx * cy, by * cx, cx * ay, cy * ax, ax * by, ay * bx
+        det = a2 * (u - v) + b2 * (w - r) + c2 * (s - t)
+        if abs(det) > 2e-15 * (a2 * (abs(u) + abs(v)) + b2 * (abs(w) + abs(r)) + c2 * (abs(s) + abs(t))) + 1e-280:
+            return det > 0
+        x, y = wx[d], wy[d]
+        ax, ay, bx, by, cx, cy = wx[a] - x, wy[a] - y, wx[b] - x, wy[b] - y, wx[c] - x, wy[c] - y
+        det = (ax * ax + ay * ay) * (bx * cy - by * cx) + (bx * bx + by * by) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by - ay * bx)
+        if det:
+            return det > 0
+        # the lowest of the four is lifted: itself it lies out of the circle, as a corner it lets those in that lie on its side
+        first = min((a, b, c, d), key=rank.__getitem__)
+        if first == d:
+            return False
+        p, q = (b, c) if first == a else (c, a) if first == b else (a, b)
+        return side(p, q, d) > 0
+
+    order = _order(points).tolist()
+    i, j = order[0], order[1]
+    k = next((m for m in range(2, n) if side(i, j, order[m])), None)
+    if k is None:
+        return []
+    k = order.pop(k)
+    if side(i, j, k) < 0:
+        i, j = j, i
+    third = {(i, j): k, (j, k): i, (k, i): j, (j, i): -1, (i, -1): j, (-1, j): i, (k, j): -1, (j, -1): k, (-1, k): j, (i, k): -1, (k, -1): i, (-1, i): k}
+    at = (i, j)
+    for m in order[2:]:
+        a, b = at
+        c = third[a, b]
+        while c >= 0:  # walk to the triangle that holds the point, or out over a side of the hull
+            if side(b, c, m) < 0:
+                a, b = c, b
+            elif side(c, a, m) < 0:
+                a, b = a, c
+            elif side(a, b, m) < 0:
+                a, b = b, a
+            else:
+                break
+            c = third[a, b]
+        stack = [(a, b), (b, c), (c, a)]
+        del third[a, b], third[b, c], third[c, a]
+        while stack:
+            u, v = stack.pop()
+            w = third[v, u]
+            if within(v, u, w, m):
+                del third[v, u], third[u, w], third[w, v]
+                stack += (u, w), (w, v)
+            else:
+                third[u, v], third[v, m], third[m, u] = m, u, v
+                if u >= 0 and v >= 0:
+                    at = u, v
+    return [(a, b, c) for (a, b), c in third.items() if 0 <= a < b and a < c]
+
+
+#: A side of a part of an alpha shape: part, the part's area, from, to; the inside lies on the left.
+Side = tuple[object, float, Point, Point]
+
+
+def alpha_sides(points: np.ndarray, alpha: float, own: np.ndarray | None = None) -> list[Side]:
+    """The sides of the parts that Delaunay triangles of a circumradius of at most alpha make where they share edges.
+
+    points are different and in lexical order; own: only triangles whose first corner is one of these.  Such triangles are the same
+    whatever lies further than 2 * alpha from that corner."""
+    t = np.array(triangulate(points), dtype=np.int64).reshape(-1, 3)
+    if own is not None:
+        t = t[own[t[:, 0]]]
+    x, y = points[:, 0][t], points[:, 1][t]
+    a, b, c = (np.hypot(x[:, i] - x[:, j], y[:, i] - y[:, j]) for i, j in ((0, 1), (1, 2), (2, 0)))
+    twice = (x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (y[:, 1] - y[:, 0]) * (x[:, 2] - x[:, 0])
+    kept = (twice > 0) & (a * b * c <= 2 * twice * alpha * (1 + 1e-12))  # triangles of one circle are all kept or none
+    t, area_of = t[kept], twice[kept] / 2
+    n, m = len(points), len(t)
+    of, u, v = np.tile(np.arange(m), 3), t.T.reshape(-1), t[:, [1, 2, 0]].T.reshape(-1)
+    order = np.argsort(u * n + v)
+    key, back = (u * n + v)[order], v * n + u
+    place = np.minimum(np.searchsorted(key, back), max(len(key) - 1, 0))
+    shared = key[place] == back
+    part = list(range(m))
+    for i, j in zip(of[shared].tolist(), of[order[place[shared]]].tolist(), strict=True):
+        i, j = _root(part, i), _root(part, j)
+        if i != j:
+            part[i] = j
+    area, root = [0.0] * m, [_root(part, i) for i in range(m)]
+    for i, s in zip(root, area_of.tolist(), strict=True):
+        area[i] += s
+    xs, ys = points[:, 0].tolist(), points[:, 1].tolist()
+    return [(root[k], area[root[k]], (xs[i], ys[i]), (xs[j], ys[j])) for k, i, j in zip(of[~shared].tolist(), u[~shared].tolist(), v[~shared].tolist(), strict=True)]
+
+
+def _root(part, k):
+    while part[k] != k:
+        part[k] = part[part[k]]
+        k = part[k]
+    return k
+
+
+def outer_ring(sides: list[Side]) -> list[Point]:
+    """The outer ring (not closed) of the largest part, of equal ones that with the lowest corner; parts that share a side are one."""
+    at = {(p, q): k for k, _, p, q in sides}
+    area = {k: s for k, s, _, _ in sides}
+    part = {k: k for k in area}
+    for (p, q), k in at.items():
+        if (q, p) in at:
+            part[_root(part, k)] = _root(part, at[q, p])
+    total = Counter()
+    for k, s in area.items():
+        total[_root(part, k)] += s
+    open_ = [(p, q, _root(part, k)) for (p, q), k in at.items() if (q, p) not in at]
+    least = max(total.values()) * (1 - 1e-9)
+    best = min((p, k) for p, _, k in open_ if total[k] >= least)[1]
+    nexts = defaultdict(list)
+    for p, q, k in open_:
+        if k == best:
+            nexts[p].append(q)
+    rings = []
+    for start in sorted(nexts):
+        while start in nexts:
+            ring, at, came = [start], start, None
+            while True:
+                options = nexts[at]
+                if came is None or len(options) == 1:
+                    to = options[0]
+                else:  # where parts touch in a vertex: the sharpest turn to the right keeps to one part
+                    back = math.atan2(came[1] - at[1], came[0] - at[0])
+                    to = min(options, key=lambda v: (math.atan2(v[1] - at[1], v[0] - at[0]) - back) % (2 * math.pi))
+                options.remove(to)
+                if not options:
+                    del nexts[at]
+                if to == start:
+                    break
+                ring.append(to)
+                at, came = to, at
+            rings.append(ring)
+    return max(rings, key=lambda r: sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, [*r[1:], r[0]], strict=True)))
 
 
 def alpha_shape(points: list[Point], alpha: float) -> list[Point]:
@@ -77,64 +232,8 @@ def alpha_shape(points: list[Point], alpha: float) -> list[Point]:
     unique = sorted(set(points))
     if len(unique) < 3:
         return unique
-    pts = np.array(unique)
-    kept = []
-    for t in triangulate(pts):
-        a, b, c = (math.dist(pts[t[i]], pts[t[j]]) for i, j in ((0, 1), (1, 2), (2, 0)))
-        s = (a + b + c) / 2
-        area = math.sqrt(max(s * (s - a) * (s - b) * (s - c), 0.0))
-        if area > 0 and a * b * c / (4 * area) <= alpha:
-            kept.append((t, area))
-    if not kept:
-        return hull(unique)
-    by_edge = defaultdict(list)
-    for k, (t, _) in enumerate(kept):
-        for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-            by_edge[frozenset(e)].append(k)
-    part = list(range(len(kept)))
-
-    def root(k):
-        while part[k] != k:
-            part[k] = part[part[k]]
-            k = part[k]
-        return k
-
-    for ks in by_edge.values():
-        for k in ks[1:]:
-            part[root(k)] = root(ks[0])
-    area = Counter()
-    for k, (_, a) in enumerate(kept):
-        area[root(k)] += a
-    best = max(sorted(area), key=lambda k: area[k])
-    nexts = defaultdict(list)
-    for e, ks in by_edge.items():
-        if len(ks) == 1 and root(ks[0]) == best:
-            i, j = e
-            third = next(v for v in kept[ks[0]][0] if v not in e)
-            if (pts[j][0] - pts[i][0]) * (pts[third][1] - pts[i][1]) - (pts[j][1] - pts[i][1]) * (pts[third][0] - pts[i][0]) < 0:
-                i, j = j, i
-            nexts[i].append(j)  # the inside lies on the left
-    rings = []
-    while nexts:
-        start = min(nexts)
-        ring, at, came = [start], start, None
-        while True:
-            options = nexts[at]
-            if came is None or len(options) == 1:
-                to = options[0]
-            else:  # where parts touch in a vertex: the sharpest turn to the right keeps to one part
-                back = math.atan2(pts[came][1] - pts[at][1], pts[came][0] - pts[at][0])
-                to = min(options, key=lambda v: (math.atan2(pts[v][1] - pts[at][1], pts[v][0] - pts[at][0]) - back) % (2 * math.pi))
-            options.remove(to)
-            if not options:
-                del nexts[at]
-            if to == start:
-                break
-            ring.append(to)
-            at, came = to, at
-        rings.append(ring)
-    outer = max(rings, key=lambda r: sum(pts[r[k]][0] * pts[r[(k + 1) % len(r)]][1] - pts[r[(k + 1) % len(r)]][0] * pts[r[k]][1] for k in range(len(r))))
-    return [tuple(map(float, pts[k])) for k in outer]
+    sides = alpha_sides(np.array(unique, dtype=float), alpha)
+    return [(float(x), float(y)) for x, y in outer_ring(sides)] if sides else hull(unique)
 
 
 def thicken(points: list[Point], half: float, mitre: float = 5.0) -> list[Point]:
@@ -235,6 +334,27 @@ def _edges(rings) -> Column:
     return F.flatten(F.transform(rings, lambda q: F.zip_with(F.slice(q, 1, F.size(q) - 1), F.slice(q, 2, F.size(q) - 1), lambda s, e: F.struct(s["x"].alias("x1"), s["y"].alias("y1"), e["x"].alias("x2"), e["y"].alias("y2")))))
 
 
+#: Distances, times an edge's length, below which a point lies on the edge.
+TINY = 1e-9
+
+
+def _side(e, x, y) -> Column:
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+
+
+def _crosses() -> Column:
+    """Whether an edge of `ea` crosses one of `eb`."""
+    opposite = lambda u, v: ((u > TINY) & (v < -TINY)) | ((u < -TINY) & (v > TINY))
+    return F.exists("ea", lambda e: F.exists("eb", lambda f: opposite(_side(e, f["x1"], f["y1"]), _side(e, f["x2"], f["y2"])) & opposite(_side(f, e["x1"], e["y1"]), _side(f, e["x2"], e["y2"]))))
+
+
+def _inside(p) -> Column:
+    """Whether p lies within the outline of the edges `eb`, or on it."""
+    on = lambda e: (F.abs(_side(e, p["x"], p["y"])) <= TINY) & ((e["x1"] - p["x"]) * (e["x2"] - p["x"]) + (e["y1"] - p["y"]) * (e["y2"] - p["y"]) <= TINY)
+    above = lambda e: ((e["x1"] > p["x"]) != (e["x2"] > p["x"])) & (p["y"] < e["y1"] + (e["y2"] - e["y1"]) * (p["x"] - e["x1"]) / (e["x2"] - e["x1"]))
+    return (F.aggregate("eb", F.lit(0), lambda acc, e: acc + F.when(above(e), 1).otherwise(0)) % 2 == 1) | F.exists("eb", on)
+
+
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """Pairs (inner_ord, outer_ord) of elements, the first inside the second: their outlines don't cross and no vertex of
     the first lies outside; outlines may touch.  Eight sides prune through grid cells; in a convex shape with no others they
@@ -251,16 +371,24 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
         return a.join(b.hint("merge"), [*keys, "gx", "gy"]).filter(within)
 
     plain = near(a.drop("shell", "ea"), b.filter("plain").drop("eb")).select("inner_ord", "outer_ord")
-    side = lambda e, x, y: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    tiny = 1e-9
-    opposite = lambda u, v: ((u > tiny) & (v < -tiny)) | ((u < -tiny) & (v > tiny))
-    crosses = F.exists("ea", lambda e: F.exists("eb", lambda f: opposite(side(e, f["x1"], f["y1"]), side(e, f["x2"], f["y2"])) & opposite(side(f, e["x1"], e["y1"]), side(f, e["x2"], e["y2"]))))
-    on = lambda e, p: (F.abs(side(e, p["x"], p["y"])) <= tiny) & ((e["x1"] - p["x"]) * (e["x2"] - p["x"]) + (e["y1"] - p["y"]) * (e["y2"] - p["y"]) <= tiny)
-    above = lambda e, p: ((e["x1"] > p["x"]) != (e["x2"] > p["x"])) & (p["y"] < e["y1"] + (e["y2"] - e["y1"]) * (p["x"] - e["x1"]) / (e["x2"] - e["x1"]))
-    odd = lambda p: F.aggregate("eb", F.lit(0), lambda acc, e: acc + F.when(above(e, p), 1).otherwise(0)) % 2 == 1
-    inside = lambda p: odd(p) | F.exists("eb", lambda e: on(e, p))
-    first = near(a, b.filter("NOT plain")).filter(inside(F.element_at("shell", 1)))
-    return plain.unionByName(first.filter(F.forall("shell", inside) & ~crosses).select("inner_ord", "outer_ord"))
+    first = near(a, b.filter("NOT plain")).filter(_inside(F.element_at("shell", 1)))
+    return plain.unionByName(first.filter(F.forall("shell", _inside) & ~_crosses()).select("inner_ord", "outer_ord"))
+
+
+def contained_in_long(inner: DataFrame, outer: DataFrame, strip: float = 4.0) -> DataFrame:
+    """`contained` for outer shapes whose outlines have many edges: these are dealt over strips of x, in each of which a corner only
+    meets the edges above or below it; the strips of an inner shape all have to find it inside."""
+    keys = ["garden_id"] if "garden_id" in inner.columns and "garden_id" in outer.columns else []
+    a = outlines(inner).select(*keys, F.col("elem_ord").alias("inner_ord"), F.array_distinct(F.element_at("rings", 1)).alias("shell"), _edges("rings").alias("ea"), "min_x", "max_x", "min_y", "max_y")
+    a = a.withColumn("strips", F.sequence(F.floor(F.col("min_x") / strip), F.floor(F.col("max_x") / strip))).withColumn("n_strips", F.size("strips")).withColumn("strip", F.explode("strips")).drop("strips")
+    b = outlines(outer).select(*keys, F.col("elem_ord").alias("outer_ord"), *[F.col(f"{end}_{k}").alias(f"b_{end}_{k}") for end in ("min", "max") for k in ("x", "y")], F.explode(_edges("rings")).alias("e"))
+    low, high = F.least("e.x1", "e.x2") - 1e-6, F.greatest("e.x1", "e.x2") + 1e-6
+    b = b.withColumn("strip", F.explode(F.sequence(F.floor(low / strip), F.floor(high / strip))))
+    b = b.groupBy(*[c for c in b.columns if c != "e"]).agg(F.collect_list("e").alias("eb"))
+    met = a.join(b, [*keys, "strip"]).filter("inner_ord <> outer_ord AND min_x >= b_min_x - 1e-9 AND max_x <= b_max_x + 1e-9 AND min_y >= b_min_y - 1e-9 AND max_y <= b_max_y + 1e-9")
+    here = F.filter("shell", lambda p: F.floor(p["x"] / strip) == F.col("strip"))
+    good = met.filter(F.forall(here, _inside) & ~_crosses())
+    return good.groupBy("inner_ord", "outer_ord", "n_strips").agg(F.count(F.lit(1)).alias("n")).filter("n = n_strips").select("inner_ord", "outer_ord")
 
 
 def _signed_edges() -> Column:
