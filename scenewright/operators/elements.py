@@ -138,7 +138,7 @@ def rock(entities: DataFrame, buildings: DataFrame, alpha: float = S.ROCK_ALPHA)
     as_elements = made.select("garden_id", F.col("cluster_id").alias("elem_ord"), F.lit("Polygon").alias("gtype"), F.col("made").alias("rings"), *[F.lit(None).cast("double").alias(c) for c in ("cx", "cy", "radius")])
     inner = buildings.select("garden_id", F.xxhash64("garden_id", "id").alias("elem_ord"), "gtype", "rings", "cx", "cy", "radius")
     # most large shapes hold one of a few buildings; only those that don't meet all of them
-    first = saved(_holding(inner.filter(F.pmod("elem_ord", F.lit(64)) == 0), as_elements), "holding")
+    first = saved(_holding(inner.filter(F.pmod("elem_ord", F.lit(1024)) == 0), as_elements), "holding")
     rest = saved(as_elements.join(first, F.col("elem_ord") == F.col("cluster_id"), "left_anti"), "rest")
     box = {f"{end}_{k}": getattr(F, f"array_{end}")(E.coordinates(F.element_at("rings", 1), k)) for end in ("min", "max") for k in ("x", "y")}
     cells = lambda k: F.explode(F.sequence(F.floor((F.col(f"min_{k}") - 1e-9) / 16), F.floor(F.col(f"max_{k}") / 16))).alias(f"c{k}")
